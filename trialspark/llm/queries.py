@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from trialspark.llm.media import op3_media_columns
+from trialspark.llm.secret_scan import OP9_SQL, op9_secret_scan
 from trialspark.llm.token_store import op2_token_store
 
 QUERIES = {
     "op2_token_store": op2_token_store,
+    "op3_media_columns": op3_media_columns,
+    "op9_secret_scan": op9_secret_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_secret_scan": OP9_SQL,
+}
