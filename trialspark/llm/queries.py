@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from trialspark.llm.media import op3_media_columns
+from trialspark.llm.quality import op4_quality
 from trialspark.llm.secret_scan import OP9_SQL, op9_secret_scan
 from trialspark.llm.sentencepiece import op1_sentencepiece
 from trialspark.llm.token_scan import op5_token_counts
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_token_store": op2_token_store,
     "op3_media_columns": op3_media_columns,
+    "op4_quality": op4_quality,
     "op5_token_counts": op5_token_counts,
     "op9_secret_scan": op9_secret_scan,
 }
