@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from trialspark.llm.media import op3_media_columns
+from trialspark.llm.ngram_join import op6_ngram_join
 from trialspark.llm.quality import op4_quality
 from trialspark.llm.secret_scan import OP9_SQL, op9_secret_scan
 from trialspark.llm.sentencepiece import op1_sentencepiece
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_media_columns": op3_media_columns,
     "op4_quality": op4_quality,
     "op5_token_counts": op5_token_counts,
+    "op6_ngram_join": op6_ngram_join,
     "op9_secret_scan": op9_secret_scan,
 }
 
