@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from trialspark.llm.media import op3_media_columns
 from trialspark.llm.ngram_join import op6_ngram_join
+from trialspark.llm.passages import op7_substring_dedup
 from trialspark.llm.quality import op4_quality
 from trialspark.llm.secret_scan import OP9_SQL, op9_secret_scan
 from trialspark.llm.sentencepiece import op1_sentencepiece
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_token_counts": op5_token_counts,
     "op6_ngram_join": op6_ngram_join,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_secret_scan": op9_secret_scan,
 }
 
