@@ -5,6 +5,7 @@ from __future__ import annotations
 from trialspark.llm.media import op3_media_columns
 from trialspark.llm.neighbours import op10_nearest_neighbours
 from trialspark.llm.ngram_join import op6_ngram_join
+from trialspark.llm.packing import op8_best_fit_packing
 from trialspark.llm.passages import op7_substring_dedup
 from trialspark.llm.quality import op4_quality
 from trialspark.llm.secret_scan import OP9_SQL, op9_secret_scan
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_ngram_join": op6_ngram_join,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_secret_scan": op9_secret_scan,
     "op10_nearest_neighbours": op10_nearest_neighbours,
 }

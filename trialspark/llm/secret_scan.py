@@ -161,3 +161,27 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
   sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN by_doc USING (r)
 """
+
+
+#: What stands in a text where a secret was.
+PLACEHOLDER = "[REDACTED]"
+
+
+def redact(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs`` with every finding in ``text`` replaced by a placeholder; overlapping findings by one."""
+    _, findings = scan(docs.select(F.col("doc_id").alias("path"), F.col("text").alias("content")), ledger, rules)
+    spans = findings.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    addressed = docs.withColumn("_blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    joined = addressed.join(spans.withColumnRenamed("blob", "_blob"), "_blob", "left")
+    text = F.col("text")
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        piece = F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(PLACEHOLDER))
+        return F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.when(s["start"] >= acc["at"], piece).otherwise(acc["out"]).alias("out"),
+        )
+
+    cut = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2147483647))))
+    return joined.withColumn("text", F.when(F.col("_spans").isNull(), text).otherwise(cut)).select(*docs.columns)
