@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from trialspark.plans import audit_queries, merge_queries, prep_queries, sequence_queries, subject_queries, twosample_queries  # noqa: F401
+from trialspark.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
