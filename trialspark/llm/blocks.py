@@ -18,6 +18,8 @@ and the partial overlaps are summed per pair.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -88,43 +90,91 @@ def _similar(inter: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> n
     return (100.0 * inter >= percent * union) & (inter > 0)
 
 
-def _forest_rows(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
+def _spanning(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stars (node, root) that connect what the links ids[a]-ids[b] connect."""
     forest = Forest()
     for x, y in zip(ids[a].tolist(), ids[b].tolist(), strict=True):
         forest.union(x, y)
     nodes = [x for x in forest.parent if forest.find(x) != x]
-    return pa.table({"a": pa.array(nodes, pa.int64()), "b": pa.array([forest.find(x) for x in nodes], pa.int64())})
-
-
-def _sets(table: pa.Table) -> list[np.ndarray]:
-    return [np.frombuffer(s, dtype="<u8") for s in table.column("items").to_pylist()]
-
-
-def _link_cell(percent: int):
-    def link(table: pa.Table) -> pa.Table:
-        sets = _sets(table)
-        if len(sets) < 2:
-            return _forest_rows(np.empty(0, np.int64), np.empty(0, int), np.empty(0, int))
-        n = np.array([len(s) for s in sets], dtype=np.float64)
-        a, b = np.nonzero(np.triu(_similar(overlaps_within(sets).astype(np.float64), n, n, percent), 1))
-        return _forest_rows(table.column("uid").to_numpy(), a, b)
-
-    return link
-
-
-def _link_sides(percent: int):
+    return np.array(nodes, dtype=np.int64), np.array([forest.find(x) for x in nodes], dtype=np.int64)
+
+
+def _link_pairs(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of cells of two items each, ``left`` and the one after it, all cells at once."""
+    n = np.array([len(s) for s in sets], dtype=np.int64)
+    both = np.stack([left, left + 1], axis=1).ravel()
+    tokens = np.concatenate([sets[k] for k in both])
+    cell = np.repeat(np.repeat(np.arange(len(left)), 2), n[both])
+    order = np.lexsort((tokens, cell))
+    tokens, cell = tokens[order], cell[order]
+    twice = (tokens[1:] == tokens[:-1]) & (cell[1:] == cell[:-1])
+    inter = np.bincount(cell[1:][twice], minlength=len(left))
+    good = (inter > 0) & (100 * inter >= percent * (n[left] + n[left + 1] - inter))
+    return ids[left[good]], ids[left[good] + 1]
+
+
+def _link_cells(percent: int, width: str):
+    """Link the cells of a task; rows (cell, uid, items) arrive with the rows of a cell in a row."""
+
+    def cells(cell: np.ndarray, ids: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch | None:
+        cut = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        size = np.diff(np.append(cut, len(cell)))
+        pairs = cut[size == 2]
+        a, b = _link_pairs(ids, sets, pairs, percent) if len(pairs) else (np.empty(0, np.int64),) * 2
+        out_a, out_b = [np.maximum(a, b)], [np.minimum(a, b)]
+        for k in np.flatnonzero(size > 2):
+            lo, hi = cut[k], cut[k] + size[k]
+            some = sets[lo:hi]
+            n = np.array([len(s) for s in some], dtype=np.float64)
+            i, j = np.nonzero(np.triu(_similar(overlaps_within(some).astype(np.float64), n, n, percent), 1))
+            if len(i):
+                nodes, roots = _spanning(ids[lo:hi], i, j)
+                out_a.append(nodes)
+                out_b.append(roots)
+        a, b = np.concatenate(out_a), np.concatenate(out_b)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"]) if len(a) else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, ids, sets = np.empty(0, np.int64), np.empty(0, np.int64), []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell = np.concatenate([cell, batch.column(0).to_numpy()])
+            ids = np.concatenate([ids, batch.column(1).to_numpy()])
+            sets += [np.frombuffer(s, dtype=width) for s in batch.column(2).to_pylist()]
+            done = int(np.searchsorted(cell[::-1] != cell[-1], True))  # rows of the last cell so far
+            done = len(cell) - done if (cell != cell[-1]).any() else 0
+            if done:
+                if (out := cells(cell[:done], ids[:done], sets[:done])) is not None:
+                    yield out
+                cell, ids, sets = cell[done:], ids[done:], sets[done:]
+        if len(cell) and (out := cells(cell, ids, sets)) is not None:
+            yield out
+
+    return run
+
+
+def link_cells(rows: DataFrame, percent: int, width: str) -> DataFrame:
+    """Links within cells of bounded size; ``rows`` has cell, uid and items."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("cell", "uid", "items").repartition(parts, "cell").sortWithinPartitions("cell")
+    return materialise(dealt.mapInArrow(_link_cells(percent, width), EDGE), "links")
+
+
+def _link_sides(percent: int, width: str):
     def link(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
         ids, label = table.column("uid").to_numpy(), table.column("label").to_numpy()
-        sets = _sets(table)
+        sets = [np.frombuffer(s, dtype=width) for s in table.column("items").to_pylist()]
         r, c = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(r) or not len(c):
-            return _forest_rows(np.empty(0, np.int64), np.empty(0, int), np.empty(0, int))
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         n = np.array([len(s) for s in sets], dtype=np.float64)
         good = _similar(overlaps([sets[k] for k in r], [sets[k] for k in c]).astype(np.float64), n[r], n[c], percent)
         good &= label[r][:, None] != label[c][None, :]
         a, b = np.nonzero(good)
-        return _forest_rows(ids, r[a], c[b])
+        nodes, roots = _spanning(ids, r[a], c[b])
+        return pa.table({"a": pa.array(nodes), "b": pa.array(roots)})
 
     return link
 
@@ -132,25 +182,25 @@ def _link_sides(percent: int):
 EDGE = "a bigint, b bigint"
 
 
-def link_clusters(members: DataFrame, percent: int) -> DataFrame:
+def link_clusters(members: DataFrame, percent: int, width: str = "<u8") -> DataFrame:
     """Links (a, b) that connect all similar items of each cluster: 100 * intersection >= percent * union.
 
     ``members`` has cluster, uid (bigint) and items (sorted distinct unsigned 64-bit
-    integers, packed).  An item may be in several clusters.  The result spans the
+    integers, packed; ``width`` names another type).  An item may be in several clusters.  The result spans the
     components of the similarity graph within clusters; it does not list all links.
     """
     members = members.select("cluster", "uid", "items")
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     large_sizes = materialise(sizes.where(F.col("size") > CELL), "large-clusters")
     if not large_sizes.limit(1).count():
-        return materialise(members.groupBy("cluster").applyInArrow(_link_cell(percent), EDGE), "links")
+        return link_cells(members.withColumnRenamed("cluster", "cell"), percent, width)
     small = members.join(large_sizes.select("cluster"), "cluster", "left_anti")
-    links = [materialise(small.groupBy("cluster").applyInArrow(_link_cell(percent), EDGE), "links")]
+    links = [link_cells(small.withColumnRenamed("cluster", "cell"), percent, width)]
     large = materialise(members.join(large_sizes, "cluster").select("cluster", "uid", "items", "size"), "large-members")
     chunks = F.ceil(F.col("size") / CELL)
     for r in range(ROUNDS):
-        cells = large.withColumn("chunk", F.pmod(F.xxhash64("uid", F.lit(r)), chunks))
-        links.append(materialise(cells.groupBy("cluster", "chunk").applyInArrow(_link_cell(percent), EDGE), "links"))
+        cells = large.withColumn("cell", F.xxhash64("cluster", F.pmod(F.xxhash64("uid", F.lit(r)), chunks)))
+        links.append(link_cells(cells, percent, width))
     known = links[1]
     for more in links[2:]:
         known = known.union(more)
@@ -171,7 +221,7 @@ def link_clusters(members: DataFrame, percent: int) -> DataFrame:
     )
     wanted = ["cluster", "i", "j", "side", "uid", "label", "items"]
     both = rows.select(*wanted).union(cols.select(*wanted))
-    links.append(materialise(both.groupBy("cluster", "i", "j").applyInArrow(_link_sides(percent), EDGE), "links"))
+    links.append(materialise(both.groupBy("cluster", "i", "j").applyInArrow(_link_sides(percent, width), EDGE), "links"))
     release(large)
     release(labelled)
     out = links[0]

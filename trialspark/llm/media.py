@@ -260,7 +260,7 @@ def describe(media: DataFrame) -> DataFrame:
             ids, declared, n_bytes, blobs = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "declared", "n_bytes", "media"))
             rows = []
             for blob in blobs:
-                blob = blob.as_py()
+                blob = blob.as_py() or b""
                 kind, carved = sniff(blob)
                 samples = wav_samples(blob) if kind == "audio/wav" else b""
                 rows.append(

@@ -118,7 +118,8 @@ class Paragraphs:
         return out
 
     def items(self, i: int) -> np.ndarray:
-        return np.unique(self.shingles[self.at[i] : self.at[i] + _SHINGLES])
+        """Shingles of a paragraph, by 32 bits of their hashes."""
+        return np.unique((self.shingles[self.at[i] : self.at[i] + _SHINGLES] >> np.uint64(32)).astype("<u4"))
 
 
 def _cut(fragments: int):
@@ -167,12 +168,15 @@ def _collide(table: pa.Table) -> pa.Table:
     runs = np.diff(np.append(heads, len(key)))
     group = (key >> np.uint64(32))[heads]
     first_of_band = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    contents = np.repeat(np.diff(np.append(first_of_band, len(heads))), np.diff(np.append(first_of_band, len(heads))))
+    many = np.diff(np.append(first_of_band, len(heads)))
+    # a group is named by its contents, so that bands which find the same group name it alike
+    name = np.add.reduceat(mix64(key[heads] & np.uint64(0xFFFFFFFF)), first_of_band)
+    name = (mix64(name + many.astype(np.uint64)) >> np.uint64(2)).astype(np.int64) + 1
+    contents = np.repeat(many, many)
     near = heads[contents > 1]
     same = np.flatnonzero(np.repeat(runs > 1, runs)) if fragment % BANDS == 0 else np.empty(0, dtype=np.int64)
-    name = ((key[near] >> np.uint64(32)).astype(np.int64) << 30) + fragment + 1
     at = np.concatenate([same, near])
-    keys = np.concatenate([np.zeros(len(same), dtype=np.int64), name])
+    keys = np.concatenate([np.zeros(len(same), dtype=np.int64), np.repeat(name, many)[contents > 1]])
     by = np.argsort(source[at], kind="stable")
     at, keys = at[by], keys[by]
     out_batch, out_piece = [], []
@@ -199,13 +203,13 @@ def _item_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingle sets of the wanted paragraphs (``wanted``: content hashes) of every text."""
     for batch, texts in text_batches(batches):
         p = Paragraphs(texts)
-        wanted = batch.column(batch.schema.get_field_index("wanted")).to_pylist()
+        wanted = [set(w) for w in batch.column(batch.schema.get_field_index("wanted")).to_pylist()]
         rows = {}
         for i in range(len(p.at)):
             c = int(p.content[i])
             if c in rows or c not in wanted[p.owner[i]]:
                 continue
-            rows[c] = p.items(i).astype("<u8").tobytes()
+            rows[c] = p.items(i).tobytes()
         yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.binary())], names=["uid", "items"])
 
 
@@ -230,9 +234,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     near = places.where("key > 0").select("key", "content").distinct()
     where = places.where("key > 0").groupBy("content").agg(F.min("doc_id").alias("doc_id"))
     wanted = where.groupBy("doc_id").agg(F.collect_set("content").alias("wanted"))
-    sets = materialise(docs.join(wanted, "doc_id").mapInArrow(_item_sets, "uid bigint, items binary"), "paragraph-sets").dropDuplicates(["uid"])
+    sets = materialise(docs.join(wanted.hint("merge"), "doc_id").mapInArrow(_item_sets, "uid bigint, items binary"), "paragraph-sets")
     members = near.select(F.col("key").alias("cluster"), F.col("content").alias("uid")).join(sets, "uid")
-    labels = connected_components(link_clusters(members, PERCENT)).withColumnRenamed("node", "content")
+    labels = connected_components(link_clusters(members, PERCENT, "<u4")).withColumnRenamed("node", "content")
     spots = places.select("content", "doc_id", "start", "stop").distinct()
     spots = spots.join(labels, "content", "left").withColumn("cluster", F.coalesce("component", "content")).select("cluster", "doc_id", "start", "stop")
     kept = spots.groupBy("cluster").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("last")).where("kept_in < last").select("cluster", "kept_in")
