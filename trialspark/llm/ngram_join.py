@@ -210,7 +210,7 @@ def similarity_components(docs: DataFrame, size: int = 4, percent: int = 85) ->
     )
     release(first)
     sets = materialise(
-        docs.join(stay.select("doc_id", "uid", "check"), "doc_id").mapInArrow(_second_pass(size, fragments), "fragment int, uid bigint, items binary").where("items is not null"),
+        docs.join(stay.select("doc_id", "uid", "check").hint("merge"), "doc_id").mapInArrow(_second_pass(size, fragments), "fragment int, uid bigint, items binary").where("items is not null"),
         "ngram-sets",
     )
     pieces = sets.where("fragment >= 0").groupBy("fragment").applyInArrow(_frequencies, "uid bigint, piece binary")
