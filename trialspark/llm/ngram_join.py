@@ -54,15 +54,22 @@ def _signatures(flat: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out[0], out[1]
 
 
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every run of equal values."""
+    if not len(x):
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    return starts, np.append(starts[1:], len(x))
+
+
 def pack(owner_ids: np.ndarray, owner: np.ndarray, fragment: np.ndarray, tokens: np.ndarray, width: str) -> Iterator[tuple[int, bytes]]:
     """Pieces of sets by fragment, packed: number of owners, their ids, tokens each has, tokens."""
     order = np.argsort(fragment, kind="stable")
     owner, fragment, tokens = owner[order], fragment[order], tokens[order].astype(width)
-    starts = np.flatnonzero(np.concatenate([[True], fragment[1:] != fragment[:-1]])) if len(fragment) else np.empty(0, int)
-    for a, b in zip(starts, np.append(starts[1:], len(fragment)), strict=True):
+    for a, b in zip(*_runs(fragment), strict=True):
         o = owner[a:b]
-        heads = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
-        counts = np.diff(np.append(heads, b - a)).astype("<u4")
+        heads, stops = _runs(o)
+        counts = (stops - heads).astype("<u4")
         head = np.array([len(heads)], dtype="<u4").tobytes()
         yield int(fragment[a]), head + owner_ids[o[heads]].astype("<i8").tobytes() + counts.tobytes() + tokens[a:b].tobytes()
 
@@ -90,8 +97,8 @@ def shared_mask(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For every token occurrence, the number of occurrences of that token."""
     order = np.argsort(tokens, kind="stable")
     t = tokens[order]
-    starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.empty(0, int)
-    runs = np.diff(np.append(starts, len(t)))
+    starts, stops = _runs(t)
+    runs = stops - starts
     df = np.empty(len(t), dtype=np.int64)
     df[order] = np.repeat(runs, runs)
     return df > 1, df
@@ -158,11 +165,8 @@ def _frequencies(table: pa.Table) -> pa.Table:
     owner, tokens, df = owner[shared], tokens[shared], df[shared]
     order = np.argsort(owner, kind="stable")
     owner, tokens, df = owner[order], tokens[order], df[order]
-    heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.empty(0, int)
-    pieces = [
-        df[a:b].astype("<u8").tobytes() + tokens[a:b].astype("<u8").tobytes()
-        for a, b in zip(heads, np.append(heads[1:], len(owner)), strict=True)
-    ]
+    heads, stops = _runs(owner)
+    pieces = [df[a:b].astype("<u8").tobytes() + tokens[a:b].astype("<u8").tobytes() for a, b in zip(heads, stops, strict=True)]
     return pa.table({"uid": pa.array(owner[heads], pa.int64()), "piece": pa.array(pieces, pa.binary())})
 
 

@@ -228,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING) -> Qualit
             )
 
     rows = sample.select("doc_id", "text", "label").mapInArrow(pool, "doc_id bigint, label int, x array<double>").orderBy("doc_id").toPandas()
-    x = np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), -1)
+    x = np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), -1 if len(rows) else 1)
     return QualityModel(vectors, fit_network(x, rows["label"].to_numpy()))
 
 
