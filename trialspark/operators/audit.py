@@ -79,6 +79,13 @@ def run_log(spark, path: str, run_id: str, params: dict[str, str], metrics: dict
     spark.createDataFrame(rows, "run_id string, kind string, name string, text string, number double").write.mode("append").parquet(path)
 
 
+def checkpoint_dir(root: str, name: str) -> str:
+    """Path of a new folder for a model's state, by name and time."""
+    from datetime import UTC, datetime
+
+    return f"{root.rstrip('/')}/{name}/{datetime.now(UTC):%Y-%m-%d_%H-%M-%S}"
+
+
 def search_grid(space: dict[str, list], objective: Callable[[dict], float]) -> list[tuple[dict, float | None]]:
     """Every combination of a parameter grid, best first; a failing one is kept with no score."""
     from itertools import product

@@ -92,6 +92,15 @@ def pairwise(left: DataFrame, right: DataFrame, norm: str = "l2") -> DataFrame:
     return block_pairs(left, right, pair, "id bigint, id2 bigint, d double")
 
 
+def kernel_matrix(left: DataFrame, right: DataFrame, function: Callable[[np.ndarray], np.ndarray], norm: str = "l2") -> DataFrame:
+    """Values of any kernel given as a function of arrays of distances: (id, id2, k)."""
+
+    def pair(ids, a, ids2, b):
+        yield {"id": np.repeat(ids, len(ids2)), "id2": np.tile(ids2, len(ids)), "k": np.asarray(function(distances(a, b, norm)), dtype=float).ravel()}
+
+    return block_pairs(left, right, pair, "id bigint, id2 bigint, k double")
+
+
 def _with_radii(centres: DataFrame, radii: DataFrame) -> DataFrame:
     """Blocks with the radius of every row: (block, ids, x, r)."""
     each = centres.select("block", F.posexplode("ids").alias("i", "id")).join(radii, "id")

@@ -64,11 +64,11 @@ def day_count_interpolated(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "nth_mean_impute",
     """WITH n AS (SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN value END AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events)
-    SELECT event_id, round(coalesce(v, avg(v) OVER (PARTITION BY p)), 6) AS value FROM n""",
+    SELECT event_id, round(coalesce(v, avg(v) OVER (PARTITION BY p)), 9) AS value FROM n""",
 )
 def nth_mean_impute(spark: SparkSession, sf: str) -> DataFrame:
     rows = _events(spark, sf).withColumn("value", F.when(F.col("event_id") % 5 != 0, F.col("value")))
-    return seq.fill_by_position(rows, ["user_id"], ["event_id"], "value").select("event_id", F.round("value", 6).alias("value"))
+    return seq.fill_by_position(rows, ["user_id"], ["event_id"], "value").select("event_id", F.round("value", 9).alias("value"))
 
 
 @query(
@@ -224,3 +224,15 @@ def tokenize_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     out = seq.tokenise(_trial(spark, sf), KEYS, TIME, STATIC, EVENTS, 10, 2)
     real = F.aggregate("attention_mask", F.lit(0), lambda s, x: s + x).cast("bigint")
     return out.select("o_custkey", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"), real.alias("n_real"))
+
+
+@query(
+    "start_sequences",
+    """WITH f AS (SELECT o_custkey, c_mktsegment, o_orderstatus, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders JOIN customer ON o_custkey = c_custkey)
+    SELECT o_custkey, '[BOS],' || c_mktsegment || ',[SEP],' || o_orderstatus || ',' || o_orderpriority AS tokens FROM f WHERE r = 1""",
+)
+def start_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    """A mark, the static columns and the first event, to be continued by a generator."""
+    first = seq.start_by_priority(_trial(spark, sf), KEYS, "o_orderstatus", "none", "o_orderdate", ["o_orderkey"])
+    flat = seq.recent_sequences(first, KEYS, TIME, STATIC, EVENTS, 10, 0)
+    return flat.select("o_custkey", F.array_join(seq.wrap(F.col("sequence"), eos=False), ",").alias("tokens"))

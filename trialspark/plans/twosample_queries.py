@@ -113,6 +113,12 @@ def pairwise_dist(spark: SparkSession, sf: str) -> DataFrame:
     return twosample.pairwise(a, b).withColumn("d", F.round("d", 6))
 
 
+@query("kernel_matrix", f"WITH {PAIRS} SELECT id, id2, round(1 / (1 + d), 9) AS k FROM d WHERE side = 0 AND side2 = 0 AND id < 60 AND id2 < 60")
+def kernel_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    b = twosample.blocks(table(spark, sf, "embeddings").where("vec_id < 60 and vec_id % 2 = 0"), "vec_id", "embedding")
+    return twosample.kernel_matrix(b, b, lambda d: 1 / (1 + d)).withColumn("k", F.round("k", 9))
+
+
 @query("k_smallest", f"WITH {PAIRS} SELECT id, k::INTEGER AS k, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d) AS k FROM d WHERE side = 0 AND side2 = 0 AND id <> id2) WHERE k <= 3")
 def k_smallest(spark: SparkSession, sf: str) -> DataFrame:
     b = _blocks(spark, sf, 0)
