@@ -32,15 +32,15 @@ from pyspark.sql import functions as F
 from trialspark.llm.shared import materialise, release
 
 DEGREE = 30
-BEAM = 300
-#: Vectors that meet in a cell.
-CELL = 800
+BEAM = 100
+#: Vectors in a cell at the start, and in one where neighbours meet.
+START_CELL, CELL = 4000, 800
 #: Sets of cells by hyperplanes, and rounds of NN-descent.
-TABLES, DESCENTS = 4, 2
-#: Neighbours that a vector learns from a cell in a round of descent.
-LEARNT = 6
+TABLES, DESCENTS = 8, 2
+#: Neighbours that a vector learns from a cell at the start, and where neighbours meet.
+START_LEARNT, LEARNT = 12, 6
 #: Nearest neighbours, and those that name a vector among theirs, that meet in its cell.
-MEET = 14
+MEET = 16
 
 
 def usable(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -93,13 +93,15 @@ def _meet(learn: int):
             x = x.astype(np.float64)
             x = x - x.mean(0)
             norm = (x * x).sum(1)
-            d2 = np.maximum(norm[:, None] + norm[None, :] - 2 * (x @ x.T), 0)
-            d2[ids[:, None] == ids[None, :]] = np.inf
             k = min(learn, m - 1)
-            near = np.argpartition(d2, k - 1, axis=1)[:, :k]
-            best = np.take_along_axis(d2, near, axis=1)
-            real = np.isfinite(best)
-            out.append((np.repeat(ids, k)[real.ravel()], ids[near][real], best[real]))
+            for low in range(0, m, 512):  # a block of rows at a time
+                part = slice(low, low + 512)
+                d2 = np.maximum(norm[part, None] + norm[None, :] - 2 * (x[part] @ x.T), 0)
+                d2[ids[part, None] == ids[None, :]] = np.inf
+                near = np.argpartition(d2, k - 1, axis=1)[:, :k]
+                best = np.take_along_axis(d2, near, axis=1)
+                real = np.isfinite(best)
+                out.append((np.repeat(ids[part], k)[real.ravel()], ids[near][real], best[real]))
             rows += m * k
             if rows > 100_000:
                 yield flush()
@@ -127,7 +129,7 @@ def _start(vectors: DataFrame, tables: int) -> DataFrame:
     """Cells of bounded size to start from: one random set, the others by sides of random hyperplanes."""
     n = vectors.count()
     dims = [r["dim"] for r in vectors.select("dim").distinct().orderBy("dim").limit(64).collect()]
-    bits = max(0, int(np.ceil(np.log2(max(n, 1) / (CELL / 2)))))
+    bits = max(0, int(np.ceil(np.log2(max(n, 1) / START_CELL))))
     rng = np.random.default_rng(3)
     planes = {d: rng.normal(size=(tables, max(bits, 1), d)) for d in dims}
     centre = {r["dim"]: r["m"] for r in vectors.select("dim", F.posexplode("vec").alias("i", "x")).groupBy("dim", "i").agg(F.avg("x").alias("a")).groupBy("dim").agg(F.array_sort(F.collect_list(F.struct("i", "a"))).alias("m")).collect()}
@@ -154,14 +156,14 @@ def _start(vectors: DataFrame, tables: int) -> DataFrame:
     keys = keys.join(vectors.select("id", "dim"), "id")
     sizes = keys.groupBy("dim", "table", "code").agg(F.count(F.lit(1)).alias("size"))
     keys = keys.join(sizes, ["dim", "table", "code"])
-    chunk = F.pmod(F.xxhash64("id", "table"), F.ceil(F.col("size") / CELL))
+    chunk = F.pmod(F.xxhash64("id", "table"), F.ceil(F.col("size") / START_CELL))
     return keys.select("id", F.xxhash64("dim", "table", "code", chunk).alias("cell")).join(vectors.select("id", F.col("vec")), "id")
 
 
 def build_graph(vectors: DataFrame, degree: int = DEGREE, descents: int = DESCENTS, tables: int = TABLES) -> DataFrame:
     """Neighbour graph of usable vectors (id, vec, dim): rows (id, near, d2)."""
     single = materialise(vectors.select("id", "dim", F.transform("vec", lambda x: x.cast("float")).alias("vec")), "vectors-single")
-    graph = materialise(_nearest(_cells(_start(single, tables), degree), degree), "graph")
+    graph = materialise(_nearest(_cells(_start(single, tables), START_LEARNT), degree), "graph")
     for r in range(descents):
         close = graph.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("d2", "near"))).where(F.col("r") <= MEET)
         both = close.select(F.col("id").alias("centre"), F.col("near").alias("id")).union(close.select(F.col("near"), F.col("id"))).distinct()
