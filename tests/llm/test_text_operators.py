@@ -44,7 +44,7 @@ def test_cached_encoder_equals_the_library(plain, spark, sf_dir):
     texts += ["a　b c", "x   y", "tab\t tab", "a \x1c b", "' s 's'", "1 23  4"]
     enc = bpe.CachedEncoder(bpe.default_tokenizer_path(), "<u4")
     for _ in range(2):  # unseen, then remembered
-        got = [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)]
+        got = [np.frombuffer(x, "<u4").tolist() for x in enc.encode([t.encode() for t in texts])]
         assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 

@@ -1,20 +1,29 @@
 """Byte-level BPE of whole texts with the tokenizers library, remembering words.
 
-A single space between two non-space characters always starts a new
-pre-token of the byte-level pattern, so a text may be cut there and the ids of
-the pieces joined.  Texts repeat their words, so the ids of a piece are kept in
-a bounded cache per worker process and each batch encodes only unseen pieces.
+A single space between two characters that are not white space always starts a
+new pre-token of the byte-level pattern, so a text may be cut there and the ids
+of the pieces joined.  The pieces of a batch are found and hashed as arrays, only
+distinct ones are looked up, and a worker keeps the ids of the pieces it has seen
+in a bounded cache, so the tokenizer runs on unseen pieces alone.
+
+Pieces of up to ``EXACT_BYTES`` bytes are told apart by 64-bit hashes and their
+lengths, longer ones by their bytes.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 
-#: Pieces remembered by a worker; the cache starts anew beyond this number.
-CACHE_PIECES = 800_000
+from trialspark.llm.hashing import mix64, piece_hashes
+
+#: Pieces remembered by a worker; beyond this number only those of the current batch stay.
+CACHE_PIECES = 1_000_000
+#: Unseen pieces that are encoded as one line.
+PER_CALL = 200
+EXACT_BYTES = 64
+_FIRST = np.uint64(0x5851F42D4C957F2D)  # tells a piece at the start of a text from one after a space
 
 
 def default_tokenizer_path() -> str:
@@ -23,19 +32,21 @@ def default_tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-_TWO_SPACES = re.compile(r"\s\s")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-
-
-def pieces_of(text: str) -> list[str]:
-    """Cut a text at every single space between two non-space characters (the space itself goes)."""
-    if _TWO_SPACES.search(text) or text[:1].isspace() or text[-1:].isspace():
-        return _CUT.split(text)
-    return text.split(" ")
-
+def cut_positions(buf: np.ndarray) -> np.ndarray:
+    """Places of the spaces at which a text may be cut.
 
-#: No space inside, so that its first token alone starts with a space.
-_PLAIN = re.compile(r"\S[^ ]*")
+    White space on either side forbids it.  Beyond ASCII, white space starts with
+    one of four bytes; next to a character that starts with one of these there is
+    no cut either, which is safe.
+    """
+    at = np.flatnonzero(buf == 32)
+    at = at[(at > 2) & (at < len(buf) - 1)]
+    before, after = buf[at - 1], buf[at + 1]
+    odd = np.zeros(256, dtype=bool)
+    odd[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+    wide = before >= 0x80
+    bad = (before <= 32) | (after <= 32) | odd[after] | (wide & (odd[buf[at - 2]] | odd[buf[at - 3]]))
+    return at[~bad]
 
 
 class CachedEncoder:
@@ -50,42 +61,85 @@ class CachedEncoder:
         self.begins = np.zeros(size, dtype=bool)  # ids of tokens that start with a space
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.begins[i] = token.startswith("Ġ")
-        self.first: dict[str, bytes] = {}  # pieces at the start of a text
-        self.after: dict[str, bytes] = {}  # pieces that follow a space
-
-    def _learn(self, missing: list[str]) -> None:
-        """Encode unseen pieces that follow a space: plain ones in one call, cut where a token starts with a space."""
-        width = self.dtype.itemsize
-        plain = [p for p in missing if _PLAIN.fullmatch(p)]
-        for at in range(0, len(plain), 20_000):
-            some = plain[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, dtype=self.dtype)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slot: dict[int, int] = {}  # hash of a piece: its place below
+        self.start = np.zeros(1 << 10, dtype=np.int64)
+        self.count = np.zeros(1 << 10, dtype=np.int64)
+        self.pool = np.zeros(1 << 12, dtype=self.dtype)
+        self.used = 0
+
+    def _remember(self, keys: list[int], ids: np.ndarray, counts: np.ndarray) -> None:
+        """Add pieces whose ids stand one after the other in ``ids``."""
+        n = len(self.slot)
+        while n + len(keys) > len(self.start):
+            self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.count[n : n + len(keys)] = counts
+        self.start[n : n + len(keys)] = self.used + np.cumsum(counts) - counts
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.slot.update(zip(keys, range(n, n + len(keys)), strict=True))
+
+    def _learn(self, keys: list[int], pieces: list[str]) -> None:
+        """Encode unseen pieces: those of a space and no more spaces in lines, cut where a token starts with a space."""
+        plain = [k for k, p in enumerate(pieces) if p[:1] == " " and " " not in p[1:]]
+        rest = [k for k, p in enumerate(pieces) if p[:1] != " " or " " in p[1:]]
+        lines = [plain[at : at + PER_CALL] for at in range(0, len(plain), PER_CALL)]
+        for some, e in zip(lines, self.tokenizer.encode_batch_fast(["".join([pieces[k] for k in some]) for some in lines], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype=self.dtype)
             cuts = np.flatnonzero(self.begins[ids])
             if len(cuts) == len(some) and not cuts[0]:
-                raw, ends = ids.tobytes(), np.append(cuts[1:], len(ids)) * width
-                self.after.update(zip(some, map(raw.__getitem__, map(slice, (cuts * width).tolist(), ends.tolist())), strict=True))
-        rest = [p for p in missing if p not in self.after]
+                self._remember([keys[k] for k in some], ids, np.diff(np.append(cuts, len(ids))))
+            else:
+                rest += some
         if rest:
-            for piece, e in zip(rest, self.tokenizer.encode_batch([" " + p for p in rest], add_special_tokens=False), strict=True):
-                self.after[piece] = np.array(e.ids, dtype=self.dtype).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of every text as packed integers."""
-        if len(self.after) + len(self.first) > CACHE_PIECES:
-            self.first, self.after = {}, {}
-        cut = [pieces_of(t) for t in texts]
-        starts = list({p[0] for p in cut} - self.first.keys())
-        if starts:
-            for piece, e in zip(starts, self.tokenizer.encode_batch(starts, add_special_tokens=False), strict=True):
-                self.first[piece] = np.array(e.ids, dtype=self.dtype).tobytes()
-        words: set[str] = set()
-        for pieces in cut:
-            words.update(pieces[1:])
-        missing = words.difference(self.after)
+            found = [np.array(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch_fast([pieces[k] for k in rest], add_special_tokens=False)]
+            self._remember([keys[k] for k in rest], np.concatenate(found), np.array([len(f) for f in found]))
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of every text (UTF-8) as packed integers."""
+        buf = np.frombuffer(b"\n".join(texts), dtype=np.uint8)  # no cut next to the line ends between texts
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        begin = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
+        cuts = cut_positions(buf)
+        start, end = np.sort(np.concatenate([begin, cuts])), np.sort(np.concatenate([begin + sizes, cuts]))
+        unit = np.searchsorted(start, begin)
+        # a piece after a cut starts with its space; equal starts cannot be: a cut is inside a text
+        key = piece_hashes(buf, start, end)
+        key[unit] = mix64(key[unit] ^ _FIRST)
+        for k in np.flatnonzero(end - start > EXACT_BYTES):
+            piece = buf[start[k] : end[k]].tobytes()
+            key[k] = np.uint64(hash((piece, bool(buf[start[k]] == 32))) & 0xFFFFFFFFFFFFFFFF)
+        distinct, first, back = np.unique(key, return_index=True, return_inverse=True)
+        names = distinct.tolist()
+        if len(self.slot) + len(names) > CACHE_PIECES:
+            self._keep(names)
+        missing = [k for k, name in enumerate(names) if name not in self.slot]
         if missing:
-            self._learn(list(missing))
-        get = self.after.__getitem__
-        return [self.first[pieces[0]] + b"".join(map(get, pieces[1:])) for pieces in cut]
+            at = first[missing]
+            raw = buf.tobytes()
+            self._learn([names[k] for k in missing], [raw[a:b].decode("utf-8") for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+        slots = np.fromiter(map(self.slot.__getitem__, names), dtype=np.int64, count=len(names))[back]
+        counts = self.count[slots]
+        stops = np.cumsum(counts)
+        total = int(stops[-1]) if len(stops) else 0
+        ids = self.pool[np.repeat(self.start[slots] - (stops - counts), counts) + np.arange(total)]
+        edges = np.append((stops - counts)[unit], total).tolist()
+        return [ids[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]
+
+    def _keep(self, names: list[int]) -> None:
+        """Forget all pieces but the given ones."""
+        slot, start, count, pool = self.slot, self.start, self.count, self.pool
+        self._clear()
+        held = [n for n in names if n in slot]
+        if held:
+            old = np.array([slot[n] for n in held])
+            counts = count[old]
+            stops = np.cumsum(counts)
+            self._remember(held, pool[np.repeat(start[old] - (stops - counts), counts) + np.arange(int(stops[-1]))], counts)
 
 
 _encoders: dict[tuple[str, str], CachedEncoder] = {}

@@ -21,6 +21,7 @@ _BYTE_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + n
 _POSITION_KEYS = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_EXACT_VALUE = _BYTE_VALUE.copy()
 _BYTE_VALUE = _BYTE_VALUE[_LOWER]
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -61,7 +62,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTE_VALUE) -> np.ndarray:
     """Hash of every byte span; spans are sorted and do not overlap."""
     out = np.empty(len(starts), dtype=np.uint64)
     if not len(starts):
@@ -74,7 +75,7 @@ def _span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
         if j <= i:  # one span is longer than a block: hash it piece by piece
             acc, at, end = 0, base, int(ends[i])
             while at < end:
-                piece = _BYTE_VALUE[buf[at : min(at + BLOCK_BYTES, end)]]
+                piece = values[buf[at : min(at + BLOCK_BYTES, end)]]
                 h = int((piece * power[: len(piece)]).sum(dtype=np.uint64))
                 acc = (acc * int(power[BLOCK_BYTES]) * 3 + h) & _MASK64
                 at += BLOCK_BYTES
@@ -83,13 +84,18 @@ def _span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
             continue
         last = int(ends[j - 1])
         prefix = np.zeros(last - base + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_VALUE[buf[base:last]] * power[: last - base], out=prefix[1:])
+        np.cumsum(values[buf[base:last]] * power[: last - base], out=prefix[1:])
         s, e = starts[i:j] - base, ends[i:j] - base
         out[i:j] = (prefix[e] - prefix[s]) * inverse[s]
         i = j
     return mix64(out + (ends - starts).astype(np.uint64) * np.uint64(_BASE))
 
 
+def piece_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of every byte span, letters in their case."""
+    return _span_hash(buf, starts, ends, _EXACT_VALUE)
+
+
 def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end offsets of the words of a byte buffer."""
     word = np.empty(len(buf) + 2, dtype=np.int8)

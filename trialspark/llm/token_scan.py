@@ -31,6 +31,8 @@ from trialspark.llm.shared import documents_of, local_filesystem, materialise, s
 
 #: Ids in a block; a task holds one block in memory at a time.
 BLOCK_IDS = 1 << 21
+#: UTF-8 bytes of text that are encoded at a time.
+TEXT_BYTES = 4 << 20
 
 
 def write_flat(docs: DataFrame, tokenizer_path: str, separator: int, folder: str) -> DataFrame:
@@ -45,12 +47,12 @@ def write_flat(docs: DataFrame, tokenizer_path: str, separator: int, folder: str
         end = np.array([separator], dtype="<u2").tobytes()
         fs, root = local_filesystem(folder)
         sink, path, written = None, "", 0
-        for batch, texts in text_batches(batches):
+        for batch, texts in text_batches(batches, TEXT_BYTES):
             if sink is None:
                 fs.create_dir(root, recursive=True)
                 path = f"flat-{uuid.uuid4().hex}.u16"
                 sink = fs.open_output_stream(f"{root}/{path}")
-            for ids in enc.encode([t.decode("utf-8") for t in texts]):
+            for ids in enc.encode(texts):
                 sink.write(ids + end)
             yield pa.RecordBatch.from_arrays(
                 [

@@ -43,6 +43,9 @@ MAGIC = b"TSK1"
 NULL_ID = -(1 << 63)  # how a null doc_id is written in the seek table
 ENTRY = np.dtype([("doc_id", "<i8"), ("start", "<u8"), ("n", "<u4"), ("size", "<u4"), ("crc", "<u4")])
 
+#: UTF-8 bytes of text that are encoded at a time.
+TEXT_BYTES = 4 << 20
+
 
 class ShardWriter:
     """Appends frames to a binary file; ``close`` writes the seek table."""
@@ -89,57 +92,35 @@ class ShardReader:
         return raw
 
 
-def encode_frames(docs: DataFrame, tokenizer_path: str, level: int = 1) -> DataFrame:
-    """One compressed frame for each document: (doc_id, n, crc, frame)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compress = zstandard.ZstdCompressor(level=level).compress
-        end = np.array([END_ID], dtype="<u4").tobytes()
-        enc = bpe.encoder(tokenizer_path, "<u4")
-        for batch, texts in text_batches(batches):
-            packed = [ids + end for ids in enc.encode([t.decode("utf-8") for t in texts])]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()),
-                    pa.array([len(p) // 4 for p in packed], pa.int64()),
-                    pa.array([zlib.crc32(p) for p in packed], pa.int64()),
-                    pa.array(list(map(compress, packed)), pa.binary()),
-                ],
-                names=["doc_id", "n", "crc", "frame"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, crc bigint, frame binary")
-
-
-def write_store(docs: DataFrame, tokenizer_path: str, folder: str) -> DataFrame:
+def write_store(docs: DataFrame, tokenizer_path: str, folder: str, level: int = 1) -> DataFrame:
     """Write the documents' ids below ``folder``; returns the manifest (path, first_id, n_docs, n_tokens).
 
-    Documents are encoded where they are read; only the compressed frames move,
-    ranged by doc_id.  A task writes its shard under a name of its own and the
-    manifest holds the names of the tasks that succeeded, so a retried or
-    speculative attempt leaves at most an unlisted file.
+    Documents are ranged by doc_id (equal ids by a hash of their texts, so that
+    ties spread over shards) and each task encodes its range and writes one shard
+    under a name of its own.  The manifest holds the names of the tasks that
+    succeeded, so a retried or speculative attempt leaves at most an unlisted file.
     """
-    frames = materialise(encode_frames(docs, tokenizer_path), "frames", "none")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = frames.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
-        F.col("doc_id").asc_nulls_first(), "crc", "n"
-    )
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ranged = docs.select("doc_id", "text").repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, sink, name, first, count = None, None, "", None, 0
         fs, root = local_filesystem(folder)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        compress = zstandard.ZstdCompressor(level=level).compress
+        end = np.array([END_ID], dtype="<u4").tobytes()
+        enc = bpe.encoder(tokenizer_path, "<u4")
+        for batch, texts in text_batches(batches, TEXT_BYTES):
+            ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()).to_pylist()
             if writer is None:
                 fs.create_dir(root, recursive=True)
                 name = f"shard-{uuid.uuid4().hex}.tok"
                 sink = fs.open_output_stream(f"{root}/{name}")
-                writer = ShardWriter(sink)
-                first = batch.column(0)[0].as_py()
-            for doc, n, crc, frame in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                writer.add(NULL_ID if doc is None else doc, frame, n, crc)
-            count += batch.num_rows
+                writer, first = ShardWriter(sink), ids[0]
+            for doc, packed in zip(ids, enc.encode(texts), strict=True):
+                packed += end
+                writer.add(NULL_ID if doc is None else doc, compress(packed), len(packed) // 4, zlib.crc32(packed))
+            count += len(ids)
         if writer is not None:
             writer.close()
             sink.close()
