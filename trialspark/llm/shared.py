@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text that one vectorised step handles at a time (a longer text goes alone).
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 _made: list[tuple[SparkSession, str]] = []
 
