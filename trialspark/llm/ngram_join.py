@@ -223,7 +223,8 @@ def similarity_components(docs: DataFrame, size: int = 4, percent: int = 85) ->
     prefix = materialise(prefix, "ngram-prefixes")
     # a star for every n-gram: the smallest class that has it among its first
     centre = prefix.groupBy("token").agg(F.min("uid").alias("centre"), F.max("uid").alias("other")).where("centre <> other")
-    star = prefix.join(centre.select("token", "centre"), "token").where("uid <> centre").select("uid", "centre").distinct()
+    centre = materialise(centre.select("token", "centre"), "ngram-centres")  # so that the join can split a common n-gram
+    star = prefix.join(centre, "token").where("uid <> centre").select("uid", "centre").distinct()
     clusters = connected_components(star)
     whole = sets.where("fragment < 0").select("uid", "items").dropDuplicates(["uid"])
     links = link_clusters(clusters.select(F.col("component").alias("cluster"), F.col("node").alias("uid")).join(whole, "uid"), percent)
