@@ -102,9 +102,22 @@ class Paragraphs:
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(self.shingles), dtype=np.uint64)])
         if len(self.at):
             self.content = mix64(total[self.at + _SHINGLES] - total[self.at] + self.shingles[self.at]).view(np.int64)
+            self._merge()
         else:
             self.content = np.empty(0, dtype=np.int64)
 
+    def _merge(self) -> None:
+        """Overlapping paragraphs of one text with the same words (text that repeats itself) become one."""
+        order = np.lexsort((self.at, self.content, self.owner))
+        at, content, owner = self.at[order], self.content[order], self.owner[order]
+        new = (content[1:] != content[:-1]) | (owner[1:] != owner[:-1]) | (at[1:] - at[:-1] > PARAGRAPH_WORDS)
+        first = order[np.concatenate([[True], new])]
+        last = order[np.concatenate([new, [True]])]
+        by = np.argsort(self.at[first], kind="stable")
+        first, last = first[by], last[by]
+        self.end = self.end[last]
+        self.at, self.start, self.owner, self.content = self.at[first], self.start[first], self.owner[first], self.content[first]
+
     def bands(self) -> np.ndarray:
         """Band hashes, one row for each band."""
         out = np.empty((BANDS, len(self.at)), dtype=np.uint64)
@@ -238,8 +251,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     members = near.select(F.col("key").alias("cluster"), F.col("content").alias("uid")).join(sets, "uid")
     labels = connected_components(link_clusters(members, PERCENT, "<u4")).withColumnRenamed("node", "content")
     spots = places.select("content", "doc_id", "start", "stop").distinct()
-    spots = spots.join(labels, "content", "left").withColumn("cluster", F.coalesce("component", "content")).select("cluster", "doc_id", "start", "stop")
+    spots = spots.join(labels, "content", "left").withColumn("cluster", F.coalesce("component", "content"))
+    spots = materialise(spots.select("cluster", "doc_id", "start", "stop"), "paragraph-spots")
     kept = spots.groupBy("cluster").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("last")).where("kept_in < last").select("cluster", "kept_in")
+    kept = materialise(kept, "paragraph-clusters")  # so that the join can split a common passage
     return spots.join(kept, "cluster").where("doc_id <> kept_in").select("doc_id", "start", "stop", "cluster", "kept_in")
 
 
