@@ -170,6 +170,32 @@ def test_near_paragraphs_are_linked(spark):
     assert {(r["doc_id"], r["kept_in"]) for r in passages.passages(df).collect()} == {(2, 1), (4, 1)}
 
 
+def test_exact_repeats_are_covered_whole(spark):
+    rng = np.random.default_rng(11)
+    rows, want = [], {}
+    for k in range(60):
+        passage = filler(rng, (51, 60, 75, 100, 200)[k % 5])
+        ends = [[f"{side}{k}_{copy}" for side in "ab"] for copy in (0, 1)]  # words beside the passage differ
+        for copy, (a, b) in enumerate(ends):
+            head = f"{filler(rng, k % 40)} {a} " if k % 3 else ""
+            tail = f" {b} {filler(rng, k % 30)}" if k % 4 else ""
+            if copy:
+                start = len(head.encode())
+                want[1000 + k] = (start, start + len(passage.encode()), k)
+            rows.append((1000 * copy + k, head + passage + tail))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = passages.passages(df).collect()
+    assert sorted(r["doc_id"] for r in out) == sorted(want)  # one row for each
+    for r in out:
+        start, stop, kept_in = want[r["doc_id"]]
+        raw = dict(rows)[r["doc_id"]].encode()
+        assert r["kept_in"] == kept_in and r["start"] <= start and r["stop"] >= stop
+        beyond = raw[r["start"] : start].split(), raw[stop : r["stop"]].split()
+        assert max(map(len, beyond)) <= 2  # a similar paragraph may reach a word or two beyond
+    exact = sum((r["start"], r["stop"], r["kept_in"]) == want[r["doc_id"]] for r in out)
+    assert exact >= 0.9 * len(out)
+
+
 def test_passages_repeated_in_one_document_stay(spark):
     text = filler(np.random.default_rng(5), 60)
     df = spark.createDataFrame([(1, f"{text} {text}")], "doc_id bigint, text string")

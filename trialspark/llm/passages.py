@@ -15,7 +15,12 @@ anchor, and the same paragraph, in both.
   needs a Jaccard similarity of 0.8.
 * Contents that links connect are one cluster.  A cluster that occurs in two or
   more documents stays in the smallest doc_id among them and is a repeat in all
-  others; the repeats of a document that touch are one passage.
+  others.
+* A repeat grows word by word to both sides while its words are those beside a
+  paragraph of its cluster in the document that keeps it.  Within a shared run the
+  next anchor is at most ``ANCHOR_SPAN`` words away, so as many words on each side
+  reach the run's real ends.  The grown repeats of a document that touch are one
+  passage.
 
 Bands are compared by 32 bits within a hash fragment: what collides by chance
 fails the exact comparison.  All pieces that move are packed arrays.
@@ -46,6 +51,8 @@ ANCHOR_SPAN = 26
 SHINGLE = 5
 BANDS, ROWS = 3, 2
 PERCENT = 80
+#: Paragraphs of a cluster that grow in one cell.
+CHUNK = 1024
 _SHINGLES = PARAGRAPH_WORDS - SHINGLE + 1
 _SALTS = np.random.default_rng(5).integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = np.uint64((1 << 22) - 1)
@@ -226,8 +233,102 @@ def _item_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.binary())], names=["uid", "items"])
 
 
+def _contents(h: np.ndarray) -> np.ndarray:
+    """Content hashes of paragraphs, from rows of the hashes of their words."""
+    at = np.arange(len(h))[:, None] * PARAGRAPH_WORDS + np.arange(_SHINGLES)
+    shingles = combine(h.ravel(), SHINGLE)[at]
+    return mix64(mix64(shingles).sum(1, dtype=np.uint64) + shingles[:, 0]).view(np.int64)
+
+
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words beside the spots of every text, and for repeats the bytes from the spot to the far end of each.
+
+    The hashes go outwards from the spot's own first and last word; beyond the text stands 0, in a kept text 1.
+    """
+    steps = np.arange(ANCHOR_SPAN + 1)
+    for batch, texts in text_batches(batches):
+        words = Words(texts)
+        spots = batch.column(batch.schema.get_field_index("spots"))
+        owner = np.repeat(np.arange(len(texts)), np.diff(spots.offsets.to_numpy()))
+        cluster, content, start, stop, kept_in, chunks = (x.to_numpy(zero_copy_only=False) for x in spots.flatten().flatten())
+        ids = column_of(batch, "doc_id")[owner]
+        offset = words.text_start[owner]
+        first, last = np.searchsorted(words.start, offset + start), np.searchsorted(words.end, offset + stop)
+        # rows that share a doc_id: only the text that has the paragraph where the spot says
+        here = (first + PARAGRAPH_WORDS <= words.first[owner + 1]) & (last < words.first[owner + 1])
+        i = np.flatnonzero(here)
+        here[i] = (words.start[first[i]] == offset[i] + start[i]) & (words.end[last[i]] == offset[i] + stop[i])
+        i = np.flatnonzero(here)
+        i = i[_contents(words.hash[first[i, None] + np.arange(PARAGRAPH_WORDS)]) == content[i]] if len(i) else i
+        if not len(i):
+            continue
+        kept = ids[i] == kept_in[i]
+        hashes = np.maximum(words.hash >> np.uint64(32), 2).astype("<u4")
+        sides, reach = [], []
+        for at, far, edge in ((first[i, None] - steps, words.start, start), (last[i, None] + steps, words.end, stop)):
+            inside = (at >= words.first[owner[i], None]) & (at < words.first[owner[i] + 1, None])
+            at = np.where(inside, at, first[i, None])
+            sides.append(np.where(inside, hashes[at], kept[:, None]).astype("<u4"))
+            reach.append(np.abs(far[at] - (offset[i] + edge[i])[:, None]).astype("<u4"))
+        both = np.concatenate(reach, axis=1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x[i]) for x in (cluster, ids, start, stop, kept_in, chunks)]
+            + [pa.array([x.tobytes() for x in side], pa.binary()) for side in sides]
+            + [pa.array([b"" if k else x.tobytes() for k, x in zip(kept, both, strict=True)], pa.binary())],
+            names=["cluster", "doc_id", "start", "stop", "kept_in", "chunks", "before", "after", "reach"],
+        )
+
+
+def _longest(cell: np.ndarray, sides: np.ndarray, repeat: np.ndarray) -> np.ndarray:
+    """Words that every repeat has in common with a kept side of its cell, the one it shares most with; less the spot's own."""
+    key = np.concatenate([cell.astype(">i8").view(">u4").reshape(-1, 2), sides.astype(">u4")], axis=1)
+    flat = np.ascontiguousarray(key).view(f"S{4 * key.shape[1]}").ravel()
+    kept = np.flatnonzero(~repeat)
+    kept = kept[np.argsort(flat[kept])]
+    at, best = np.searchsorted(flat[kept], flat[repeat]), np.zeros(int(repeat.sum()), dtype=np.int64)
+    if not len(kept):
+        return best
+    for near in (at - 1, at):  # in order, the longest common start is with a neighbour
+        other = kept[np.clip(near, 0, len(kept) - 1)]
+        # the own word has to agree too: paragraphs that are only similar may be shifted
+        best = np.maximum(best, np.cumprod(key[repeat] == key[other], axis=1).sum(1) - 3)
+    return best
+
+
+def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Grown spans of repeats; the rows of a cell, its kept sides among them (no reach), arrive in a row."""
+    names = ["doc_id", "start", "stop", "cluster", "kept_in"]
+
+    def grown(table: pa.Table) -> pa.RecordBatch:
+        cell = table.column("cell").to_numpy()
+        matrix = lambda t, name: np.frombuffer(b"".join(t.column(name).to_pylist()), "<u4").reshape(t.num_rows, -1 if t.num_rows else 1)
+        repeat = table.column("doc_id").to_numpy() != table.column("kept_in").to_numpy()
+        if not repeat.any():
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 5, names=names)
+        left, right = (_longest(cell, matrix(table, name), repeat) for name in ("before", "after"))
+        some = table.filter(pa.array(repeat))
+        reach, rows = matrix(some, "reach").astype(np.int64), np.arange(some.num_rows)
+        first = some.column("start").to_numpy() - reach[rows, left]
+        last = some.column("stop").to_numpy() + reach[rows, ANCHOR_SPAN + 1 + right]
+        ids, cluster, kept_in = (some.column(n).to_numpy() for n in ("doc_id", "cluster", "kept_in"))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, first, last, cluster, kept_in)], names=names)
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        cell = batch.column(batch.schema.get_field_index("cell")).to_numpy()
+        if cell[0] != cell[-1]:
+            done = int(np.searchsorted(cell, cell[-1]))
+            yield grown(pa.Table.from_batches([*held[:-1], batch.slice(0, done)]))
+            held = [batch.slice(done)]
+    if held:
+        yield grown(pa.Table.from_batches(held))
+
+
 def repeats(docs: DataFrame) -> DataFrame:
-    """Repeated paragraphs: (doc_id, start, stop, cluster, kept_in), bytes of the UTF-8 text.
+    """Repeated paragraphs, grown: (doc_id, start, stop, cluster, kept_in), bytes of the UTF-8 text.
 
     ``kept_in`` is the smallest doc_id of the cluster; the document of that id keeps
     the passage and has no row.
@@ -252,10 +353,24 @@ def repeats(docs: DataFrame) -> DataFrame:
     labels = connected_components(link_clusters(members, PERCENT, "<u4")).withColumnRenamed("node", "content")
     spots = places.select("content", "doc_id", "start", "stop").distinct()
     spots = spots.join(labels, "content", "left").withColumn("cluster", F.coalesce("component", "content"))
-    spots = materialise(spots.select("cluster", "doc_id", "start", "stop"), "paragraph-spots")
-    kept = spots.groupBy("cluster").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("last")).where("kept_in < last").select("cluster", "kept_in")
+    spots = materialise(spots.select("cluster", "content", "doc_id", "start", "stop"), "paragraph-spots")
+    release(places)
+    release(sets)
+    kept = spots.groupBy("cluster").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("size"))
+    kept = kept.where("kept_in < last").select("cluster", "kept_in", F.ceil(F.col("size") / CHUNK).cast("bigint").alias("chunks"))
     kept = materialise(kept, "paragraph-clusters")  # so that the join can split a common passage
-    return spots.join(kept, "cluster").where("doc_id <> kept_in").select("doc_id", "start", "stop", "cluster", "kept_in")
+    spots = spots.join(kept, "cluster")
+    listed = spots.groupBy("doc_id").agg(F.collect_list(F.struct("cluster", "content", "start", "stop", "kept_in", "chunks")).alias("spots"))
+    beside = docs.join(listed.hint("merge"), "doc_id").mapInArrow(
+        _beside, "cluster bigint, doc_id bigint, start bigint, stop bigint, kept_in bigint, chunks bigint, before binary, after binary, reach binary"
+    )
+    beside = materialise(beside, "paragraph-sides")
+    # the repeats of a cluster are dealt to chunks of bounded size, and its kept sides go to each
+    chunk = F.pmod(F.xxhash64("doc_id", "start"), F.col("chunks"))
+    dealt = beside.withColumn("chunk", F.explode(F.when(F.col("doc_id") == F.col("kept_in"), F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).otherwise(F.array(chunk))))
+    columns = ["doc_id", "start", "stop", "cluster", "kept_in", "before", "after", "reach"]
+    dealt = dealt.select(F.xxhash64("cluster", "chunk").alias("cell"), *columns).repartition(fragments, "cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(_grow, "doc_id bigint, start bigint, stop bigint, cluster bigint, kept_in bigint")
 
 
 def passages(docs: DataFrame) -> DataFrame:
