@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from trialspark import schema
-from trialspark.operators import audit, merge, mmd, models, prep, privacy, sequences, stats, subjects, twosample
+from trialspark.operators import audit, merge, mmd, models, prep, privacy, ranging, sequences, stats, subjects, twosample
 from trialspark.sources import files
 
 
@@ -60,7 +60,8 @@ def test_encoder_unknown_and_constant(spark):
 
 
 def test_kmeans_edges():
-    assert prep.lloyd_1d([0.0, 1.0, 10.0, 11.0], [1, 1, 1, 1], 2) == [0.5, 10.5]
+    values, weights = np.array([0.0, 1.0, 10.0, 11.0]), np.ones(4)
+    assert prep.lloyd_1d(lambda c: prep.lloyd_step(values, weights, c), 0.0, 11.0, 2) == [0.5, 10.5]
 
 
 def test_binner_is_closed_on_the_left(spark):
@@ -69,7 +70,7 @@ def test_binner_is_closed_on_the_left(spark):
 
 
 def test_field_mask_golden(spark):
-    df = spark.createDataFrame([(["[BOS]", "Female", "White", "[SEP]", "A", "38", "[SEP]", "A", "37", "[PAD]"],)], "t array<string>")
+    df = spark.createDataFrame([(["[BOS]", "Female", "White", "[START_EVENT]", "A", "38", "[START_EVENT]", "A", "37", "[PAD]"],)], "t array<string>")
     got = df.select(sequences.field_mask(F.col("t"), ["Sex", "Gender"], ["Type", "Size"])).first()[0]
     assert got == ["SPECIAL", "Sex", "Gender", "SPECIAL", "Type", "Size", "SPECIAL", "Type", "Size", "SPECIAL"]
 
@@ -81,7 +82,7 @@ def test_padding_golden(spark):
 
 
 def test_sequences_to_table_golden(spark):
-    df = spark.createDataFrame([(1, ["[BOS]", "p", "c", "[SEP]", "a", "b", "[SEP]", "x", "y"])], "id int, s array<string>")
+    df = spark.createDataFrame([(1, ["[BOS]", "p", "c", "[START_EVENT]", "a", "b", "[START_EVENT]", "x", "y"])], "id int, s array<string>")
     assert rows(sequences.sequences_to_table(df, "id", "s", ["P", "C"], ["A", "B"])) == [(1, 1, "p", "c", "a", "b"), (1, 2, "p", "c", "x", "y")]
 
 
@@ -119,6 +120,16 @@ def test_natural_breaks_against_all_cuts():
         assert cost == pytest.approx(min(within(list(c)) for c in combinations(range(1, 9), k - 1)), abs=1e-9)
 
 
+def test_natural_breaks_of_many_values():
+    x = np.sort(np.random.default_rng(1).gamma(2.0, size=5000))
+    fits = privacy.natural_breaks(x, np.ones(5000), 4)
+    cuts = np.searchsorted(x, fits[2][1], side="right")
+    cost = lambda c: sum(((p - p.mean()) ** 2).sum() for p in np.split(x, c))
+    assert fits[2][0] == pytest.approx(cost(cuts))
+    for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1)):
+        assert cost(cuts + [i, j]) >= cost(cuts)
+
+
 def test_split_keeps_subjects_together(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     train, test = subjects.grouped_split(orders, ["o_custkey"], 0.25)
@@ -128,10 +139,51 @@ def test_split_keeps_subjects_together(spark, sf_dir):
 
 def test_ordinals_are_dense(spark):
     df = spark.range(1000, numPartitions=7).select((F.col("id") * 7919 % 1000).alias("k"))
-    out = rows(merge.with_ordinal(df, ["k"]).select("k", "_row"))
+    out = rows(ranging.with_ordinal(df, ["k"]).select("k", "_row"))
     assert out == [(k, k) for k in range(1000)]
 
 
+@pytest.mark.parametrize("partitions", [8, 200])
+def test_ranges_hold_at_size(spark, partitions):
+    """Wide rows, pruned columns, several evaluations: what goes wrong where ranges are computed twice."""
+    n, before = 400_000, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        df = spark.range(n).select((F.col("id") * 7919 % n).alias("k"), F.repeat(F.md5(F.col("id").cast("string")), 4).alias("a"), F.repeat(F.md5((F.col("id") + 1).cast("string")), 4).alias("b"))
+        numbered = ranging.with_ordinal(df, ["k"])
+        for _ in range(2):
+            assert numbered.agg(F.count(F.lit(1)), F.sum((F.col("k") != F.col("_row")).cast("int"))).first()[:] == (n, 0)
+        assert numbered.where("a is null or b is null").count() == 0
+        values = spark.range(n).select(F.floor(F.sqrt(F.col("id").cast("double"))).alias("x"), F.col("id"))
+        x = np.floor(np.sqrt(np.arange(n)))
+        shares = dict(rows(stats.ecdf(values, "x", values, "x")))
+        assert all(shares[v] == pytest.approx((x <= v).mean()) for v in (0.0, 1.0, 300.0, 632.0))
+        scores = values.select(F.col("x").alias("s"), (F.xxhash64("id") % 2 == 0).cast("int").alias("l"))
+        label = np.array([r[0] for r in scores.select("l").collect()])
+        p, q = (np.bincount(x[label == c].astype(int), minlength=700) for c in (1, 0))
+        won = (p * (np.cumsum(q) - q + q / 2)).sum() / (p.sum() * q.sum())
+        assert twosample.auc(scores, "s", "l").first()[0] == pytest.approx(won)
+        shifted = values.select((F.col("x") + 3).alias("x"))
+        assert stats.wasserstein_1d(values, shifted, "x").first()[0] == pytest.approx(3)
+        assert ranging.exact_quantiles(values, "x", [0.0, 0.31, 0.5, 1.0]) == pytest.approx(list(np.quantile(x, [0.0, 0.31, 0.5, 1.0])))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_binner_without_values(spark):
+    df = spark.createDataFrame([(None,)], "x double")
+    for strategy in ("uniform", "quantile", "kmeans"):
+        b = prep.Binner.fit(df, ["x"], 4, strategy)
+        assert b.transform(df).first()[0] is None and b.inverse(b.transform(df)).first()[0] is None
+
+
+def test_kmeans_is_the_same_on_the_cluster(spark, monkeypatch):
+    df = spark.range(3000).select(F.sqrt(F.col("id").cast("double")).alias("x"))
+    here = prep.Binner.fit(df, ["x"], 5, "kmeans")
+    monkeypatch.setattr(prep.Binner, "KMEANS_VALUES", 10)
+    assert prep.Binner.fit(df, ["x"], 5, "kmeans").centres["x"] == pytest.approx(here.centres["x"], abs=1e-9)
+
+
 def test_null_keys_match(spark):
     a = spark.createDataFrame([(None, 1), ("x", 2)], "k string, v int")
     b = spark.createDataFrame([(None, 3)], "k string, v int")

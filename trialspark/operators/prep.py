@@ -7,24 +7,29 @@ comes from one aggregation and lives on the driver.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialspark.functions.expressions import count_at_or_below, is_blank, round_half_even_int
+from trialspark.operators.ranging import exact_quantiles, value_counts
 from trialspark.schema import BOOLEAN, CATEGORICAL, NUMERIC, classify_columns
+from trialspark.storage import materialise, release
 
-# Vocabularies that mean yes and no, and what stands for a missing answer.
+# Vocabularies that mean yes and no, and the texts that stand for a missing answer beside null.
 YES_NO = [
     {"Yes": True, "No": False},
-    {"yes": True, "no": False},
-    {"Y": True, "N": False},
-    {"y": True, "n": False},
+    {"YES": True, "NO": False},
     {"True": True, "False": False},
     {"true": True, "false": False},
+    {"TRUE": True, "FALSE": False},
+    {"1": True, "0": False},
 ]
-NULL_MARKS = ["", " ", "NaN", "None"]
+NULL_MARKS = ["", " "]
 MISSING = "missing"
 
 
@@ -234,34 +239,53 @@ class Encoder:
         return df.select(*out)
 
 
-def lloyd_1d(values: list[float], weights: list[float], k: int, rounds: int = 300) -> list[float]:
-    """Weighted one-dimensional k-means; centres start in the middle of equal bins."""
-    import numpy as np
+def lloyd_step(values: np.ndarray, weights: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weight and weighted sum of the values nearest to each centre; a value halfway goes to the upper one."""
+    owner = np.searchsorted((centres[1:] + centres[:-1]) / 2, values, side="right")
+    return np.bincount(owner, weights=weights, minlength=len(centres)), np.bincount(owner, weights=weights * values, minlength=len(centres))
 
-    x, w = np.array(values, dtype=float), np.array(weights, dtype=float)
-    low, high = x.min(), x.max()
+
+def lloyd_1d(step: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], low: float, high: float, k: int, rounds: int = 300) -> list[float]:
+    """One-dimensional k-means; centres start in the middle of equal bins, ``step`` gives weight and sum of each cell."""
     centres = low + (np.arange(k) + 0.5) * (high - low) / k
     for _ in range(rounds):
-        edges = (centres[1:] + centres[:-1]) / 2
-        owner = np.searchsorted(edges, x, side="right")
-        total = np.bincount(owner, weights=w, minlength=k)
-        mean = np.bincount(owner, weights=w * x, minlength=k) / np.where(total > 0, total, 1)
-        new = np.sort(np.where(total > 0, mean, centres))
+        total, sums = step(centres)
+        new = np.sort(np.where(total > 0, sums / np.where(total > 0, total, 1), centres))
         if np.allclose(new, centres, rtol=0, atol=1e-12):
             break
         centres = new
     return [float(c) for c in centres]
 
 
+def spread_step(counts: DataFrame) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """``lloyd_step`` over a table (v, n) of any size: a task sends two numbers for each centre."""
+
+    def step(centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, sums = np.zeros(len(centres)), np.zeros(len(centres))
+            for batch in batches:
+                a, b = lloyd_step(batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(float), centres)
+                total, sums = total + a, sums + b
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(centres))), pa.array(total), pa.array(sums)], names=["k", "total", "sums"])
+
+        rows = counts.mapInArrow(run, "k bigint, total double, sums double").groupBy("k").agg(F.sum("total").alias("total"), F.sum("sums").alias("sums")).collect()
+        out = np.zeros((2, len(centres)))
+        for r in rows:
+            out[:, r["k"]] = r["total"], r["sums"]
+        return out[0], out[1]
+
+    return step
+
+
 @dataclass(frozen=True)
 class Binner:
-    """Ordinal bins of numeric columns by edges, and back to bin centres."""
+    """Ordinal bins of numeric columns by edges, and back to bin centres; a column without values has no edges and one bin."""
 
     edges: dict[str, list[float]]
     centres: dict[str, list[float]]
 
-    #: Distinct values that k-means handles on the driver; beyond it values are first rounded to as many steps.
-    KMEANS_VALUES = 20_000
+    #: Distinct values up to which k-means runs on the driver; beyond it every round is a job of the same steps.
+    KMEANS_VALUES = 1 << 20
 
     @classmethod
     def fit(cls, df: DataFrame, columns: list[str], n_bins: int, strategy: str = "uniform") -> Binner:
@@ -271,20 +295,24 @@ class Binner:
             row = df.agg(*[f(F.col(c).cast("double")).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in (("l", F.min), ("h", F.max))]).first()
             for i, c in enumerate(columns):
                 low, high = row[f"l{i}"], row[f"h{i}"]
-                edges[c] = [low + (high - low) * k / n_bins for k in range(n_bins + 1)]
+                edges[c] = [] if low is None else [low + (high - low) * k / n_bins for k in range(n_bins + 1)]
         elif strategy == "quantile":
-            shares = [k / n_bins for k in range(n_bins + 1)]
-            row = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, shares))).alias(str(i)) for i, c in enumerate(columns)]).first()
-            for i, c in enumerate(columns):
-                edges[c] = sorted(set(row[str(i)]))
+            for c in columns:
+                edges[c] = sorted(set(exact_quantiles(df, c, [k / n_bins for k in range(n_bins + 1)]) or []))
         elif strategy == "kmeans":
             for c in columns:
-                x = F.col(c).cast("double")
-                low, high, n = df.agg(F.min(x), F.max(x), F.approx_count_distinct(x)).first()
-                step = (high - low) / cls.KMEANS_VALUES
-                value = x if n <= cls.KMEANS_VALUES or not step else F.lit(low) + F.round((x - low) / step) * step
-                rows = df.where(x.isNotNull()).groupBy(value.alias("v")).count().orderBy("v").collect()
-                centres[c] = lloyd_1d([r["v"] for r in rows], [r["count"] for r in rows], n_bins)
+                counts = materialise(value_counts(df, c), "value-counts")
+                low, high, n = counts.agg(F.min("v"), F.max("v"), F.count("v")).first()
+                if not n:
+                    edges[c] = []
+                    continue
+                step = spread_step(counts)
+                if n <= cls.KMEANS_VALUES:
+                    held = counts.orderBy("v").toPandas()
+                    values, weights = held["v"].to_numpy(), held["n"].to_numpy(dtype=float)
+                    step = lambda centres, v=values, w=weights: lloyd_step(v, w, centres)
+                centres[c] = lloyd_1d(step, low, high, n_bins)
+                release(counts)
                 middle = [(a + b) / 2 for a, b in zip(centres[c], centres[c][1:], strict=False)]
                 edges[c] = [low, *middle, high]
         else:
@@ -302,4 +330,4 @@ class Binner:
         return df.withColumns(out)
 
     def inverse(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({c: F.get(F.array(*map(F.lit, m)), F.col(c).cast("int")) for c, m in self.centres.items()})
+        return df.withColumns({c: F.get(F.array(*map(F.lit, m)), F.col(c).cast("int")) if m else F.lit(None).cast("double") for c, m in self.centres.items()})

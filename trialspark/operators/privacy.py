@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialspark.operators.prep import MISSING
-from trialspark.operators.stats import MAD_FACTOR
+from trialspark.operators.ranging import value_counts
+from trialspark.operators.stats import median_deviation
 
 
 def _first_of_each(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -68,11 +69,9 @@ def rs_continuous(real: DataFrame, synth: DataFrame, column: str, breaks: list[f
     edges = F.array(*[F.lit(float(b)) for b in breaks]) if breaks else F.array().cast("array<double>")
     rows = real.withColumn("_class", F.aggregate(edges, F.lit(0), lambda s, b: s + (F.col(column) > b).cast("int")))
     sizes = rows.groupBy("_class").agg(F.count(F.lit(1)).alias("_k"))
-    middle = real.agg(F.median(column).alias("_m"), F.count(F.lit(1)).alias("_t"))
-    spread = real.crossJoin(F.broadcast(middle)).agg((F.lit(MAD_FACTOR) * F.median(F.abs(F.col(column) - F.col("_m")))).alias("_mad"))
-    paired = rows.join(F.broadcast(sizes), "_class").join(synth.select(ordinal, F.col(column).alias("_y")), ordinal)
-    paired = paired.crossJoin(F.broadcast(middle.crossJoin(spread)))
-    value = (F.col("_k") / F.col("_t") * F.abs(F.col(column) - F.col("_y")) < F.col("_mad")).cast("int")
+    total, spread = real.count(), F.lit(median_deviation(real, column)).cast("double")
+    paired = rows.join(F.broadcast(sizes), "_class").join(synth.select(ordinal, F.col(column).alias("_y")), ordinal)  # a size for each break
+    value = (F.col("_k") / F.lit(total) * F.abs(F.col(column) - F.col("_y")) < spread).cast("int")
     return paired.select(*real.columns, value.alias(name))
 
 
@@ -87,43 +86,56 @@ def disclosure_risk(scored: DataFrame, n_real: int, n_synth: int, columns: list[
     return scored.agg(*aggs).unpivot([], columns, "column_name", "risk")
 
 
-#: Distinct values that the exact class search handles; beyond it values are first rounded to as many steps.
-JENKS_VALUES = 2000
+def _least_costs(best: np.ndarray, w: np.ndarray, s: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least cost of ``k`` classes of the first j values for every j, and where the last class starts.
 
-
-def _weighted_values(df: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
-    x = F.col(column).cast("double")
-    low, high, n = df.agg(F.min(x), F.max(x), F.approx_count_distinct(x)).first()
-    step = (high - low) / JENKS_VALUES if n and n > JENKS_VALUES else 0
-    value = F.lit(low) + F.round((x - low) / step) * step if step else x
-    rows = df.where(x.isNotNull()).groupBy(value.alias("v")).count().orderBy("v").collect()
-    return np.array([r["v"] for r in rows], dtype=float), np.array([r["count"] for r in rows], dtype=float)
+    The best start never moves left as j grows, so the middle of a span of ends is
+    solved first and bounds the starts of both halves; all spans of a depth are
+    solved together.
+    """
+    n = len(best) - 1
+    new, start = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=np.int64)
+    low, high, first, last = (np.array([x], dtype=np.int64) for x in (k, n, k - 1, n - 1))
+    while len(low):
+        middle = (low + high) // 2
+        stop = np.minimum(last, middle - 1)
+        length = stop - first + 1
+        for a in range(0, len(middle), 1 << 16):  # bounds the candidates held at a time
+            part = slice(a, a + (1 << 16))
+            size = length[part]
+            at = np.cumsum(size) - size
+            i = np.arange(int(size.sum())) - np.repeat(at, size) + np.repeat(first[part], size)
+            j = np.repeat(middle[part], size)
+            cost = best[i] + np.maximum(q[j] - q[i] - (s[j] - s[i]) ** 2 / (w[j] - w[i]), 0)
+            least = np.minimum.reduceat(cost, at)
+            hit = np.flatnonzero(cost == np.repeat(least, size))
+            owner = np.repeat(np.arange(len(size)), size)[hit]
+            _, once = np.unique(owner, return_index=True)
+            new[middle[part]], start[middle[part]] = least, i[hit[once]]
+        left, right = middle > low, middle < high
+        at = start[middle]
+        low, high, first, last = (
+            np.concatenate([low[left], middle[right] + 1]), np.concatenate([middle[left] - 1, high[right]]),
+            np.concatenate([first[left], at[right]]), np.concatenate([at[left], last[right]]),
+        )
+    return new, start
 
 
 def natural_breaks(values: np.ndarray, weights: np.ndarray, k_max: int) -> list[tuple[float, list[float]]]:
     """Least within-class sum of squares for 1..k_max classes of sorted weighted values, with the classes' upper ends.
 
-    Fisher's dynamic programme: the best k classes of the first j values end with a
-    last class that starts at some i; all i are tried at once.
+    Fisher's dynamic programme, exact: the best k classes of the first j values end
+    with a last class that starts at some i.  Time grows with k n log n.
     """
     n = len(values)
     centred = values - np.average(values, weights=weights)  # keeps the sums of squares small
     w, s, q = (np.concatenate([[0.0], np.cumsum(x)]) for x in (weights, weights * centred, weights * centred**2))
-
-    def cost(i: np.ndarray, j: int) -> np.ndarray:
-        return np.maximum(q[j] - q[i] - (s[j] - s[i]) ** 2 / (w[j] - w[i]), 0)
-
-    best = np.array([0.0, *(float(cost(np.array([0]), j)[0]) for j in range(1, n + 1))])
+    with np.errstate(invalid="ignore", divide="ignore"):
+        best = np.concatenate([[0.0], np.maximum(q[1:] - s[1:] ** 2 / w[1:], 0)])
     starts: list[np.ndarray] = []
-    out = [(best[n], [])]
+    out = [(float(best[n]), [])]
     for k in range(2, min(k_max, n) + 1):
-        new, start = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=int)
-        for j in range(k, n + 1):
-            i = np.arange(k - 1, j)
-            total = best[i] + cost(i, j)
-            at = int(total.argmin())
-            new[j], start[j] = total[at], i[at]
-        best = new
+        best, start = _least_costs(best, w, s, q, k)
         starts.append(start)
         ends, j = [], n
         for st in reversed(starts):
@@ -134,8 +146,13 @@ def natural_breaks(values: np.ndarray, weights: np.ndarray, k_max: int) -> list[
 
 
 def jenks(df: DataFrame, column: str, k_max: int = 20, goodness: float = 0.99) -> tuple[int, list[float], float]:
-    """The least number of classes (2 or more) whose goodness of variance fit exceeds a bound: (k, breaks, fit)."""
-    values, counts = _weighted_values(df, column)
+    """The least number of classes (2 or more) whose goodness of variance fit exceeds a bound: (k, breaks, fit).
+
+    Rows are counted by value on the cluster; the programme then runs on the driver
+    over the distinct values, about 250 bytes each with twenty classes.
+    """
+    pairs = value_counts(df, column).orderBy("v").toPandas()
+    values, counts = pairs["v"].to_numpy(dtype=float), pairs["n"].to_numpy(dtype=float)
     if len(values) < 2:
         return 1, [], 1.0
     fits = natural_breaks(values, counts, min(k_max, len(values)))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from trialspark.functions.expressions import floor_days, md5_rank_key, micros, seconds_in_day
 
 # Special tokens in the order of their ids.
-SPECIAL_TOKENS = ["[UNK]", "[SEP]", "[PAD]", "[CLS]", "[MASK]", "[BOS]", "[EOS]", "[MISSING]"]
+SPECIAL_TOKENS = ["[UNK]", "[START_EVENT]", "[PAD]", "[CLS]", "[MASK]", "[BOS]", "[EOS]", "[MISSING]"]
 UNK, SEP, PAD, CLS, MASK, BOS, EOS, MISSING = SPECIAL_TOKENS
 SPECIAL_FIELD = "SPECIAL"
 

@@ -9,15 +9,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialspark.functions.expressions import EPSILON, pearson
+from trialspark.operators.ranging import exact_quantiles, value_counts, with_running_totals
 
 #: Consistency factor of the median absolute deviation.
 MAD_FACTOR = 1.48
 
 
+def median_deviation(df: DataFrame, column: str) -> float | None:
+    """1.48 times the median distance from the median; None without values."""
+    middle = exact_quantiles(df, column, [0.5])
+    return None if middle is None else MAD_FACTOR * exact_quantiles(df, F.abs(F.col(column) - F.lit(middle[0])), [0.5])[0]
+
+
 def mad(df: DataFrame, column: str) -> DataFrame:
-    """1.48 times the median distance from the median."""
-    middle = df.agg(F.median(column).alias("_m"))
-    return df.crossJoin(F.broadcast(middle)).agg((F.lit(MAD_FACTOR) * F.median(F.abs(F.col(column) - F.col("_m")))).alias("mad"))
+    """The median absolute deviation as a table of one row."""
+    return df.sparkSession.createDataFrame([(median_deviation(df, column),)], "mad double")
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
@@ -28,21 +34,13 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
 
 
 def ecdf(reference: DataFrame, column: str, points: DataFrame, point: str) -> DataFrame:
-    """Share of reference values at or below each point, from one sorted pass over both.
-
-    Values and points are counted by value, and a running sum per range of values
-    adds what lies below it, so no single task sees all rows.
-    """
+    """Share of reference values at or below each point, from running counts over both."""
     counts = (
-        reference.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("asked"))
+        value_counts(reference, column).withColumn("asked", F.lit(0))
         .unionByName(points.where(F.col(point).isNotNull()).select(F.col(point).cast("double").alias("v")).distinct().select("v", F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("asked")))
     )
-    ranged = counts.groupBy("v").agg(F.sum("n").alias("n"), F.max("asked").alias("asked")).repartitionByRange("v").withColumn("_part", F.spark_partition_id())
-    per = ranged.groupBy("_part").agg(F.sum("n").alias("_n"))
-    offsets = per.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    below = F.sum("n").over(Window.partitionBy("_part").orderBy("v")) + F.col("_before")
-    shares = ranged.join(F.broadcast(offsets), "_part").withColumn("ecdf", below / F.col("_all")).where("asked = 1")
-    return shares.select(F.col("v").alias(point), "ecdf")
+    run = with_running_totals(counts.groupBy("v").agg(F.sum("n").alias("n"), F.max("asked").alias("asked")), "v", ["n"])
+    return run.where("asked = 1").select(F.col("v").alias(point), F.try_divide(F.col("n_before") + F.col("n"), F.col("n_total").cast("double")).alias("ecdf"))
 
 
 def autocorrelation(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
@@ -155,25 +153,15 @@ def js_distance(real: DataFrame, synth: DataFrame, column: str) -> DataFrame:
 
 
 def wasserstein_1d(real: DataFrame, synth: DataFrame, column: str) -> DataFrame:
-    """M5: area between both distribution functions, by value ranges so that no task sees all values."""
+    """M5: area between both distribution functions, from running counts by value."""
     rows = (
         real.select(F.col(column).cast("double").alias("v"), F.lit(1).alias("r"), F.lit(0).alias("s"))
         .unionByName(synth.select(F.col(column).cast("double").alias("v"), F.lit(0).alias("r"), F.lit(1).alias("s")))
         .where("v is not null")
     )
-    counts = rows.groupBy("v").agg(F.sum("r").alias("r"), F.sum("s").alias("s"))
-    ranged = counts.repartitionByRange("v").withColumn("_part", F.spark_partition_id())
-    per = ranged.groupBy("_part").agg(F.sum("r").alias("_r"), F.sum("s").alias("_s"), F.min("v").alias("_v"))
-    before, everything = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    offsets = per.select(
-        "_part", F.coalesce(F.sum("_r").over(before), F.lit(0)).alias("_r0"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s0"),
-        F.sum("_r").over(everything).alias("_nr"), F.sum("_s").over(everything).alias("_ns"), F.lead("_v").over(Window.orderBy("_part")).alias("_next"),
-    )
-    running = Window.partitionBy("_part").orderBy("v")
-    both = ranged.join(F.broadcast(offsets), "_part")
-    gap = F.abs((F.sum("r").over(running) + F.col("_r0")) / F.col("_nr") - (F.sum("s").over(running) + F.col("_s0")) / F.col("_ns"))
-    width = F.coalesce(F.lead("v").over(running), F.col("_next")) - F.col("v")
-    return both.select((gap * width).alias("area")).agg(F.sum("area").alias("wasserstein"))
+    run = with_running_totals(rows.groupBy("v").agg(F.sum("r").alias("r"), F.sum("s").alias("s")), "v", ["r", "s"])
+    share = lambda c: F.try_divide(F.col(f"{c}_before") + F.col(c), F.col(f"{c}_total").cast("double"))
+    return run.select((F.abs(share("r") - share("s")) * (F.col("_next") - F.col("v"))).alias("area")).agg(F.sum("area").alias("wasserstein"))
 
 
 def column_kinds(df: DataFrame, columns: list[str], below: int = 10) -> DataFrame:

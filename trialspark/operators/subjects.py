@@ -2,7 +2,7 @@
 
 Samples are ranked by the md5 of a key and a seed, so a sample depends on the
 rows alone and any engine draws the same one.  Ranks over a whole table come from
-counting rows below a hash, not from one sorted partition (``top_by_hash``).
+ranges that are written once (``ranging``), not from one sorted partition.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialspark.functions.expressions import md5_rank_key
-from trialspark.operators.merge import semi_join, with_ordinal
+from trialspark.operators.merge import semi_join
+from trialspark.operators.ranging import with_ordinal
 
 
 def hash_ranked(df: DataFrame, key: list[str], seed: str | int, name: str = "_rank") -> DataFrame:

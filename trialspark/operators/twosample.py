@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialspark.operators.ranging import with_running_totals
+
 #: Vectors in a block.
 BLOCK = 1024
 
@@ -192,15 +194,10 @@ def kde_log_density(queries: DataFrame, reference: DataFrame, bandwidth: float,
 
 
 def auc(scores: DataFrame, score: str, label: str) -> DataFrame:
-    """Area under the ROC curve, ties counted half, from counts by score."""
-    from pyspark.sql import Window
-
-    counts = scores.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.sum(1 - F.col(label).cast("bigint")).alias("q"))
-    ranged = counts.repartitionByRange("s").withColumn("_part", F.spark_partition_id())
-    per = ranged.groupBy("_part").agg(F.sum("q").alias("_q"))
-    offsets = per.select("_part", F.coalesce(F.sum("_q").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy("_part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_before")
-    won = ranged.join(F.broadcast(offsets), "_part").select((F.col("p") * (below + F.col("q") / 2)).alias("won"), "p", "q")
+    """Area under the ROC curve, ties counted half, from running counts by score."""
+    counts = scores.groupBy(F.col(score).alias("v")).agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.sum(1 - F.col(label).cast("bigint")).alias("q"))
+    run = with_running_totals(counts, "v", ["q"])
+    won = run.select((F.col("p") * (F.col("q_before") + F.col("q") / 2)).alias("won"), "p", "q")
     return won.agg(F.try_divide(F.sum("won"), (F.sum("p") * F.sum("q")).cast("double")).alias("auc"))
 
 

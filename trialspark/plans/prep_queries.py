@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from trialspark.functions.expressions import md5_rank_key
 from trialspark.operators import audit, merge, models, prep, stats
 from trialspark.registry import query, table
 from trialspark.sources import files
+from trialspark.storage import scratch
 
 
 @query("scan_project", "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer")
@@ -20,9 +20,8 @@ def scan_project(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("csv_roundtrip", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Written to the shared checkpoint folder where there is one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/trialspark"
-    path = f"{root.rstrip('/')}/csv-{uuid.uuid4().hex}.csv"
+    """Written to the shared folder."""
+    path = scratch(spark, "suppliers") + ".csv"
     suppliers = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_acctbal")
     suppliers.write.csv(path, header=True)
     return files.read_file(spark, path, ["s_suppkey", "s_name", "s_acctbal"], "S_SUPPKEY bigint, S_NAME string, S_ACCTBAL double")
@@ -83,9 +82,18 @@ def dtype_optimize(spark: SparkSession, sf: str) -> DataFrame:
     return prep.optimise_types(_typed(spark, sf), True)
 
 
-@query("obj2bool", TYPED.format(date="CASE WHEN o_orderkey % 13 = 0 THEN 'missing' ELSE strftime(o_orderdate, '%Y-%m-%d') END"))
+@query(
+    "obj2bool",
+    """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS a, o_orderkey % 2 = 0 AS b, o_orderkey % 5 < 2 AS c, o_orderkey % 7 = 0 AS d,
+      CASE WHEN o_orderkey % 11 > 0 THEN o_orderkey % 4 = 0 END AS e, CASE WHEN o_orderkey % 2 = 0 THEN 'yes' ELSE 'no' END AS f, CASE WHEN o_orderkey % 2 = 0 THEN 'Yes' ELSE 'None' END AS g FROM orders""",
+)
 def obj2bool(spark: SparkSession, sf: str) -> DataFrame:
-    df = _typed(spark, sf)
+    k = F.col("o_orderkey")
+    either = lambda test, yes, no: F.when(test, yes).otherwise(no)
+    df = table(spark, sf, "orders").select(
+        "o_orderkey", F.when(k % 3 == 0, "Yes").when(k % 3 == 1, "No").otherwise(" ").alias("a"), either(k % 2 == 0, "YES", "NO").alias("b"), either(k % 5 < 2, "TRUE", "FALSE").alias("c"),
+        either(k % 7 == 0, "true", "false").alias("d"), F.when(k % 11 > 0, either(k % 4 == 0, "1", "0")).alias("e"), either(k % 2 == 0, "yes", "no").alias("f"), either(k % 2 == 0, "Yes", "None").alias("g"),
+    )
     return prep.BooleanMapper.fit(df).transform(df)
 
 

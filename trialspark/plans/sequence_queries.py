@@ -111,7 +111,7 @@ KEYS, TIME, STATIC, EVENTS = ["o_custkey"], ["o_orderdate", "o_orderkey"], ["c_m
 T = """t AS (SELECT o_custkey, c_mktsegment, o_orderstatus, o_orderpriority, row_number() OVER w AS i, count(*) OVER (PARTITION BY o_custkey) AS n
   FROM orders JOIN customer ON o_custkey = c_custkey WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"""
 RECENT = f"""{T}, k AS (SELECT *, 0 AS dup FROM t WHERE n > 2 AND (n <= 10 OR i > n - 11) UNION ALL SELECT *, -1 FROM t WHERE n > 10 AND i = 1),
-flat AS (SELECT o_custkey, n, any_value(c_mktsegment) || string_agg(',[SEP],' || o_orderstatus || ',' || o_orderpriority, '' ORDER BY dup, i) AS sequence FROM k GROUP BY o_custkey, n)"""
+flat AS (SELECT o_custkey, n, any_value(c_mktsegment) || string_agg(',[START_EVENT],' || o_orderstatus || ',' || o_orderpriority, '' ORDER BY dup, i) AS sequence FROM k GROUP BY o_custkey, n)"""
 
 
 def _recent(spark: SparkSession, sf: str) -> DataFrame:
@@ -127,7 +127,7 @@ def sequence_recent(spark: SparkSession, sf: str) -> DataFrame:
     "sequence_sampled",
     f"""WITH {T}, s AS (SELECT t.*, sample FROM t, range(0, 3) r(sample) WHERE n > 2 AND (n > 10 OR sample = 0)),
     r AS (SELECT *, (i = 1 OR i = n) AS edge, row_number() OVER (PARTITION BY o_custkey, sample, (i = 1 OR i = n) ORDER BY md5(concat_ws(':', o_custkey::VARCHAR, sample::VARCHAR, i::VARCHAR, '42')), i) AS k FROM s),
-    f AS (SELECT o_custkey, sample, least(n, 10) AS n_events, string_agg(i::VARCHAR, ',' ORDER BY i) AS picked, any_value(c_mktsegment) || string_agg(',[SEP],' || o_orderstatus || ',' || o_orderpriority, '' ORDER BY i) AS sequence
+    f AS (SELECT o_custkey, sample, least(n, 10) AS n_events, string_agg(i::VARCHAR, ',' ORDER BY i) AS picked, any_value(c_mktsegment) || string_agg(',[START_EVENT],' || o_orderstatus || ',' || o_orderpriority, '' ORDER BY i) AS sequence
       FROM r WHERE n <= 10 OR edge OR k <= 8 GROUP BY o_custkey, sample, n)
     SELECT o_custkey, sample, sequence, n_events FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, picked ORDER BY sample) AS d FROM f) WHERE d = 1""",
 )
@@ -161,14 +161,14 @@ def bos_eos_pad(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "field_mask",
     f"""WITH {PADDED}, x AS (SELECT o_custkey, unnest(string_split(s, ',')) AS t, unnest(range(0, k)) AS i FROM z)
-    SELECT o_custkey, string_agg(CASE WHEN t IN ('[BOS]', '[EOS]', '[SEP]') THEN 'SPECIAL' WHEN i = 1 THEN 'c_mktsegment' WHEN (i - 2) % 3 = 1 THEN 'o_orderstatus' ELSE 'o_orderpriority' END, ',' ORDER BY i) AS fields FROM x GROUP BY o_custkey""",
+    SELECT o_custkey, string_agg(CASE WHEN t IN ('[BOS]', '[EOS]', '[START_EVENT]') THEN 'SPECIAL' WHEN i = 1 THEN 'c_mktsegment' WHEN (i - 2) % 3 = 1 THEN 'o_orderstatus' ELSE 'o_orderpriority' END, ',' ORDER BY i) AS fields FROM x GROUP BY o_custkey""",
 )
 def field_mask(spark: SparkSession, sf: str) -> DataFrame:
     wrapped = _recent(spark, sf).withColumn("tokens", seq.wrap(F.col("sequence")))
     return wrapped.select("o_custkey", F.array_join(seq.field_mask(F.col("tokens"), STATIC, EVENTS), ",").alias("fields"))
 
 
-VOCAB = """special AS (SELECT * FROM (VALUES ('[UNK]', 0), ('[SEP]', 1), ('[PAD]', 2), ('[CLS]', 3), ('[MASK]', 4), ('[BOS]', 5), ('[EOS]', 6), ('[MISSING]', 7)) v(token, id)),
+VOCAB = """special AS (SELECT * FROM (VALUES ('[UNK]', 0), ('[START_EVENT]', 1), ('[PAD]', 2), ('[CLS]', 3), ('[MASK]', 4), ('[BOS]', 5), ('[EOS]', 6), ('[MISSING]', 7)) v(token, id)),
 counts AS (SELECT 0 AS f, 'o_orderstatus' AS field, o_orderstatus AS token, count(*) AS n FROM orders GROUP BY o_orderstatus UNION ALL
   SELECT 1, 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY o_orderpriority UNION ALL
   SELECT 2, 'size', k::VARCHAR, -k FROM (SELECT unnest(range(1, 51)) AS k)),
@@ -213,7 +213,7 @@ def decode_tokens(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "tokenize_pipeline",
     f"""WITH {PADDED}, x AS (SELECT o_custkey, unnest(string_split(s || repeat(',[PAD]', ((SELECT max(k) FROM z) - k)::INTEGER), ',')) AS t, unnest(range(0, (SELECT max(k) FROM z))) AS i FROM z),
-    special AS (SELECT * FROM (VALUES ('[UNK]', 0), ('[SEP]', 1), ('[PAD]', 2), ('[CLS]', 3), ('[MASK]', 4), ('[BOS]', 5), ('[EOS]', 6), ('[MISSING]', 7)) v(token, id)),
+    special AS (SELECT * FROM (VALUES ('[UNK]', 0), ('[START_EVENT]', 1), ('[PAD]', 2), ('[CLS]', 3), ('[MASK]', 4), ('[BOS]', 5), ('[EOS]', 6), ('[MISSING]', 7)) v(token, id)),
     joined AS (SELECT c_mktsegment, o_orderstatus, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey),
     counts AS (SELECT 0 AS f, 1 AS place, c_mktsegment AS token, count(*) AS n FROM joined GROUP BY c_mktsegment UNION ALL SELECT 1, 2, o_orderstatus, count(*) FROM joined GROUP BY o_orderstatus UNION ALL SELECT 2, 3, o_orderpriority, count(*) FROM joined GROUP BY o_orderpriority),
     vocab AS (SELECT f, token, 7 + row_number() OVER (ORDER BY f, n DESC, token) AS id FROM counts)
@@ -229,7 +229,7 @@ def tokenize_pipeline(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "start_sequences",
     """WITH f AS (SELECT o_custkey, c_mktsegment, o_orderstatus, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders JOIN customer ON o_custkey = c_custkey)
-    SELECT o_custkey, '[BOS],' || c_mktsegment || ',[SEP],' || o_orderstatus || ',' || o_orderpriority AS tokens FROM f WHERE r = 1""",
+    SELECT o_custkey, '[BOS],' || c_mktsegment || ',[START_EVENT],' || o_orderstatus || ',' || o_orderpriority AS tokens FROM f WHERE r = 1""",
 )
 def start_sequences(spark: SparkSession, sf: str) -> DataFrame:
     """A mark, the static columns and the first event, to be continued by a generator."""
