@@ -56,19 +56,22 @@ def _remove_all() -> None:
             return
 
 
-def materialise(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
-    """Write a DataFrame to the shared folder and read it again: runs once, no lineage.
-
-    The shuffle files behind it serve nothing else, so they go with the statement.
-    """
+def write_table(df: DataFrame, path: str, mode: str = "errorifexists", codec: str = "zstd") -> None:
+    """Write a table as Parquet; the shuffle files behind it serve nothing else, so they go with the statement."""
     spark = df.sparkSession
-    path, before = scratch(spark, tag), spark.conf.get(CLEANUP, "false")
+    before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", codec).parquet(path)
+        df.write.option("compression", codec).mode(mode).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
+
+
+def materialise(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
+    """Write a DataFrame to the shared folder and read it again: runs once, no lineage."""
+    path = scratch(df.sparkSession, tag)
+    write_table(df, path, codec=codec)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 
