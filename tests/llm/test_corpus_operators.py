@@ -126,7 +126,7 @@ def test_overlaps_by_fragment(monkeypatch):
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 40, rng.integers(1, 25))).astype(np.uint64) for _ in range(9)]
     want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
-    got = blocks.overlaps_within(sets)
+    got = blocks.overlaps(sets)
     assert [[int(v) for v in r] for r in got - np.diag(np.diag(got))] == [[0 if i == j else v for j, v in enumerate(r)] for i, r in enumerate(want)]
     assert blocks.overlaps(sets[:4], sets).astype(int).tolist() == want[:4]
 
@@ -202,6 +202,45 @@ def test_passages_repeated_in_one_document_stay(spark):
     assert passages.passages(df).count() == 0
 
 
+def test_repeats_of_one_id_are_cut_in_their_own_text(spark):
+    rng = np.random.default_rng(7)
+    passage, other = filler(rng, 80), filler(rng, 200)
+    df = spark.createDataFrame([(1, passage), (2, f"{filler(rng, 9)} {passage} end"), (2, other), (2, other)], "doc_id bigint, text string").withColumn("_cuts", F.lit(1)).withColumn("print", F.lit("x"))
+    left = passages.remove_repeats(df)
+    assert left.columns == df.columns
+    texts = sorted((r["doc_id"], r["text"]) for r in left.collect())
+    assert texts.count((2, other)) == 2 and (1, passage) in texts
+    assert max(len(t) for d, t in texts if t != other and d == 2) < 120
+
+
+def test_passage_query_against_brute_force(spark, sf_dir):
+    """Every word of a 50-word run that an earlier document has is covered; what is covered is in the kept document for the most part."""
+    docs = {r["doc_id"]: r["text"] or "" for r in documents(spark, sf_dir).collect()}
+    spans, kept = defaultdict(list), defaultdict(set)
+    for r in QUERIES["op7_substring_dedup"](spark, sf_dir).collect():
+        spans[r["doc_id"]].append((r["start"], r["stop"]))
+        kept[r["doc_id"]].add(r["kept_in"])
+        part = shingles(docs[r["doc_id"]].encode()[r["start"] : r["stop"]].decode(), 5)
+        # a merged passage may come from several documents; its own kept ones are the smallest of theirs
+        assert len(part & set().union(*(shingles(docs[d], 5) for d in docs if d < r["doc_id"]))) >= 0.6 * len(part)
+    places = {d: [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t.encode())] for d, t in docs.items()}
+    first = {}
+    for d in sorted(docs):
+        w = words_of(docs[d])
+        for k in range(len(w) - 49):
+            first.setdefault(tuple(w[k : k + 50]), d)
+    missed = total = 0
+    for d in sorted(docs):
+        w = words_of(docs[d])
+        for k in range(len(w) - 49):
+            if first[tuple(w[k : k + 50])] < d:
+                a, b = places[d][k][0], places[d][k + 49][1]
+                total += 1
+                missed += not any(s <= a and b <= e for s, e in spans[d])
+    assert total and missed == 0
+    assert set(spans) and all(min(k) < d for d, k in kept.items())
+
+
 RULES = [
     ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m.group(2)) >= 6),
     ("access", r"AKIA[A-Z0-9]+", lambda m: len(m.group()) >= 20),
@@ -257,6 +296,23 @@ def test_redaction(spark):
         assert r["text"] == (None if text is None else out + text[at:])
 
 
+def test_redaction_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "secret=abcdef", 5, "x")], "doc_id bigint, text string, _blob int, _Spans string")
+    assert [tuple(r) for r in secret_scan.redact(df, scratch(spark, "ledger")).collect()] == [(1, secret_scan.PLACEHOLDER, 5, "x")]
+
+
+def test_later_rules_scan_for_themselves_only(spark, sf_dir):
+    ledger = scratch(spark, "ledger")
+    texts = ["ghp_" + "a1B2" * 9, "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeKKF", "-----BEGIN RSA PRIVATE KEY-----", "password: hunter22"]
+    df = spark.createDataFrame(list(enumerate(texts)), "path bigint, content string")
+    secret_scan.scan(df, ledger)
+    paths, findings = secret_scan.scan(df, ledger, secret_scan.RULES + secret_scan.MORE_RULES)
+    scanned = spark.read.parquet(f"{ledger}/scanned")
+    assert scanned.count() == scanned.distinct().count() == 6 * len(texts)
+    got = {r["path"]: (r["base_spans"], r["spans"]) for r in secret_scan.report(paths, findings, more=secret_scan.MORE_RULES).collect()}
+    assert got == {0: ("", f"forge:0:{len(texts[0])}"), 1: ("", f"jwt:0:{len(texts[1])}"), 2: ("", f"pem:0:{len(texts[2])}"), 3: ("assign:0:18", "assign:0:18")}
+
+
 def test_secret_query_uses_no_python(spark, sf_dir):
     plan = QUERIES["op9_secret_scan"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -288,6 +344,59 @@ def test_quality_edge_cases(spark):
     assert quality.score(docs.limit(0), both).count() == 0
 
 
+def slow_quality(model, text):
+    """The score of one text, word by word."""
+    words, shapes, _, rates = quality.analyse([text.encode()])
+    pooled = np.zeros(2 * quality.DIMENSIONS)
+    for side, items in enumerate((words.tolist(), shapes.tolist())):
+        for i in items:
+            for j in range(quality.DIMENSIONS):
+                pooled[side * quality.DIMENSIONS + j] += model.vectors[i][j] / len(items)
+    x = [*pooled, *rates[0]]
+    net = model.network
+    z = [max(-8.0, min(8.0, (v - c) / s)) for v, c, s in zip(x, net.centre, net.scale, strict=True)]
+    w1, b1, w2, b2 = net.parts
+    hidden = [np.tanh(sum(z[i] * w1[i, h] for i in range(len(z))) + b1[h]) for h in range(len(b1))]
+    logit = sum(h * w for h, w in zip(hidden, w2, strict=True)) + b2[0]
+    return 1 / (1 + np.exp(-logit / net.temperature))
+
+
+def slow_contexts(text, index):
+    """Sums of the index vectors of the items within two words."""
+    words, shapes, _, _ = quality.analyse([text.encode()])
+    out = defaultdict(lambda: np.zeros(quality.DIMENSIONS, dtype=np.int64))
+    for k in range(len(words)):
+        for j in range(max(0, k - 2), min(len(words), k + 3)):
+            if j != k:
+                for item in (words[k], shapes[k]):
+                    out[int(item)] += index[words[j]] + index[shapes[j]]
+    return out
+
+
+def test_quality_against_brute_force(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = quality.fit(docs, quality.training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    some = {r["doc_id"]: r["text"] or "" for r in docs.orderBy("doc_id").limit(40).collect()}
+    got = {r["doc_id"]: r["score"] for r in QUERIES["op4_quality"](spark, sf_dir).collect()}
+    for d, text in some.items():
+        assert got[d] == pytest.approx(slow_quality(model, text), abs=1e-5)
+    index = quality.index_vectors(quality.WORDS + quality.SHAPES)
+    for text in list(some.values())[:5]:
+        sums = quality.context_sums(*quality.analyse([text.encode()])[:3], index)
+        want = slow_contexts(text, index)
+        assert set(np.flatnonzero(sums.any(1))) == {i for i, v in want.items() if v.any()}
+        assert all((sums[i] == v).all() for i, v in want.items())
+
+
+def test_quality_takes_labels_that_have_documents(spark):
+    docs = spark.createDataFrame([(k, ("fine words here " if k % 2 else "XX!! ") * 20) for k in range(20)], "doc_id bigint, text string")
+    labels = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("label"))
+    scores = {r["doc_id"]: r["score"] for r in quality.score(docs, quality.fit(docs, labels, 10)).collect()}
+    assert all((s > 0.5) == bool(d % 2) for d, s in scores.items())
+    with pytest.raises(ValueError, match="exists"):
+        quality.score(docs.withColumn("Score", F.lit(1)), quality.QualityModel(None, quality.Network(constant=0.5)))
+
+
 def check_packing(items, out, capacity, per_source):
     source = {i: s for i, s, _, _ in items}
     cluster = {i: c for i, _, c, _ in items}
@@ -319,6 +428,13 @@ def test_packing_respects_all_conflicts(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_equal_rows_are_dealt_to_all_shards(spark):
+    df = spark.range(8000, numPartitions=4).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("s").alias("source"), F.lit(1).alias("cluster"), F.lit(1).alias("n_tokens"))
+    out = packing.pack(df, 100, 2)
+    assert out.count() == out.select("bin_id").distinct().count() == 8000  # copies share no bin
+    assert out.select(F.shiftright("bin_id", 32)).distinct().count() == 8
+
+
 def test_packing_takes_the_tightest_compatible_bin():
     rng = np.random.default_rng(8)
     items = sorted(((int(rng.integers(1, 60)), int(rng.integers(0, 4)), int(rng.integers(0, 30))) for _ in range(300)), reverse=True)
@@ -373,13 +489,43 @@ def test_recall_on_a_larger_table(spark):
     assert len(found & want) >= 0.9 * len(want)
 
 
+def test_recall_with_small_cells_and_a_third_of_copies(spark, monkeypatch):
+    """Cells far smaller than the table, so that descent and walks decide; copies are ranked by id."""
+    monkeypatch.setattr(neighbours, "START_CELL", 100)
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(20, 24))
+    x = centres[rng.integers(0, 20, 3000)] + 0.7 * rng.normal(size=(3000, 24))
+    x[rng.permutation(3000)[:1000]] = x[0]
+    vectors = dict(enumerate(x))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id bigint, embedding array<double>")
+    v = neighbours.usable(df)
+    out = neighbours.nearest(v, v.where("id % 20 = 0").select(F.col("id").alias("query_id")), 10).collect()
+    found = {(r["query_id"], r["vec_id"]) for r in out}
+    queries = [i for i in vectors if i % 20 == 0]
+    want = {(q, i) for q in queries for i, _ in nearest(vectors, q, 10)}
+    assert len(out) == len(found) == len(want) and len(found & want) >= 0.9 * len(want)
+    copies = [q for q in queries if (x[q] == x[0]).all()]
+    assert len(copies) > 20
+    for q in copies:
+        assert {i for a, i in found if a == q} == {i for a, i in want if a == q}
+
+
+def test_vectors_of_many_lengths(spark):
+    rows = [(i, [float(i % 7 + 1)] * (1 + i % 90)) for i in range(900)]
+    v = neighbours.usable(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    out = neighbours.nearest(v, v.where("id % 100 = 0").select(F.col("id").alias("query_id")), 20).collect()
+    for q in range(0, 900, 100):
+        same = {i for i, x in rows if len(x) == len(rows[q][1]) and i != q}
+        assert {r["vec_id"] for r in out if r["query_id"] == q} == same
+
+
 def test_neighbour_edge_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (None, [1.0, 0.0]), (8, [1.0, 0.0]), (9, [1.0, 0.0, 0.0]), (2, [1.0, 1.0]), (100, [1.0, 0.5]), (200, None)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("vec", F.lit("clash"))
     v = neighbours.usable(df)
     assert sorted(r["id"] for r in v.collect()) == [0, 1, 2, 8, 9, 100]
-    out = neighbours.search(neighbours.build_graph(v), v, v.where("id % 100 = 0").select(F.col("id").alias("query_id")), 3).collect()
+    out = neighbours.nearest(v, v.where("id % 100 = 0").select(F.col("id").alias("query_id")), 3).collect()
     assert {q: [r["vec_id"] for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (0, 100)} == {0: [1, 8, 100], 100: [0, 1, 2]}
     none = neighbours.usable(df.limit(0))
-    assert neighbours.search(neighbours.build_graph(none), none, none.select(F.col("id").alias("query_id")), 3).count() == 0
+    assert neighbours.nearest(none, none.select(F.col("id").alias("query_id")), 3).count() == 0

@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import io
 import struct
+import time
 import zipfile
 import zlib
 
@@ -34,18 +35,27 @@ def empty(spark):
 def plain():
     from tokenizers import Tokenizer
 
+    return Tokenizer.from_file(bpe.default_tokenizer_path())
+
+
+@pytest.fixture(scope="module")
+def verbatim():
+    from tokenizers import Tokenizer
+
     t = Tokenizer.from_file(bpe.default_tokenizer_path())
     t.encode_special_tokens = True
     return t
 
 
-def test_cached_encoder_equals_the_library(plain, spark, sf_dir):
+@pytest.mark.parametrize("literally", [False, True])
+def test_cached_encoder_equals_the_library(literally, plain, verbatim, spark, sf_dir):
     texts = [t or "" for t in ODD_TEXTS] + [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(100).collect()]
     texts += ["a　b c", "x   y", "tab\t tab", "a \x1c b", "' s 's'", "1 23  4"]
-    enc = bpe.CachedEncoder(bpe.default_tokenizer_path(), "<u4")
+    texts += ["<|endoftext|>", "x<|endoftext|>y <|endoftext|> z", " <|endoftext|><|endoftext|> ", "a " + "b" * 70 + " " + "b" * 70 + "c", "b" * 70 + " " + "b" * 70]
+    enc = bpe.CachedEncoder(bpe.default_tokenizer_path(), "<u4", literally)
     for _ in range(2):  # unseen, then remembered
         got = [np.frombuffer(x, "<u4").tolist() for x in enc.encode([t.encode() for t in texts])]
-        assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert got == [(verbatim if literally else plain).encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_token_store(spark, odd, empty, plain):
@@ -62,6 +72,15 @@ def test_token_store(spark, odd, empty, plain):
     assert token_store.read_store(manifest).count() == 0
 
 
+def test_repeated_rows_spread_over_shards(spark):
+    df = spark.range(400, numPartitions=4).select(F.lit(7).cast("bigint").alias("doc_id"), F.lit("the same").alias("text")).union(spark.createDataFrame([(6, "b"), (8, "a")], "doc_id bigint, text string"))
+    manifest = token_store.write_store(df, bpe.default_tokenizer_path(), scratch(spark, "t"))
+    assert manifest.count() > 4
+    out = [(r["doc_id"], r["start"], r["n_tokens"]) for r in token_store.read_store(manifest).orderBy("start").collect()]
+    assert [d for d, _, _ in out] == [6, *[7] * 400, 8]
+    assert [s for _, s, _ in out] == np.cumsum([0, *[n for _, _, n in out[:-1]]]).tolist()
+
+
 def test_damaged_shards_are_noticed():
     import zstandard
 
@@ -83,10 +102,10 @@ def test_damaged_shards_are_noticed():
         token_store.ShardReader(io.BytesIO(good[:-1]), len(good) - 1)
 
 
-def test_separator_scan(spark, odd, empty, plain):
+def test_separator_scan(spark, odd, empty, verbatim):
     named = token_scan.write_flat(odd, bpe.default_tokenizer_path(), 50256, scratch(spark, "f"))
     texts = dict(enumerate(ODD_TEXTS)) | {None: "no id"}
-    want = sorted((-1 if i is None else i, len(plain.encode(texts[i] or "", add_special_tokens=False).ids) + 1) for i in [*range(len(ODD_TEXTS)), None, 3])
+    want = sorted((-1 if i is None else i, len(verbatim.encode(texts[i] or "", add_special_tokens=False).ids) + 1) for i in [*range(len(ODD_TEXTS)), None, 3])
     for block in (1, 7, 1 << 20):
         blocks = token_scan.scan_files(named.select("path").distinct(), 50256, block)
         got = named.join(token_scan.document_lengths(blocks), ["path", "ordinal"])
@@ -191,6 +210,24 @@ def test_media_columns(spark, odd, empty):
     assert [(r["actual_type"], r["payload_bytes"]) for r in media.describe(odd_media).orderBy("doc_id").collect()] == [(media.UNKNOWN, 0)] * 2
 
 
+def test_declared_types_are_corrected(spark):
+    df = spark.createDataFrame([(1, "GIF89a is a signature"), (2, "BMW drives"), (3, "plain"), (4, None)], "doc_id bigint, text string")
+    out = {r["doc_id"]: (r["declared_type"], r["actual_type"], r["corrected"]) for r in media.describe(media.store_texts(df)).collect()}
+    assert out == {k: (t, "audio/wav", True) for k, t in ((1, "image/gif"), (2, "image/bmp"), (3, "text/plain"), (4, "text/plain"))}
+
+
+@pytest.mark.parametrize("head", [b"PK\x03\x04", b"GIF89a\x01\0\x01\0\0\0\0,", b"\xff\xd8\xff\xe0\0\x04ab", b"%PDF-1", b"RIFF\xff\0\0\0WAVEfmt "])
+def test_many_heads_take_linear_time(head):
+    began = time.time()
+    assert media.items(head * 60_000) == []
+    assert time.time() - began < 10
+
+
+def test_vocabulary_without_bytes():
+    m = sentencepiece.PieceModel([("<unk>", 0.0, sentencepiece.UNKNOWN), ("▁", -1.0, sentencepiece.NORMAL), ("a", -1.0, sentencepiece.NORMAL)])
+    assert np.frombuffer(m.encode(["a漢a"])[0], "<i4").tolist() == [1, 2, 0, 2]
+
+
 def test_equal_texts_equal_features(spark):
     df = spark.createDataFrame([(1, "same"), (2, "same")], "doc_id bigint, text string")
     assert media.describe(media.store_texts(df)).select("feature", "media_sha256").distinct().count() == 1

@@ -1,4 +1,4 @@
-"""Exact linking of sets by blocks: who is similar to whom, without listing pairs.
+"""Exact linking of sets by vertical partitioning: who is similar to whom, without listing pairs.
 
 Items that might be similar share a *cluster*.  A cluster is compared in cells of
 bounded size and a cell reports only a spanning forest of the links in it, so a
@@ -11,9 +11,11 @@ group of copies costs as many rows as it has members.
   ``CELL`` by ``CELL`` items.  Nothing is dropped: a pair is left out only where
   both ends are known to be in one component.
 
-Within a cell the tokens, in their global order, are cut into fragments; a
-fragment gives the partial overlaps of all pairs at once as a matrix product,
-and the partial overlaps are summed per pair.
+The order of all tokens, that of their hashes, is cut into ranges, the same for
+all cells.  Each (cell, range) is a group of its own, which may run anywhere: it
+counts the partial overlaps of the cell's pairs in that range, all pairs at once
+as a matrix product.  The partial overlaps of a cell, packed, then meet again and
+are summed per pair, and only the sums are held against the threshold.
 """
 
 from __future__ import annotations
@@ -29,22 +31,31 @@ from trialspark.llm.shared import Forest, connected_components, materialise, rel
 
 #: Items on a side of a cell.
 CELL = 384
-#: Tokens in a fragment of the order within a cell.
+#: Distinct tokens that one matrix product takes.
 FRAGMENT = 8192
 #: Rounds of random cells for larger clusters.
 ROUNDS = 2
+#: Ranges of the global order of 64-bit tokens.
+RANGES = 4
+
+EDGE = "a bigint, b bigint"
 
 
-def overlaps(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of every row set with every column set."""
-    total = np.zeros((len(rows), len(cols)), dtype=np.float32)
-    sides = [np.concatenate(s) if s else np.empty(0, np.uint64) for s in (rows, cols)]
-    shared = np.intersect1d(np.unique(sides[0]), np.unique(sides[1]), assume_unique=True)
-    owners = [np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (rows, cols)]
+def overlaps(rows: list[np.ndarray], cols: list[np.ndarray] | None = None) -> np.ndarray:
+    """Sizes of the intersections of every row set with every column set; without columns, of all pairs of rows."""
+    sides = [rows] if cols is None else [rows, cols]
+    total = np.zeros((len(rows), len(sides[-1])), dtype=np.float32)
+    flat = [np.concatenate(s) if s else np.empty(0, np.uint64) for s in sides]
+    if cols is None:
+        shared, often = np.unique(flat[0], return_counts=True)
+        shared = shared[often > 1]
+    else:
+        shared = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
     if not len(shared):
         return total
     places = []
-    for tokens, owner in zip(sides, owners, strict=True):
+    for tokens, side in zip(flat, sides, strict=True):
+        owner = np.repeat(np.arange(len(side)), [len(x) for x in side])
         at = np.searchsorted(shared, tokens)
         at[at == len(shared)] = 0
         hit = shared[at] == tokens
@@ -53,43 +64,15 @@ def overlaps(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
     for low in range(0, len(shared), FRAGMENT):
         width = min(FRAGMENT, len(shared) - low)
         matrices = []
-        for (at, owner), side in zip(places, (rows, cols), strict=True):
+        for (at, owner), side in zip(places, sides, strict=True):
             a, b = np.searchsorted(at, [low, low + width])
             m = np.zeros((len(side), width), dtype=np.float32)
             m[owner[a:b], at[a:b] - low] = 1
             matrices.append(m)
-        total += matrices[0] @ matrices[1].T  # partial overlaps of this fragment, exact in 24 bits
-    return total
-
-
-def overlaps_within(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs of one list of sets."""
-    if len(sets) == 2:
-        n = np.intersect1d(sets[0], sets[1], assume_unique=True).size
-        return np.array([[len(sets[0]), n], [n, len(sets[1])]], dtype=np.float32)
-    flat = np.concatenate(sets)
-    tokens, at, df = np.unique(flat, return_inverse=True, return_counts=True)
-    rank = np.cumsum(df > 1) - 1
-    keep = (df > 1)[at]
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[keep]
-    place = rank[at[keep]]
-    order = np.argsort(place, kind="stable")
-    owner, place = owner[order], place[order]
-    total = np.zeros((len(sets), len(sets)), dtype=np.float32)
-    width = int((df > 1).sum())
-    for low in range(0, width, FRAGMENT):
-        a, b = np.searchsorted(place, [low, low + FRAGMENT])
-        m = np.zeros((len(sets), min(FRAGMENT, width - low)), dtype=np.float32)
-        m[owner[a:b], place[a:b] - low] = 1
-        total += m @ m.T
+        total += matrices[0] @ matrices[-1].T  # exact in 24 bits
     return total
 
 
-def _similar(inter: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
-    union = n[:, None] + m[None, :] - inter
-    return (100.0 * inter >= percent * union) & (inter > 0)
-
-
 def _spanning(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Stars (node, root) that connect what the links ids[a]-ids[b] connect."""
     forest = Forest()
@@ -99,90 +82,154 @@ def _spanning(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray
     return np.array(nodes, dtype=np.int64), np.array([forest.find(x) for x in nodes], dtype=np.int64)
 
 
-def _link_pairs(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of cells of two items each, ``left`` and the one after it, all cells at once."""
-    n = np.array([len(s) for s in sets], dtype=np.int64)
-    both = np.stack([left, left + 1], axis=1).ravel()
-    tokens = np.concatenate([sets[k] for k in both])
-    cell = np.repeat(np.repeat(np.arange(len(left)), 2), n[both])
-    order = np.lexsort((tokens, cell))
-    tokens, cell = tokens[order], cell[order]
-    twice = (tokens[1:] == tokens[:-1]) & (cell[1:] == cell[:-1])
-    inter = np.bincount(cell[1:][twice], minlength=len(left))
-    good = (inter > 0) & (100 * inter >= percent * (n[left] + n[left + 1] - inter))
-    return ids[left[good]], ids[left[good] + 1]
-
-
-def _link_cells(percent: int, width: str):
-    """Link the cells of a task; rows (cell, uid, items) arrive with the rows of a cell in a row."""
-
-    def cells(cell: np.ndarray, ids: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch | None:
-        cut = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-        size = np.diff(np.append(cut, len(cell)))
-        pairs = cut[size == 2]
-        a, b = _link_pairs(ids, sets, pairs, percent) if len(pairs) else (np.empty(0, np.int64),) * 2
-        out_a, out_b = [np.maximum(a, b)], [np.minimum(a, b)]
-        for k in np.flatnonzero(size > 2):
-            lo, hi = cut[k], cut[k] + size[k]
-            some = sets[lo:hi]
-            n = np.array([len(s) for s in some], dtype=np.float64)
-            i, j = np.nonzero(np.triu(_similar(overlaps_within(some).astype(np.float64), n, n, percent), 1))
-            if len(i):
-                nodes, roots = _spanning(ids[lo:hi], i, j)
-                out_a.append(nodes)
-                out_b.append(roots)
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"]) if len(a) else None
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of rows with equal keys begin."""
+    new = np.zeros(len(keys[0]), dtype=bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Tables of complete groups; rows with the same first ``keys`` columns arrive in a row."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        ends = [batch.column(k).to_numpy() for k in range(keys)]
+        last = int(_heads(*ends)[-1])
+        first = [held[0].column(k)[0].as_py() for k in range(keys)]
+        if last or any(int(e[-1]) != f for e, f in zip(ends, first, strict=True)):
+            done = [*held[:-1], batch.slice(0, last)]
+            yield pa.Table.from_batches(done)
+            held = [batch.slice(last)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _packed(values: np.ndarray) -> pa.Array:
+    """Rows of a matrix as binaries."""
+    offsets = np.arange(len(values) + 1, dtype=np.int32) * (values.shape[1] * values.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _cut(width: str, ranges: int):
+    """The pieces of every set in each range of the global order, empty ones too."""
+    kind = np.dtype(width)
+    bounds = np.array([k * ((1 << 8 * kind.itemsize) // ranges) for k in range(1, ranges)], dtype=kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, ids, sets = np.empty(0, np.int64), np.empty(0, np.int64), []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            cell = np.concatenate([cell, batch.column(0).to_numpy()])
-            ids = np.concatenate([ids, batch.column(1).to_numpy()])
-            sets += [np.frombuffer(s, dtype=width) for s in batch.column(2).to_pylist()]
-            done = int(np.searchsorted(cell[::-1] != cell[-1], True))  # rows of the last cell so far
-            done = len(cell) - done if (cell != cell[-1]).any() else 0
-            if done:
-                if (out := cells(cell[:done], ids[:done], sets[:done])) is not None:
-                    yield out
-                cell, ids, sets = cell[done:], ids[done:], sets[done:]
-        if len(cell) and (out := cells(cell, ids, sets)) is not None:
-            yield out
+            cell, side, uid, n = (np.repeat(batch.column(k).to_numpy(), ranges) for k in range(4))
+            pieces = []
+            for raw in batch.column(4).to_pylist():
+                x = np.frombuffer(raw, dtype=width)
+                pieces += [p.tobytes() for p in np.split(x, np.searchsorted(x, bounds))]
+            part = np.tile(np.arange(ranges, dtype=np.int64), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (cell, part, side, uid, n)), pa.array(pieces, pa.binary())], names=["cell", "part", "side", "uid", "n", "piece"])
+
+    return run
+
+
+def _count(width: str):
+    """Partial overlaps of the pairs of every (cell, range), packed: of all pairs, or of rows (side 0) with columns (side 1)."""
+    names = ["cell", "rows", "ids", "sizes", "partial"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, 2):
+            cell, part, side, uid, n = (table.column(k).to_numpy() for k in range(5))
+            sets = [np.frombuffer(s, dtype=width) for s in table.column(5).to_pylist()]
+            head = _heads(cell, part)
+            size = np.diff(np.append(head, len(cell)))
+            two = head[(size == 2) & (side[head] == 2)]
+            if len(two):  # cells of two items, all at once
+                both = (two[:, None] + np.arange(2)).ravel()
+                tokens = np.concatenate([sets[k] for k in both])
+                owner = np.repeat(np.repeat(np.arange(len(two)), 2), [len(sets[k]) for k in both])
+                order = np.lexsort((tokens, owner))
+                tokens, owner = tokens[order], owner[order]
+                twice = (tokens[1:] == tokens[:-1]) & (owner[1:] == owner[:-1])
+                inter = np.bincount(owner[1:][twice], minlength=len(two)).astype("<u4")
+                two, inter = two[inter > 0], inter[inter > 0]
+                pairs = two[:, None] + np.arange(2)
+                yield pa.RecordBatch.from_arrays([pa.array(cell[two]), pa.array(np.full(len(two), -1)), _packed(uid[pairs]), _packed(n[pairs]), _packed(inter[:, None])], names=names)
+            for h, m in zip(head.tolist(), size.tolist(), strict=True):
+                rows = int((side[h : h + m] == 0).sum())
+                if m < 2 or (side[h] == 2 and m == 2) or (side[h] != 2 and rows in (0, m)):
+                    continue
+                some = sets[h : h + m]
+                if side[h] == 2:
+                    counts, rows = overlaps(some)[np.triu_indices(m, 1)], -1
+                else:
+                    counts = overlaps(some[:rows], some[rows:]).ravel()
+                if not counts.any():
+                    continue
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([cell[h]]), pa.array([rows], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (uid[h : h + m], n[h : h + m], counts.astype("<u4")))], names=names
+                )
 
     return run
 
 
-def link_cells(rows: DataFrame, percent: int, width: str) -> DataFrame:
-    """Links within cells of bounded size; ``rows`` has cell, uid and items."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("cell", "uid", "items").repartition(parts, "cell").sortWithinPartitions("cell")
-    return materialise(dealt.mapInArrow(_link_cells(percent, width), EDGE), "links")
+def _sum(percent: int):
+    """Links of every cell from the sums of its partial overlaps."""
 
+    def linked(inter: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        return (inter > 0) & (100 * inter >= percent * (n + m - inter))
 
-def _link_sides(percent: int, width: str):
-    def link(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        ids, label = table.column("uid").to_numpy(), table.column("label").to_numpy()
-        sets = [np.frombuffer(s, dtype=width) for s in table.column("items").to_pylist()]
-        r, c = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(r) or not len(c):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        n = np.array([len(s) for s in sets], dtype=np.float64)
-        good = _similar(overlaps([sets[k] for k in r], [sets[k] for k in c]).astype(np.float64), n[r], n[c], percent)
-        good &= label[r][:, None] != label[c][None, :]
-        a, b = np.nonzero(good)
-        nodes, roots = _spanning(ids, r[a], c[b])
-        return pa.table({"a": pa.array(nodes), "b": pa.array(roots)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, 1):
+            cell = table.column(0).to_numpy()
+            rows, ids, sizes, partial = (table.column(k).to_pylist() for k in range(1, 5))
+            head = _heads(cell)
+            stop = np.append(head[1:], len(cell))
+            pair = np.array([len(x) == 4 and r < 0 for x, r in zip(partial, rows, strict=True)], dtype=bool)
+            if pair.any():
+                of = np.flatnonzero(pair)
+                sums = np.bincount(np.searchsorted(head, of, side="right") - 1, weights=np.frombuffer(b"".join(partial[k] for k in of), "<u4"), minlength=len(head))
+                first = head[pair[head]]
+                ends, n = (np.frombuffer(b"".join(x[k] for k in first), "<i8").reshape(-1, 2) for x in (ids, sizes))
+                good = linked(sums[pair[head]], n[:, 0], n[:, 1])
+                if good.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(ends[good].max(1)), pa.array(ends[good].min(1))], names=["a", "b"])
+            for h, s in zip(head.tolist(), stop.tolist(), strict=True):
+                if pair[h]:
+                    continue
+                inter = np.frombuffer(partial[h], "<u4").astype(np.int64)
+                for k in range(h + 1, s):
+                    inter = inter + np.frombuffer(partial[k], "<u4")
+                uid, n = np.frombuffer(ids[h], "<i8"), np.frombuffer(sizes[h], "<i8")
+                if rows[h] < 0:
+                    a, b = np.triu_indices(len(uid), 1)
+                else:
+                    a, b = (x.ravel() for x in np.meshgrid(np.arange(rows[h]), np.arange(rows[h], len(uid)), indexing="ij"))
+                good = linked(inter, n[a], n[b])
+                if good.any():
+                    nodes, roots = _spanning(uid, a[good], b[good])
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["a", "b"])
 
-    return link
+    return run
 
 
-EDGE = "a bigint, b bigint"
+def link_cells(cells: DataFrame, percent: int, width: str, ranges: int) -> DataFrame:
+    """Links within cells of bounded size; ``cells`` has cell, side (2: all pairs; 0 and 1: rows and columns), uid and items."""
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = (F.octet_length("items") / np.dtype(width).itemsize).cast("bigint")
+    rows = cells.select("cell", F.col("side").cast("bigint").alias("side"), "uid", n.alias("n"), "items")
+    if ranges > 1:
+        rows = rows.mapInArrow(_cut(width, ranges), "cell bigint, part bigint, side bigint, uid bigint, n bigint, piece binary")
+    else:
+        rows = rows.select("cell", F.lit(0).cast("bigint").alias("part"), "side", "uid", "n", F.col("items").alias("piece"))
+    dealt = rows.repartition(parts, "cell", "part").sortWithinPartitions("cell", "part", "side", "uid")
+    partial = dealt.mapInArrow(_count(width), "cell bigint, rows bigint, ids binary, sizes binary, partial binary")
+    if ranges > 1:
+        partial = partial.repartition(parts, "cell").sortWithinPartitions("cell")
+    return materialise(partial.mapInArrow(_sum(percent), EDGE), "links")
 
 
-def link_clusters(members: DataFrame, percent: int, width: str = "<u8") -> DataFrame:
+def link_clusters(members: DataFrame, percent: int, width: str = "<u8", ranges: int = RANGES) -> DataFrame:
     """Links (a, b) that connect all similar items of each cluster: 100 * intersection >= percent * union.
 
     ``members`` has cluster, uid (bigint) and items (sorted distinct unsigned 64-bit
@@ -190,26 +237,29 @@ def link_clusters(members: DataFrame, percent: int, width: str = "<u8") -> DataF
     components of the similarity graph within clusters; it does not list all links.
     """
     members = members.select("cluster", "uid", "items")
+    as_cells = lambda df: df.withColumnRenamed("cluster", "cell").withColumn("side", F.lit(2))
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     large_sizes = materialise(sizes.where(F.col("size") > CELL), "large-clusters")
     if not large_sizes.limit(1).count():
-        return link_cells(members.withColumnRenamed("cluster", "cell"), percent, width)
-    small = members.join(large_sizes.select("cluster"), "cluster", "left_anti")
-    links = [link_cells(small.withColumnRenamed("cluster", "cell"), percent, width)]
+        release(large_sizes)
+        return link_cells(as_cells(members), percent, width, ranges)
+    links = [link_cells(as_cells(members.join(large_sizes.select("cluster"), "cluster", "left_anti")), percent, width, ranges)]
     large = materialise(members.join(large_sizes, "cluster").select("cluster", "uid", "items", "size"), "large-members")
     chunks = F.ceil(F.col("size") / CELL)
     for r in range(ROUNDS):
-        cells = large.withColumn("cell", F.xxhash64("cluster", F.pmod(F.xxhash64("uid", F.lit(r)), chunks)))
-        links.append(link_cells(cells, percent, width))
+        cells = large.withColumn("cell", F.xxhash64("cluster", F.pmod(F.xxhash64("uid", F.lit(r)), chunks))).withColumn("side", F.lit(2))
+        links.append(link_cells(cells, percent, width, ranges))
     known = links[1]
     for more in links[2:]:
         known = known.union(more)
     labels = connected_components(known)
     labelled = large.join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("component", "uid"))
     labelled = materialise(labelled.select("cluster", "uid", "items", "size", "label"), "labelled")
+    release(large, labels)
     counts = labelled.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
     main = counts.groupBy("cluster").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main"), (F.sum("n") - F.max("n")).alias("others"))
-    rest = labelled.join(main.where("others > 0"), "cluster")
+    main = materialise(main.where("others > 0"), "main-components")
+    rest = labelled.join(main, "cluster")
     row_chunks, col_chunks = F.ceil(F.col("others") / CELL).cast("int"), F.ceil(F.col("size") / CELL).cast("int")
     rows = (
         rest.where("label <> main").withColumn("i", F.pmod(F.xxhash64("uid", F.lit("i")), row_chunks).cast("int"))
@@ -219,12 +269,12 @@ def link_clusters(members: DataFrame, percent: int, width: str = "<u8") -> DataF
         rest.withColumn("j", F.pmod(F.xxhash64("uid", F.lit("j")), col_chunks).cast("int"))
         .withColumn("i", F.explode(F.sequence(F.lit(0), row_chunks - 1))).withColumn("side", F.lit(1))
     )
-    wanted = ["cluster", "i", "j", "side", "uid", "label", "items"]
-    both = rows.select(*wanted).union(cols.select(*wanted))
-    links.append(materialise(both.groupBy("cluster", "i", "j").applyInArrow(_link_sides(percent, width), EDGE), "links"))
-    release(large)
-    release(labelled)
+    wanted = [F.xxhash64("cluster", "i", "j").alias("cell"), "side", "uid", "items"]
+    links.append(link_cells(rows.select(*wanted).union(cols.select(*wanted)), percent, width, ranges))
+    release(labelled, main, large_sizes)
     out = links[0]
     for more in links[1:]:
         out = out.union(more)
+    out = materialise(out, "links")
+    release(*links)
     return out

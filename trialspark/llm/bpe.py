@@ -6,8 +6,15 @@ of the pieces joined.  The pieces of a batch are found and hashed as arrays, onl
 distinct ones are looked up, and a worker keeps the ids of the pieces it has seen
 in a bounded cache, so the tokenizer runs on unseen pieces alone.
 
-Pieces of up to ``EXACT_BYTES`` bytes are told apart by 64-bit hashes and their
-lengths, longer ones by their bytes.
+Pieces of up to ``EXACT_BYTES`` bytes are told apart by 64-bit hashes of their
+bytes and lengths: a cache of a million pieces holds two that agree by chance
+with a probability of about 3 in 10^8, and no bytes are compared.  Longer pieces
+are told apart by their bytes.
+
+By default special tokens in a text are what the library makes of them with
+``add_special_tokens=False``: ``<|endoftext|>`` is its one id.  A ``verbatim``
+encoder treats them as plain text, for formats in which such an id has a meaning
+of its own.
 """
 
 from __future__ import annotations
@@ -50,20 +57,22 @@ def cut_positions(buf: np.ndarray) -> np.ndarray:
 
 
 class CachedEncoder:
-    def __init__(self, path: str, dtype: str):
+    def __init__(self, path: str, dtype: str, verbatim: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = verbatim
         self.dtype = np.dtype(dtype)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.begins = np.zeros(size, dtype=bool)  # ids of tokens that start with a space
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.begins[i] = token.startswith("Ġ")
+        self.named = 0  # long pieces named so far
         self._clear()
 
     def _clear(self) -> None:
+        self.long: dict[bytes, int] = {}  # long pieces: their names
         self.slot: dict[int, int] = {}  # hash of a piece: its place below
         self.start = np.zeros(1 << 10, dtype=np.int64)
         self.count = np.zeros(1 << 10, dtype=np.int64)
@@ -111,8 +120,11 @@ class CachedEncoder:
         key = piece_hashes(buf, start, end)
         key[unit] = mix64(key[unit] ^ _FIRST)
         for k in np.flatnonzero(end - start > EXACT_BYTES):
-            piece = buf[start[k] : end[k]].tobytes()
-            key[k] = np.uint64(hash((piece, bool(buf[start[k]] == 32))) & 0xFFFFFFFFFFFFFFFF)
+            piece = buf[start[k] : end[k]].tobytes()  # one after a cut starts with its space
+            if piece not in self.long:
+                self.named += 1
+                self.long[piece] = int(mix64(np.array([self.named], dtype=np.uint64))[0])
+            key[k] = self.long[piece]
         distinct, first, back = np.unique(key, return_index=True, return_inverse=True)
         names = distinct.tolist()
         if len(self.slot) + len(names) > CACHE_PIECES:
@@ -142,10 +154,11 @@ class CachedEncoder:
             self._remember(held, pool[np.repeat(start[old] - (stops - counts), counts) + np.arange(int(stops[-1]))], counts)
 
 
-_encoders: dict[tuple[str, str], CachedEncoder] = {}
+_encoders: dict[tuple[str, str, bool], CachedEncoder] = {}
 
 
-def encoder(path: str, dtype: str) -> CachedEncoder:
-    if (path, dtype) not in _encoders:
-        _encoders[path, dtype] = CachedEncoder(path, dtype)
-    return _encoders[path, dtype]
+def encoder(path: str, dtype: str, verbatim: bool = False) -> CachedEncoder:
+    key = (path, dtype, verbatim)
+    if key not in _encoders:
+        _encoders[key] = CachedEncoder(*key)
+    return _encoders[key]

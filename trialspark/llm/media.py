@@ -9,8 +9,11 @@ within a carved item excepted.
 
 Cases: a null or empty blob is ``application/octet-stream`` without items; a
 magic without a valid structure is no item; when two formats match at the same
-offset, the longer item wins, then the alphabetically first type.  Null ids,
-repeated rows and further columns are left as they are.
+offset, the longer item wins, then the alphabetically first type.  Null ids and
+repeated rows are kept, further columns ignored, an empty table gives no rows.
+Very long blobs go through whole: what validators learn about a blob is kept
+while it is read, so walks over blocks, and searches for end marks, are done once
+however many magics stand before them.
 """
 
 from __future__ import annotations
@@ -18,10 +21,12 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from trialspark.llm.shared import documents_of, materialise, text_batches
@@ -29,73 +34,134 @@ from trialspark.llm.shared import documents_of, materialise, text_batches
 UNKNOWN = "application/octet-stream"
 
 
-def _riff(form: bytes, head: bytes) -> Callable[[bytes, int], int | None]:
-    def length(b: bytes, at: int) -> int | None:
+class Blob:
+    """A blob with what its validators have learnt: where marks stand, and how walks from a position end.
+
+    Validators start at every magic, so the same stretch may be walked many times;
+    a walk that reaches a position seen before ends as that one did.
+    """
+
+    def __init__(self, data: bytes):
+        self.data, self.marks, self.ends = data, {}, {}
+
+    def positions(self, mark: bytes) -> list[int]:
+        if mark not in self.marks:
+            found, at = [], self.data.find(mark)
+            while at >= 0:
+                found.append(at)
+                at = self.data.find(mark, at + 1)
+            self.marks[mark] = found
+        return self.marks[mark]
+
+    def find(self, mark: bytes, start: int) -> int:
+        found = self.positions(mark)
+        k = bisect_left(found, start)
+        return found[k] if k < len(found) else -1
+
+    def rfind(self, mark: bytes, stop: int) -> int:
+        """Last place of a mark that ends at or before ``stop``."""
+        found = self.positions(mark)
+        k = bisect_right(found, stop - len(mark))
+        return found[k - 1] if k else -1
+
+    def walk(self, name: str, at: int, step: Callable[[bytes, int], tuple[str, int]]) -> int | None:
+        """End of a chain of steps, or None; ``step`` gives ("go", next), ("end", end) or ("bad", 0)."""
+        known, path = self.ends.setdefault(name, {}), []
+        while at not in known:
+            path.append(at)
+            what, to = step(self.data, at)
+            if what == "go" and to > at:
+                at = to
+                continue
+            known[path[-1]] = to if what == "end" else None
+            at = path[-1]
+        end = known[at]
+        for x in path:
+            known[x] = end
+        return end
+
+
+def _riff(form: bytes, head: bytes) -> Callable[[Blob, int], int | None]:
+    def length(blob: Blob, at: int) -> int | None:
+        b = blob.data
         if b[at + 8 : at + 12] != form or b[at + 12 : at + 16] not in (head, b"VP8L", b"VP8X"):
             return None
         end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
         if end > len(b):
             return None
-        pos, kinds = at + 12, set()
-        while pos + 8 <= end:
-            kinds.add(b[pos : pos + 4])
-            pos += 8 + (size := struct.unpack_from("<I", b, pos + 4)[0]) + size % 2
-        whole = pos == end and (form != b"WAVE" or b"data" in kinds)
-        return end - at if whole else None
+        pos, data = at + 12, False
+        while pos + 8 <= end:  # chunks have to tile the form
+            size = struct.unpack_from("<I", b, pos + 4)[0]
+            data = data or b[pos : pos + 4] == b"data"
+            pos += 8 + size + size % 2
+        return end - at if pos == end and (form != b"WAVE" or data) else None
 
     return length
 
 
-def _png(b: bytes, at: int) -> int | None:
-    pos, first = at + 8, True
-    while pos + 12 <= len(b):
-        size, kind = struct.unpack_from(">I4s", b, pos)
-        end = pos + 12 + size
-        if end > len(b) or (first and kind != b"IHDR") or zlib.crc32(b[pos + 4 : end - 4]) != struct.unpack_from(">I", b, end - 4)[0]:
-            return None
-        if kind == b"IEND":
-            return end - at
-        pos, first = end, False
-    return None
-
-
-def _jpeg(b: bytes, at: int) -> int | None:
-    pos = at + 2
-    while pos + 4 <= len(b) and b[pos] == 0xFF:
-        kind = b[pos + 1]
-        size = struct.unpack_from(">H", b, pos + 2)[0]
-        if size < 2 or not 0xC0 <= kind <= 0xFE:
-            return None
-        pos += 2 + size
-        if kind == 0xDA:  # entropy-coded data up to the end marker
-            end = b.find(b"\xff\xd9", pos)
-            return end + 2 - at if end >= 0 else None
-    return None
+def _png_step(b: bytes, pos: int) -> tuple[str, int]:
+    if pos + 12 > len(b):
+        return ("bad", 0)
+    size, kind = struct.unpack_from(">I4s", b, pos)
+    end = pos + 12 + size
+    if end > len(b) or not kind.isalpha() or zlib.crc32(memoryview(b)[pos + 4 : end - 4]) != struct.unpack_from(">I", b, end - 4)[0]:
+        return ("bad", 0)
+    return ("end", end) if kind == b"IEND" else ("go", end)
+
+
+def _png(blob: Blob, at: int) -> int | None:
+    if blob.data[at + 8 : at + 16] != b"\0\0\0\rIHDR":
+        return None
+    end = blob.walk("png", at + 8, _png_step)
+    return None if end is None else end - at
+
+
+def _jpeg_step(b: bytes, pos: int) -> tuple[str, int]:
+    if pos + 4 > len(b) or b[pos] != 0xFF or not 0xC0 <= b[pos + 1] <= 0xFE:
+        return ("bad", 0)
+    size = struct.unpack_from(">H", b, pos + 2)[0]
+    if size < 2:
+        return ("bad", 0)
+    return ("end" if b[pos + 1] == 0xDA else "go", pos + 2 + size)
+
+
+def _jpeg(blob: Blob, at: int) -> int | None:
+    scan = blob.walk("jpeg", at + 2, _jpeg_step)  # entropy-coded data up to the end marker
+    end = blob.find(b"\xff\xd9", scan) if scan is not None else -1
+    return end + 2 - at if end >= 0 else None
+
 
+def _gif_step(b: bytes, pos: int) -> tuple[str, int]:
+    """One sub-block of a chain, or what follows its end."""
+    if pos >= len(b):
+        return ("bad", 0)
+    if b[pos]:
+        return ("go", pos + 1 + b[pos])
+    return _gif_block(b, pos + 1)
 
-def _gif(b: bytes, at: int) -> int | None:
+
+def _gif_block(b: bytes, pos: int) -> tuple[str, int]:
+    if pos >= len(b):
+        return ("bad", 0)
+    kind = b[pos]
+    if kind == 0x3B:
+        return ("end", pos + 1)
+    if kind == 0x2C and pos + 10 < len(b):
+        return ("go", pos + 11 + (3 << (b[pos + 9] & 7) + 1 if b[pos + 9] & 0x80 else 0))
+    return ("go", pos + 2) if kind == 0x21 else ("bad", 0)
+
+
+def _gif(blob: Blob, at: int) -> int | None:
+    b = blob.data
     if len(b) < at + 13:
         return None
-    flags = b[at + 10]
-    pos = at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0)
-    while pos < len(b):
-        kind = b[pos]
-        if kind == 0x3B:
-            return pos + 1 - at
-        if kind == 0x2C and pos + 10 < len(b):
-            local = b[pos + 9]
-            pos += 11 + (3 << (local & 7) + 1 if local & 0x80 else 0)
-        elif kind == 0x21:
-            pos += 2
-        else:
-            return None
-        while pos < len(b) and b[pos]:
-            pos += 1 + b[pos]
-        pos += 1
-    return None
+    what, to = _gif_block(b, at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 0x80 else 0))
+    end = blob.walk("gif", to, _gif_step) if what == "go" else to if what == "end" else None
+    return None if end is None else end - at
 
 
-def _bmp(b: bytes, at: int) -> int | None:
+def _bmp(blob: Blob, at: int) -> int | None:
+    b = blob.data
     if len(b) < at + 26:
         return None
     size, reserved, start, head = struct.unpack_from("<IIII", b, at + 2)
@@ -103,7 +169,8 @@ def _bmp(b: bytes, at: int) -> int | None:
     return size if good else None
 
 
-def _gzip(b: bytes, at: int) -> int | None:
+def _gzip(blob: Blob, at: int) -> int | None:
+    b = blob.data
     if len(b) < at + 18 or b[at + 3] & 0xE0:
         return None
     stream = zlib.decompressobj(31)
@@ -117,26 +184,33 @@ def _gzip(b: bytes, at: int) -> int | None:
     return len(b) - at - len(stream.unused_data) if stream.eof else None
 
 
-def _zip(b: bytes, at: int) -> int | None:
-    end = b.find(b"PK\x05\x06", at)
-    while end >= 0 and end + 22 <= len(b):
-        size, offset, comment = struct.unpack_from("<IIH", b, end + 12)
-        if at + offset + size == end and end + 22 + comment <= len(b) and b[at + offset : at + offset + 4] == b"PK\x01\x02":
-            return end + 22 + comment - at
-        end = b.find(b"PK\x05\x06", end + 1)
-    return None
+def _zip(blob: Blob, at: int) -> int | None:
+    """The first end record whose directory starts where it says, seen from this head."""
+    b = blob.data
+    if "zip" not in blob.ends:
+        starts: dict[int, int] = {}
+        for end in blob.positions(b"PK\x05\x06"):
+            if end + 22 <= len(b):
+                size, offset, comment = struct.unpack_from("<IIH", b, end + 12)
+                if end + 22 + comment <= len(b) and b[end - size : end - size + 4] == b"PK\x01\x02":
+                    starts.setdefault(end - size - offset, end + 22 + comment)
+        blob.ends["zip"] = starts
+    end = blob.ends["zip"].get(at)
+    return end - at if end is not None and end > at else None
 
 
-def _pdf(b: bytes, at: int) -> int | None:
+def _pdf(blob: Blob, at: int) -> int | None:
+    b = blob.data
     if not b[at + 5 : at + 6].isdigit():
         return None
-    nxt = b.find(b"%PDF-", at + 5)
-    end = b.rfind(b"%%EOF", at, nxt if nxt >= 0 else len(b))
-    return end + 5 - at if end >= 0 and b.find(b"startxref", at, end) >= 0 else None
+    following = blob.find(b"%PDF-", at + 5)
+    end = blob.rfind(b"%%EOF", following if following >= 0 else len(b))
+    start = blob.find(b"startxref", at)
+    return end + 5 - at if end >= at and at <= start <= end - 9 else None
 
 
 # Magic bytes of the formats, their media types and validators.
-FORMATS: list[tuple[bytes, str, Callable[[bytes, int], int | None]]] = [
+FORMATS: list[tuple[bytes, str, Callable[[Blob, int], int | None]]] = [
     (b"RIFF", "audio/wav", _riff(b"WAVE", b"fmt ")),
     (b"RIFF", "image/webp", _riff(b"WEBP", b"VP8 ")),
     (b"\x89PNG\r\n\x1a\n", "image/png", _png),
@@ -171,12 +245,12 @@ def items(blob: bytes | None) -> list[tuple[int, int, str]]:
     """Valid items of a blob, outermost only: (offset, length, type), by offset."""
     if not blob:
         return []
-    found = []
+    found, known = [], Blob(blob)
     for last, (size, kinds) in _automaton().iter(blob.decode("latin-1")):
         at = last - size + 1
         for k in kinds:
             try:
-                length = FORMATS[k][2](blob, at)
+                length = FORMATS[k][2](known, at)
             except (struct.error, IndexError):
                 length = None
             if length:
@@ -222,15 +296,27 @@ def wav_samples(media: bytes) -> bytes:
     raise ValueError("no data chunk")
 
 
+PLAIN = "text/plain"
+
+
+def declared_type(text: bytes) -> str:
+    """The type that a text's leading signature claims, valid or not; plain text without one."""
+    return next((kind for magic, kind, _ in FORMATS if text.startswith(magic)), PLAIN)
+
+
 def store_texts(docs: DataFrame) -> DataFrame:
-    """Texts as media: (doc_id, declared, n_bytes, media), written to the shared folder."""
+    """Texts as media: (doc_id, declared, n_bytes, media), written to the shared folder.
+
+    The declared type is what the text claims to be, so it is wrong for what is
+    stored, and reading corrects it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()),
-                    pa.array([UNKNOWN] * len(texts)),
+                    pa.array([declared_type(t) for t in texts]),
                     pa.array([len(t) for t in texts], pa.int64()),
                     pa.array([wav(t + b" " * (PAD_TO - len(t) % PAD_TO if len(t) % PAD_TO or not t else 0)) for t in texts], pa.binary()),
                 ],
@@ -269,13 +355,13 @@ def describe(media: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
             arrays = [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds]
             yield pa.RecordBatch.from_arrays(
-                [ids, n_bytes, *arrays, declared],
-                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "actual_type", "declared_type"],
+                [ids, n_bytes, *arrays, declared, pc.fill_null(pc.not_equal(declared, arrays[-1]), True)],
+                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "actual_type", "declared_type", "corrected"],
             )
 
     return media.mapInArrow(
         run,
-        "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, actual_type string, declared_type string",
+        "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, actual_type string, declared_type string, corrected boolean",
     )
 
 

@@ -13,6 +13,11 @@ unvisited vertices among its ``BEAM`` nearest so far show their neighbours, unti
 none is left.  Distances of the result are computed in double precision from the
 original vectors.
 
+Vertices are distinct vectors, each under the smallest id that has it, so a group
+of copies is one vertex and one walk.  What a walk finds is then opened into its
+members: the first ``k`` + 1 ids of every vector, which is all that ``k`` nearest
+can need, are cut out before rows are exchanged, so a group of any size is exact.
+
 Cases: vectors that are null, zero, or hold null or non-finite components take no
 part, neither as queries nor as candidates; rows without vec_id neither; rows
 that share a vec_id count once, with the smallest vector; only vectors of the
@@ -45,7 +50,7 @@ MEET = 16
 
 def usable(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """The vectors that take part: (id, vec as array<double>, dim), one row for each id."""
-    v = F.transform(F.col(vector_column), lambda x: x.cast("double"))
+    v = F.transform(F.col(vector_column), lambda x: x.cast("double") + F.lit(0.0))  # -0.0 is 0.0
     fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     some = F.exists("vec", lambda x: x != 0)
     rows = vectors.select(F.col(id_column).cast("bigint").alias("id"), v.alias("vec")).where("id is not null and vec is not null")
@@ -127,13 +132,11 @@ def _nearest(known: DataFrame, degree: int) -> DataFrame:
 
 def _start(vectors: DataFrame, tables: int) -> DataFrame:
     """Cells of bounded size to start from: one random set, the others by sides of random hyperplanes."""
-    n = vectors.count()
-    dims = [r["dim"] for r in vectors.select("dim").distinct().orderBy("dim").limit(64).collect()]
-    bits = max(0, int(np.ceil(np.log2(max(n, 1) / START_CELL))))
-    rng = np.random.default_rng(3)
-    planes = {d: rng.normal(size=(tables, max(bits, 1), d)) for d in dims}
-    centre = {r["dim"]: r["m"] for r in vectors.select("dim", F.posexplode("vec").alias("i", "x")).groupBy("dim", "i").agg(F.avg("x").alias("a")).groupBy("dim").agg(F.array_sort(F.collect_list(F.struct("i", "a"))).alias("m")).collect()}
-    means = {d: np.array([x["a"] for x in m]) for d, m in centre.items()}
+    bits = max(0, int(np.ceil(np.log2(max(vectors.count(), 1) / START_CELL))))
+    # planes go through the mean of the vectors of a length and follow from the length alone
+    means = vectors.select("dim", F.posexplode("vec").alias("i", "x")).groupBy("dim", "i").agg(F.avg("x").alias("a"))
+    means = means.groupBy("dim").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "a"))), lambda s: s["a"]).alias("mean"))
+    centred = vectors.join(means, "dim").select("id", F.zip_with("vec", "mean", lambda x, m: x.cast("double") - m).alias("vec"))
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,15 +146,15 @@ def _start(vectors: DataFrame, tables: int) -> DataFrame:
             sizes = np.diff(vec.offsets.to_numpy())
             starts = np.concatenate([[0], np.cumsum(sizes)])
             flat = vec.flatten().to_numpy()
-            for d, p in planes.items():
+            for d in np.unique(sizes).tolist() if bits else []:
                 some = np.flatnonzero(sizes == d)
-                if len(some) and bits:
-                    x = np.stack([flat[starts[i] : starts[i] + d] for i in some]) - means[d]
-                    for t in range(tables):
-                        out[some, t] = ((x @ p[t].T > 0) @ (1 << np.arange(p.shape[1], dtype=np.int64))).astype(np.int64)
+                planes = np.random.default_rng([3, d]).normal(size=(tables, bits, d))
+                x = np.stack([flat[starts[i] : starts[i] + d] for i in some])
+                for t in range(tables):
+                    out[some, t] = (x @ planes[t].T > 0) @ (1 << np.arange(bits, dtype=np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(out), pa.list_(pa.int64()))], names=["id", "codes"])
 
-    coded = vectors.select("id", "vec").mapInArrow(codes, "id bigint, codes array<bigint>")
+    coded = centred.mapInArrow(codes, "id bigint, codes array<bigint>")
     keys = coded.select("id", F.posexplode("codes").alias("table", "code")).union(vectors.select("id", F.lit(-1), F.lit(0).cast("bigint")))
     keys = keys.join(vectors.select("id", "dim"), "id")
     sizes = keys.groupBy("dim", "table", "code").agg(F.count(F.lit(1)).alias("size"))
@@ -163,7 +166,7 @@ def _start(vectors: DataFrame, tables: int) -> DataFrame:
 def build_graph(vectors: DataFrame, degree: int = DEGREE, descents: int = DESCENTS, tables: int = TABLES) -> DataFrame:
     """Neighbour graph of usable vectors (id, vec, dim): rows (id, near, d2)."""
     single = materialise(vectors.select("id", "dim", F.transform("vec", lambda x: x.cast("float")).alias("vec")), "vectors-single")
-    graph = materialise(_nearest(_cells(_start(single, tables), START_LEARNT), degree), "graph")
+    graph = materialise(_nearest(_cells(_start(single, tables), START_LEARNT), degree), "graph")  # a vertex alone in its length has no edge
     for r in range(descents):
         close = graph.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("d2", "near"))).where(F.col("r") <= MEET)
         both = close.select(F.col("id").alias("centre"), F.col("near").alias("id")).union(close.select(F.col("near"), F.col("id"))).distinct()
@@ -174,6 +177,7 @@ def build_graph(vectors: DataFrame, degree: int = DEGREE, descents: int = DESCEN
         better = materialise(_nearest(graph.union(_cells(rows, LEARNT)), degree), "graph")
         release(graph)
         graph = better
+    release(single)
     return graph
 
 
@@ -183,6 +187,35 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
 
 
+def members(vectors: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` + 1 ids of every distinct vector: (vertex, id, vec, dim), the vertex being the smallest of them."""
+    same = Window.partitionBy("vec").orderBy("id")
+    first = vectors.withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1)
+    return first.withColumn("vertex", F.min("id").over(Window.partitionBy("vec"))).select("vertex", "id", "vec", "dim")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, beam: int | None = None) -> DataFrame:
+    """The ``k`` nearest vectors found for every query, an id of ``vectors`` (id, vec, dim): (query_id, rank, vec_id, score)."""
+    first = materialise(members(vectors, k), "members")
+    vertices = materialise(first.where("id = vertex").select("id", "vec", "dim"), "vertices")
+    asked = queries.join(vectors.select(F.col("id").alias("query_id"), "vec"), "query_id")
+    asked = materialise(asked.join(vertices.select(F.col("id").alias("vertex"), "vec"), "vec").select("query_id", "vertex"), "asked")
+    graph = build_graph(vertices)
+    found = search(graph, vertices, asked.select(F.col("vertex").alias("query_id")).distinct(), k, beam or BEAM)
+    near = found.select(F.col("query_id").alias("start"), F.col("vec_id").alias("vertex"), "score")
+    own = asked.select(F.col("vertex").alias("start"), "vertex", F.lit(0.0).alias("score")).distinct()
+    opened = near.union(own).join(first.select("vertex", "id"), "vertex")
+    # a walk's first k + 1 members hold the k nearest of every query of its vertex, whichever of them it is
+    best = Window.partitionBy("start").orderBy("score", "id")
+    opened = materialise(opened.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).select("start", "id", "score"), "opened")
+    release(graph, first, vertices)
+    each = asked.join(opened, asked["vertex"] == opened["start"]).where("query_id <> id")
+    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))).where(F.col("rank") <= k)
+    out = materialise(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score"), "nearest")
+    release(asked, opened)
+    return out
+
+
 def search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, beam: int = BEAM) -> DataFrame:
     """The ``k`` nearest vertices that greedy search finds from every query's own vertex: (query_id, rank, vec_id, score).
 
@@ -208,10 +241,14 @@ def search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, bea
         if not frontier.limit(1).count():
             break
     ranked = known.where("score >= 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+    out = materialise(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score"), "found")
+    release(known, start)
+    return out
 
 
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = materialise(usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), "vectors")
     queries = vectors.where("id % 100 = 0").select(F.col("id").alias("query_id"))
-    return search(build_graph(vectors), vectors, queries, 10)
+    out = nearest(vectors, queries, 10)
+    release(vectors)
+    return out

@@ -13,8 +13,9 @@ summed per document or per pair:
    classes each n-gram occurs.  Ordered by that count, two similar classes share
    an n-gram among their first ``(100 - percent) * n / 100 + 1``; classes that do
    so are candidates, and components of candidates are clusters.
-4. Clusters are compared exactly in bounded cells, with partial overlaps per
-   fragment summed per pair (``blocks``).
+4. Clusters are compared exactly in bounded cells: every fragment of the order
+   counts the partial overlaps of a cell's pairs on its own, and the partial
+   overlaps are summed per pair (``blocks``).
 
 Every step is exact: no n-gram, document or partner is dropped by frequency or
 number.  Rows that move are packed pieces of sets, most of them in step 2, which
@@ -197,9 +198,8 @@ def similarity_components(docs: DataFrame, size: int = 4, percent: int = 85) ->
     Two documents link when 100 * intersection >= percent * union of their sets
     of ``size``-word shingles; component_id is the smallest doc_id that links reach.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    fragments = fragments_for(spark)
+    fragments = fragments_for(docs)
     first = materialise(
         docs.mapInArrow(_first_pass(size, fragments), "fragment int, doc_id bigint, n bigint, region bigint, uid bigint, check bigint, piece binary"),
         "ngram-pieces",
@@ -224,21 +224,27 @@ def similarity_components(docs: DataFrame, size: int = 4, percent: int = 85) ->
     # a star for every n-gram: the smallest class that has it among its first
     centre = prefix.groupBy("token").agg(F.min("uid").alias("centre"), F.max("uid").alias("other")).where("centre <> other")
     centre = materialise(centre.select("token", "centre"), "ngram-centres")  # so that the join can split a common n-gram
-    star = prefix.join(centre, "token").where("uid <> centre").select("uid", "centre").distinct()
-    clusters = connected_components(star)
+    clusters = connected_components(prefix.join(centre, "token").where("uid <> centre").select("uid", "centre").distinct())
+    release(stay, prefix, centre)
     whole = sets.where("fragment < 0").select("uid", "items").dropDuplicates(["uid"])
-    links = link_clusters(clusters.select(F.col("component").alias("cluster"), F.col("node").alias("uid")).join(whole, "uid"), percent)
+    members = materialise(clusters.select(F.col("component").alias("cluster"), F.col("node").alias("uid")).join(whole, "uid"), "ngram-members")
+    release(sets, clusters)
+    links = link_clusters(members, percent)
+    release(members)
     # rows that share a doc_id are one document, whatever their sets
-    several = rows.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min("uid").alias("a"), F.max("uid").alias("b"), F.count_distinct("uid").alias("k")).where("k > 1")
+    several = rows.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min("uid").alias("a"), F.max("uid").alias("b")).where("a <> b")
     same_id = rows.join(several.select("doc_id", "a"), "doc_id").where("uid <> a and n > 0").select("a", F.col("uid").alias("b"))
     labels = connected_components(links.union(same_id))
     smallest = rows.where("doc_id is not null and n > 0").groupBy("uid").agg(F.min("doc_id").alias("smallest"))
     named = smallest.join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     named = materialise(named, "ngram-labels")
+    release(links, labels)
     final = named.join(named.groupBy("component").agg(F.min("smallest").alias("component_id")), "component").select("uid", "component_id")
     out = rows.select("doc_id", "n", "uid").join(final, "uid", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.cast("bigint").alias("component_id"))
+    out = materialise(out.select("doc_id", F.col("n").alias("n_shingles"), component.cast("bigint").alias("component_id")), "ngram-components")
+    release(rows, named)
+    return out
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,12 @@ into pieces of a bin's size and a rest, and only the rest shares its bin.
 Cases: a document of no tokens, null ids, null sources (a source of its own) and
 null clusters (in conflict with nobody) are packed like others; lengths that are
 null or below zero count as zero; ties in length go by cluster, then doc_id;
-repeated rows are packed each.
+repeated rows are packed each, dealt to all shards; a very long text is encoded
+whole and cut into pieces; extra columns are ignored.
+
+Tokens are the ids of the byte-level BPE, with an end id for each document.  A
+duplicate cluster of the query is a group of byte-equal texts: ``pack`` takes any
+cluster, and in the pipeline near duplicates are gone before this stage.
 """
 
 from __future__ import annotations
@@ -30,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm.hashing import word_spans
-from trialspark.llm.shared import documents_of, text_batches
+from trialspark.llm import bpe
+from trialspark.llm.shared import documents_of, materialise, text_batches
 
 CAPACITY = 4096
 PER_SOURCE = 4
 SHARD = 1024
+#: UTF-8 bytes of text that are encoded at a time.
+TEXT_BYTES = 4 << 20
 
 
 class Bins:
@@ -120,39 +127,35 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURC
     n_tokens, bin_id, bin_offset and bin_tokens (tokens in the bin).
     """
     length = F.greatest(F.coalesce(F.col("n_tokens").cast("bigint"), F.lit(0)), F.lit(0).cast("bigint"))
-    rows = items.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("cluster").cast("bigint").alias("cluster"), length.alias("length"))
+    rows = items.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("cluster").cast("bigint").alias("cluster"), length.alias("length"), F.monotonically_increasing_id().alias("row"))
     pieces = F.greatest(F.ceil(F.col("length") / capacity), F.lit(1)).cast("int")
     rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
     rows = rows.withColumn("start", F.col("piece").cast("bigint") * capacity)
     rows = rows.withColumn("n_tokens", F.least(F.col("length") - F.col("start"), F.lit(capacity).cast("bigint"))).drop("length")
     shards = max(1, -(-items.count() // SHARD))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "n_tokens", "piece"), F.lit(shards)).cast("bigint"))
+    # the row number, the same in every reading of a written table, spreads rows that are equal in all columns
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "n_tokens", "piece", "row"), F.lit(shards)).cast("bigint")).drop("row")
     return rows.groupBy("shard").applyInArrow(
         _pack_shard(capacity, per_source),
         "doc_id bigint, piece int, start bigint, n_tokens bigint, bin_id bigint, bin_offset bigint, bin_tokens bigint",
     )
 
 
-def with_lengths(docs: DataFrame) -> DataFrame:
-    """Documents as items: words and an end mark are the tokens, equal texts are a duplicate cluster."""
+def with_lengths(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
+    """Documents as items, written: the ids of the whole text and an end id are the tokens, equal texts are a duplicate cluster."""
+    path = tokenizer_path or bpe.default_tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_batches(batches):
-            joined = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
-            starts = np.cumsum([0] + [len(t) + 1 for t in texts])
-            words = np.diff(np.searchsorted(word_spans(joined)[0], starts)) + 1
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "source", "cluster")), pa.array(words, pa.int64())],
-                names=["doc_id", "source", "cluster", "n_tokens"],
-            )
+        enc = bpe.encoder(path, "<u4")
+        for batch, texts in text_batches(batches, TEXT_BYTES):
+            counts = np.array([len(ids) // 4 + 1 for ids in enc.encode(texts)], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts)], names=["doc_id", "source", "cluster", "n_tokens"])
 
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("cluster"), "text"
     )
-    return rows.mapInArrow(run, "doc_id bigint, source string, cluster bigint, n_tokens bigint")
+    return materialise(rows.mapInArrow(run, "doc_id bigint, source string, cluster bigint, n_tokens bigint"), "lengths")
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from trialspark.llm.shared import materialise
-
-    return pack(materialise(with_lengths(documents_of(spark, sf_dir, ("doc_id", "source", "text"))), "lengths"))
+    return pack(with_lengths(documents_of(spark, sf_dir, ("doc_id", "source", "text"))))

@@ -27,8 +27,9 @@ fails the exact comparison.  All pieces that move are packed arrays.
 
 Cases: null and empty texts and texts of fewer words than a paragraph have no
 paragraphs; rows without doc_id are left out; rows that share a doc_id are one
-document; a passage repeated within one document only is no repeat; extra
-columns are ignored.
+document, and where their texts differ each has the spans that are its own; a
+passage repeated within one document only is no repeat; a very long text goes
+through whole; extra columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -211,12 +212,23 @@ def _collide(table: pa.Table) -> pa.Table:
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document, content and span of every place found in a batch."""
+    """What was found in a batch: each of its places once (key 0: its content is repeated, -1: only near others), and the groups of near contents (key > 0)."""
     for batch in batches:
         for piece, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             table = np.frombuffer(piece, "<i8").reshape(4, -1)
             key, place = np.concatenate([np.frombuffer(f, "<i8").reshape(2, -1) for f in found], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(table[i][place]) for i in (1, 0, 2, 3))], names=["key", "content", "doc_id", "start", "stop"])
+            spot = np.unique(place)
+            repeated = np.isin(spot, place[key == 0])
+            near = np.unique(np.stack([key, table[1][place]])[:, key > 0], axis=1)
+            none = np.full(near.shape[1], -1)
+            # a near content's row names the first document that has it, whose text gives its shingles
+            order = np.lexsort((table[0][spot], table[1][spot]))
+            contents, first = np.unique(table[1][spot][order], return_index=True)
+            holder = table[0][spot][order][first[np.searchsorted(contents, near[1])]]
+            columns = [
+                np.concatenate(x) for x in ((np.where(repeated, 0, -1), near[0]), (table[1][spot], near[1]), (table[0][spot], holder), (table[2][spot], none), (table[3][spot], none))
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "content", "doc_id", "start", "stop"])
 
 
 def _item_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,10 +284,10 @@ def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             reach.append(np.abs(far[at] - (offset[i] + edge[i])[:, None]).astype("<u4"))
         both = np.concatenate(reach, axis=1)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(x[i]) for x in (cluster, ids, start, stop, kept_in, chunks)]
+            [pa.array(x[i]) for x in (cluster, ids, column_of(batch, "print")[owner], start, stop, kept_in, chunks)]
             + [pa.array([x.tobytes() for x in side], pa.binary()) for side in sides]
             + [pa.array([b"" if k else x.tobytes() for k, x in zip(kept, both, strict=True)], pa.binary())],
-            names=["cluster", "doc_id", "start", "stop", "kept_in", "chunks", "before", "after", "reach"],
+            names=["cluster", "doc_id", "print", "start", "stop", "kept_in", "chunks", "before", "after", "reach"],
         )
 
 
@@ -297,21 +309,21 @@ def _longest(cell: np.ndarray, sides: np.ndarray, repeat: np.ndarray) -> np.ndar
 
 def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Grown spans of repeats; the rows of a cell, its kept sides among them (no reach), arrive in a row."""
-    names = ["doc_id", "start", "stop", "cluster", "kept_in"]
+    names = ["doc_id", "print", "start", "stop", "cluster", "kept_in"]
 
     def grown(table: pa.Table) -> pa.RecordBatch:
         cell = table.column("cell").to_numpy()
         matrix = lambda t, name: np.frombuffer(b"".join(t.column(name).to_pylist()), "<u4").reshape(t.num_rows, -1 if t.num_rows else 1)
         repeat = table.column("doc_id").to_numpy() != table.column("kept_in").to_numpy()
         if not repeat.any():
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 5, names=names)
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 6, names=names)
         left, right = (_longest(cell, matrix(table, name), repeat) for name in ("before", "after"))
         some = table.filter(pa.array(repeat))
         reach, rows = matrix(some, "reach").astype(np.int64), np.arange(some.num_rows)
         first = some.column("start").to_numpy() - reach[rows, left]
         last = some.column("stop").to_numpy() + reach[rows, ANCHOR_SPAN + 1 + right]
-        ids, cluster, kept_in = (some.column(n).to_numpy() for n in ("doc_id", "cluster", "kept_in"))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, first, last, cluster, kept_in)], names=names)
+        ids, text, cluster, kept_in = (some.column(n).to_numpy() for n in ("doc_id", "print", "cluster", "kept_in"))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, text, first, last, cluster, kept_in)], names=names)
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -328,14 +340,14 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """Repeated paragraphs, grown: (doc_id, start, stop, cluster, kept_in), bytes of the UTF-8 text.
+    """Repeated paragraphs, grown: (doc_id, print, start, stop, cluster, kept_in), bytes of the UTF-8 text.
 
     ``kept_in`` is the smallest doc_id of the cluster; the document of that id keeps
-    the passage and has no row.
+    the passage and has no row.  ``print`` is the xxhash64 of the text, which tells
+    rows of one doc_id apart.
     """
-    spark = docs.sparkSession
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    fragments = fragments_for(spark)
+    fragments = fragments_for(docs)
     cut = materialise(docs.mapInArrow(_cut(fragments), "fragment int, batch bigint, piece binary"), "paragraphs")
     found = cut.where("fragment >= 0").groupBy("fragment").applyInArrow(_collide, "batch bigint, found binary")
     found = found.groupBy("batch").agg(F.collect_list("found").alias("found"))
@@ -345,55 +357,67 @@ def repeats(docs: DataFrame) -> DataFrame:
         "paragraph-places",
     )
     release(cut)
-    near = places.where("key > 0").select("key", "content").distinct()
-    where = places.where("key > 0").groupBy("content").agg(F.min("doc_id").alias("doc_id"))
-    wanted = where.groupBy("doc_id").agg(F.collect_set("content").alias("wanted"))
+    near = materialise(places.where("key > 0").groupBy("key", "content").agg(F.min("doc_id").alias("doc_id")), "near-contents")
+    wanted = near.groupBy("content").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_set("content").alias("wanted"))
     sets = materialise(docs.join(wanted.hint("merge"), "doc_id").mapInArrow(_item_sets, "uid bigint, items binary"), "paragraph-sets")
-    members = near.select(F.col("key").alias("cluster"), F.col("content").alias("uid")).join(sets, "uid")
-    labels = connected_components(link_clusters(members, PERCENT, "<u4")).withColumnRenamed("node", "content")
-    spots = places.select("content", "doc_id", "start", "stop").distinct()
-    spots = spots.join(labels, "content", "left").withColumn("cluster", F.coalesce("component", "content"))
-    spots = materialise(spots.select("cluster", "content", "doc_id", "start", "stop"), "paragraph-spots")
-    release(places)
-    release(sets)
+    links = link_clusters(near.select(F.col("key").alias("cluster"), F.col("content").alias("uid")).join(sets, "uid"), PERCENT, "<u4", ranges=1)
+    release(near, sets)
+    labels = connected_components(links)
+    release(links)
+    named = labels.select(F.col("node").alias("content"), F.col("component").alias("cluster"))
+    columns = ["cluster", "content", "doc_id", "start", "stop"]
+    spots = places.where("key = 0").join(named, "content", "left").withColumn("cluster", F.coalesce("cluster", "content")).select(*columns)
+    spots = materialise(spots.union(places.where("key = -1").join(named, "content").select(*columns)), "paragraph-spots")
+    release(places, labels)
     kept = spots.groupBy("cluster").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("size"))
     kept = kept.where("kept_in < last").select("cluster", "kept_in", F.ceil(F.col("size") / CHUNK).cast("bigint").alias("chunks"))
     kept = materialise(kept, "paragraph-clusters")  # so that the join can split a common passage
-    spots = spots.join(kept, "cluster")
-    listed = spots.groupBy("doc_id").agg(F.collect_list(F.struct("cluster", "content", "start", "stop", "kept_in", "chunks")).alias("spots"))
-    beside = docs.join(listed.hint("merge"), "doc_id").mapInArrow(
-        _beside, "cluster bigint, doc_id bigint, start bigint, stop bigint, kept_in bigint, chunks bigint, before binary, after binary, reach binary"
+    listed = spots.join(kept, "cluster").groupBy("doc_id").agg(F.collect_set(F.struct("cluster", "content", "start", "stop", "kept_in", "chunks")).alias("spots"))
+    beside = docs.withColumn("print", F.xxhash64("text")).join(listed.hint("merge"), "doc_id").mapInArrow(
+        _beside, "cluster bigint, doc_id bigint, print bigint, start bigint, stop bigint, kept_in bigint, chunks bigint, before binary, after binary, reach binary"
     )
     beside = materialise(beside, "paragraph-sides")
+    release(spots, kept)
     # the repeats of a cluster are dealt to chunks of bounded size, and its kept sides go to each
     chunk = F.pmod(F.xxhash64("doc_id", "start"), F.col("chunks"))
     dealt = beside.withColumn("chunk", F.explode(F.when(F.col("doc_id") == F.col("kept_in"), F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).otherwise(F.array(chunk))))
-    columns = ["doc_id", "start", "stop", "cluster", "kept_in", "before", "after", "reach"]
+    columns = ["doc_id", "print", "start", "stop", "cluster", "kept_in", "before", "after", "reach"]
     dealt = dealt.select(F.xxhash64("cluster", "chunk").alias("cell"), *columns).repartition(fragments, "cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(_grow, "doc_id bigint, start bigint, stop bigint, cluster bigint, kept_in bigint")
+    out = materialise(dealt.mapInArrow(_grow, "doc_id bigint, print bigint, start bigint, stop bigint, cluster bigint, kept_in bigint"), "repeats")
+    release(beside)
+    return out
 
 
-def passages(docs: DataFrame) -> DataFrame:
-    """Repeated passages: touching repeats of a document as one, (doc_id, start, stop, kept_in, paragraphs)."""
-    order = Window.partitionBy("doc_id").orderBy("start", "stop")
+def _merged(docs: DataFrame) -> DataFrame:
+    """Repeated passages by text: touching repeats as one, (doc_id, print, start, stop, kept_in, paragraphs)."""
+    found = repeats(docs)
+    order = Window.partitionBy("doc_id", "print").orderBy("start", "stop")
     before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    runs = repeats(docs).withColumn("new", F.when(F.col("start") <= before + 1, 0).otherwise(1))
+    runs = found.withColumn("new", F.when(F.col("start") <= before + 1, 0).otherwise(1))
     runs = runs.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("kept_in").alias("kept_in"), F.count(F.lit(1)).alias("paragraphs")
-    ).drop("run")
+    runs = runs.groupBy("doc_id", "print", "run").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("kept_in").alias("kept_in"), F.size(F.collect_set(F.struct("start", "stop", "cluster"))).cast("bigint").alias("paragraphs")
+    )
+    out = materialise(runs.drop("run"), "passages")
+    release(found)
+    return out
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """Repeated passages: (doc_id, start, stop, kept_in, paragraphs), bytes of the UTF-8 text; of rows that share a doc_id, those of each text."""
+    return _merged(docs).drop("print")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with all repeated passages cut out of ``text``; every row stays."""
-    spans = passages(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_cuts"))
+    """The rows of ``docs`` with all repeated passages cut out of ``text``; every row stays, and a row's cuts are those of its own text."""
+    spans = _merged(docs).groupBy("doc_id", "print").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_cuts"))
     schema = T.StructType(docs.schema.fields)
-    names = docs.columns
+    width, at_text = len(docs.columns), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, cuts in zip(batch.column(batch.schema.get_field_index("text")).to_pylist(), batch.column(batch.schema.get_field_index("_cuts")).to_pylist(), strict=True):
+            for text, cuts in zip(batch.column(at_text).to_pylist(), batch.column(width).to_pylist(), strict=True):
                 if cuts:
                     raw, out, at = text.encode("utf-8"), [], 0
                     for c in cuts:
@@ -402,9 +426,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     out.append(raw[at:])
                     text = b"".join(out).decode("utf-8")
                 texts.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(batch.schema.get_field_index(n)) for n in names], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at_text else batch.column(k) for k in range(width)], names=schema.names)
 
-    return docs.join(spans, "doc_id", "left").mapInArrow(run, schema)
+    joined = docs.join(spans, docs["doc_id"].cast("bigint").eqNullSafe(spans["doc_id"]) & (F.xxhash64(docs["text"]) == spans["print"]), "left")
+    return joined.select(*[docs[c] for c in docs.columns], spans["_cuts"].alias("_cuts")).mapInArrow(run, schema)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

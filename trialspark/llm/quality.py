@@ -15,7 +15,9 @@ Cases: null and empty texts are documents without words and get the score that
 the network gives to such; documents with several labels take the highest; null
 labels and labels without a document train nothing; without labels of both
 classes the score is the share of label 1 (0.5 without any).  Repeated rows are
-scored alike; further columns are ignored.
+scored alike; of rows that share a doc_id the fit takes the first text in order.
+A very long text is read whole; further columns are kept by ``score``, which
+takes another name for its own column where they clash.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import types as T
 
 from trialspark.llm.hashing import mix64, word_spans
 from trialspark.llm.hashing import _span_hash as span_hash
-from trialspark.llm.shared import documents_of, text_batches
+from trialspark.llm.shared import documents_of, materialise, release, text_batches
 
 #: Bound on the labelled documents that the fit reads.
 MAX_TRAINING = 6000
@@ -195,13 +197,12 @@ class QualityModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING) -> QualityModel:
-    """Fit on at most ``limit`` rows of ``labels`` (doc_id, label) that have a text in ``docs``."""
-    spark = docs.sparkSession
-    wanted = (
-        labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)  # bound of the fit
-    )
-    sample = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"]).repartition(8, "doc_id")
+    """Fit on at most ``limit`` rows of ``labels`` (doc_id, label) that have a row in ``docs``."""
+    marked = labels.where("doc_id is not null and label is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("label").cast("int").alias("label"))
+    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct().join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most ``limit`` rows
+    # of rows that share a doc_id the first text in order, so that every fit sees the same
+    sample = materialise(rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).repartition(8, "doc_id"), "training-texts")
     index = index_vectors(WORDS + SHAPES)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,17 +229,20 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING) -> Qualit
             )
 
     rows = sample.select("doc_id", "text", "label").mapInArrow(pool, "doc_id bigint, label int, x array<double>").orderBy("doc_id").toPandas()
+    release(sample)
     x = np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), -1 if len(rows) else 1)
     return QualityModel(vectors, fit_network(x, rows["label"].to_numpy()))
 
 
-def score(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """The rows of ``docs`` with the probability of good quality of their whole text added as ``score``."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+def score(docs: DataFrame, model: QualityModel, name: str = "score") -> DataFrame:
+    """The rows of ``docs`` with the probability of good quality of their whole text added, by default as ``score``."""
+    if name.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"column {name!r} exists")
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(texts), pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(texts), pa.float64())], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 

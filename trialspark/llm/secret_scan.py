@@ -12,8 +12,9 @@ the matches themselves alternate, so a running sum of their lengths (in code
 points) gives every start.
 
 Cases: null content is the empty text; an empty text or table has no findings;
-repeated paths stay repeated; a null path is kept; overlapping findings of
-different kinds are all kept.  Spans are reported by start, then kind as listed
+repeated paths stay repeated; a null path is kept; very long texts are scanned
+whole; extra columns are ignored, and kept by ``redact`` whatever their names;
+overlapping findings of different kinds are all kept.  Spans are reported by start, then kind as listed
 in ``RULES``.
 """
 
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trialspark.llm.shared import documents_of, materialise, scratch
+from trialspark.llm.shared import documents_of, free_name, materialise, release, scratch, write_table
 
 
 @dataclass(frozen=True)
@@ -48,6 +49,13 @@ RULES = (
     Rule("hex", 1, r"[0-9a-f]{24,}", 0, 24),
 )
 
+#: Kinds beside the base ones: tokens and keys with a shape of their own.
+MORE_RULES = (
+    Rule("forge", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
+    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 29),
+    Rule("pem", 1, r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 27),
+)
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -92,50 +100,57 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> t
     """Scan what the ledger has not seen; returns (paths, findings).
 
     ``versions`` has path and content.  paths: (path, blob), a row for each version;
-    findings: (blob, rule, kind, start, end) of all blobs under the given rules, from
-    the ledger.
+    findings: (blob, rule, kind, start, end) of these versions' blobs under the given
+    rules, from the ledger.  Of the ledger's history only blobs of these versions are
+    sorted or joined; the two tables themselves are read through.
     """
     spark = versions.sparkSession
     text = F.coalesce(F.col("content"), F.lit(""))
     addressed = versions.select("path", text.alias("content"), F.unhex(F.sha2(text, 256)).alias("blob"))
     paths = materialise(addressed.select("path", "blob"), "paths")
+    here = paths.select("blob").distinct()
     blobs = addressed.groupBy("blob").agg(F.first("content").alias("content"))
     wanted = [r.key for r in rules]
+    nothing = F.array().cast("array<string>")
     if _exists(spark, f"{ledger}/scanned"):
-        seen = spark.read.parquet(f"{ledger}/scanned").where(F.col("rule").isin(wanted))
-        seen = seen.groupBy("blob").agg(F.collect_set("rule").alias("done"))
-        blobs = blobs.join(seen, "blob", "left").withColumn("done", F.coalesce("done", F.array().cast("array<string>")))
-        blobs = blobs.where(F.size("done") < len(set(wanted)))
-        new = paths.select("blob").distinct().join(seen, "blob", "left").withColumn("done", F.coalesce("done", F.array().cast("array<string>")))
+        seen = spark.read.parquet(f"{ledger}/scanned").where(F.col("rule").isin(wanted)).join(here, "blob", "left_semi")
+        seen = materialise(seen.groupBy("blob").agg(F.collect_set("rule").alias("done")), "seen")
+        blobs = blobs.join(seen, "blob", "left").withColumn("done", F.coalesce("done", nothing)).where(F.size("done") < len(set(wanted)))
+        new = here.join(seen, "blob", "left").withColumn("done", F.coalesce("done", nothing))
     else:
-        blobs = blobs.withColumn("done", F.array().cast("array<string>"))
-        new = paths.select("blob").distinct().withColumn("done", F.array().cast("array<string>"))
+        seen = None
+        blobs, new = blobs.withColumn("done", nothing), here.withColumn("done", nothing)
     pending = F.array_except(F.array(*[F.lit(k) for k in wanted]), F.col("done"))
-    scan_blobs(blobs, rules).write.mode("append").parquet(f"{ledger}/findings")
+    write_table(scan_blobs(blobs, rules), f"{ledger}/findings", "append")
     # findings first: a run that stops here scans these pairs again and the repeats fall to distinct()
-    new.select("blob", F.explode(pending).alias("rule")).write.mode("append").parquet(f"{ledger}/scanned")
-    findings = spark.read.parquet(f"{ledger}/findings").where(F.col("rule").isin(wanted)).distinct()
+    write_table(new.select("blob", F.explode(pending).alias("rule")), f"{ledger}/scanned", "append")
+    if seen is not None:
+        release(seen)
+    findings = spark.read.parquet(f"{ledger}/findings").where(F.col("rule").isin(wanted)).join(here, "blob", "left_semi").distinct()
     return paths, findings
 
 
-def report(paths: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """A row for each path: number of findings by kind, and all spans as text."""
-    order = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(k))])
+def report(paths: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES, more: tuple[Rule, ...] = ()) -> DataFrame:
+    """A row for each path: findings of each of ``rules`` by number and spans as text (base_spans), and all spans, those of ``more`` too."""
+    order = F.create_map(*[x for k, r in enumerate((*rules, *more)) for x in (F.lit(r.kind), F.lit(k))])
     spans = F.array_sort(F.collect_list(F.struct("start", order[F.col("kind")].alias("k"), F.col("kind"), "end")))
-    text = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    text = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     counts = [F.count(F.when(F.col("kind") == r.kind, 1)).alias(f"n_{r.kind}") for r in rules]
-    by_blob = findings.groupBy("blob").agg(*counts, F.array_join(text, ",").alias("spans"))
+    by_blob = findings.groupBy("blob").agg(*counts, spans.alias("every"))
+    by_blob = by_blob.withColumns({"spans": text(F.col("every")), "base_spans": text(F.filter("every", lambda s: s["k"] < len(rules)))})
     out = paths.join(by_blob, "blob", "left")
-    none = {f"n_{r.kind}": 0 for r in rules} | {"spans": ""}
-    return out.fillna(none).select("path", *[f"n_{r.kind}" for r in rules], "spans")
+    none = {f"n_{r.kind}": 0 for r in rules} | {"spans": "", "base_spans": ""}
+    return out.fillna(none).select("path", *[f"n_{r.kind}" for r in rules], "base_spans", "spans")
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over one ledger: the base rules, then all rules, which scans the blobs for the added ones only."""
     docs = documents_of(spark, sf_dir).select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
-    paths, findings = scan(docs, scratch(spark, "ledger"))
-    return report(paths, findings).select(
-        F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2(F.col("spans"), 256).alias("base_sha256"), "spans"
-    )
+    ledger = scratch(spark, "ledger")
+    release(scan(docs, ledger)[0])
+    paths, findings = scan(docs, ledger, RULES + MORE_RULES)
+    found = report(paths, findings, RULES, MORE_RULES)
+    return found.select(F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
 #: The same rows by DuckDB: pieces between matches and matches alternate.
@@ -148,7 +163,10 @@ cut AS (
   UNION ALL
   SELECT r, 1, 'access', 20, regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0), regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0), regexp_split_to_array(t, 'AKIA[A-Z0-9]+') FROM d
   UNION ALL
-  SELECT r, 2, 'hex', 24, regexp_extract_all(t, '[0-9a-f]+', 0), regexp_extract_all(t, '[0-9a-f]+', 0), regexp_split_to_array(t, '[0-9a-f]+') FROM d),
+  SELECT r, 2, 'hex', 24, regexp_extract_all(t, '[0-9a-f]+', 0), regexp_extract_all(t, '[0-9a-f]+', 0), regexp_split_to_array(t, '[0-9a-f]+') FROM d
+  UNION ALL
+  SELECT r, x.k, x.kind, 0, regexp_extract_all(t, x.p, 0), regexp_extract_all(t, x.p, 0), regexp_split_to_array(t, x.p) FROM d, (VALUES (3, 'forge', 'gh[pousr]_[A-Za-z0-9]{36,}'),
+    (4, 'jwt', 'eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}'), (5, 'pem', '-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----')) x(k, kind, p)),
 each AS (
   SELECT r, k, kind, least, i, length(m[i]) AS size, length(g[i]) AS measure, length(p[i]) AS gap
   FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM cut)),
@@ -156,9 +174,9 @@ placed AS (SELECT *, sum(gap + size) OVER (PARTITION BY r, k ORDER BY i) AS stop
 found AS (SELECT r, k, kind, CAST(stop - size AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM placed WHERE measure >= least),
 by_doc AS (
   SELECT r, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
-    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) AS spans FROM found GROUP BY r)
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) FILTER (WHERE k < 3) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) AS spans FROM found GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-  sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN by_doc USING (r)
 """
 
@@ -169,10 +187,12 @@ PLACEHOLDER = "[REDACTED]"
 
 def redact(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` with every finding in ``text`` replaced by a placeholder; overlapping findings by one."""
-    _, findings = scan(docs.select(F.col("doc_id").alias("path"), F.col("text").alias("content")), ledger, rules)
-    spans = findings.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    addressed = docs.withColumn("_blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    joined = addressed.join(spans.withColumnRenamed("blob", "_blob"), "_blob", "left")
+    paths, findings = scan(docs.select(F.col("doc_id").alias("path"), F.col("text").alias("content")), ledger, rules)
+    blob, spans = free_name(docs, "_blob"), free_name(docs, "_spans")
+    by_blob = materialise(findings.groupBy(F.col("blob").alias(blob)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(spans)), "secret-spans")
+    release(paths)
+    addressed = docs.withColumn(blob, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    joined = addressed.join(by_blob, blob, "left")
     text = F.col("text")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
@@ -183,5 +203,5 @@ def redact(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> Dat
             F.when(s["start"] >= acc["at"], piece).otherwise(acc["out"]).alias("out"),
         )
 
-    cut = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2147483647))))
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), text).otherwise(cut)).select(*docs.columns)
+    cut = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2147483647))))
+    return joined.withColumn("text", F.when(F.col(spans).isNull(), text).otherwise(cut)).select(*docs.columns)

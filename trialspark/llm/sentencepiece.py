@@ -10,9 +10,12 @@ a batch are therefore encoded together: distinct words are laid out as a matrix
 and one step of the automaton, its output links included, advances all of them
 by one character.  What the step costs is shared by all words of the batch.
 
-Characters outside the vocabulary fall back to byte pieces.  Ties go to the
-longer last piece.  Cases: a null or empty text has no ids; repeated spaces are
-kept; ids decode to the text again.
+Characters outside the vocabulary fall back to byte pieces, or to the unknown
+piece where the vocabulary has none.  Ties go to the longer last piece.  Cases: a
+null or empty text has no ids; repeated spaces are kept; ids decode to the text
+again, but for a marker character (U+2581) of the text itself, which decodes to a
+space, and for unknown pieces.  Null ids, repeated rows and very long texts are
+encoded like others, an empty table gives no rows, extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -97,6 +100,7 @@ class PieceModel:
         self.pieces = [p for p, _, _ in pieces]
         self.kinds = [k for _, _, k in pieces]
         self.byte_ids = np.full(256, -1, dtype=np.int32)
+        self.unknown = next((i for i, k in enumerate(self.kinds) if k == UNKNOWN), 0)
         for i, (text, _, kind) in enumerate(pieces):
             if kind == BYTE:
                 self.byte_ids[int(text[3:5], 16)] = i
@@ -225,6 +229,9 @@ class PieceModel:
                         for j in np.flatnonzero(~known):
                             c = int(points[who[j], pos[who[j]] - 1])
                             raw = chr(c).encode("utf-8", "surrogatepass")
+                            if self.byte_ids[list(raw)].min() < 0:
+                                chunk[j] = self.unknown
+                                continue
                             for b in raw[:0:-1]:
                                 owners.append(who[j : j + 1])
                                 ids.append(self.byte_ids[b : b + 1])

@@ -8,9 +8,6 @@ written to machine-local folders.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,63 +15,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: UTF-8 bytes of text that one vectorised step handles at a time (a longer text goes alone).
-BATCH_BYTES = 1 << 20
-
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is set (tests, local mode)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="trialspark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        _made.append((spark, root))
-    return root.rstrip("/")
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """Path of a new folder below the shared folder."""
-    path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
-    _made.append((spark, path))
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder, whatever file system it is on."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+from trialspark.storage import materialise, release, remove, scratch, write_table
 
+__all__ = ["materialise", "release", "remove", "scratch", "write_table"]
 
-@atexit.register
-def _remove_all() -> None:
-    for spark, path in _made:
-        try:
-            if spark.sparkContext._jsc is not None:
-                remove(spark, path)
-        except Exception:  # the session is gone; its files go with the shared folder's own retention
-            return
-
-
-def materialise(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
-    """Write a DataFrame to the shared folder and read it again: runs once, no lineage."""
-    path = scratch(df.sparkSession, tag)
-    df.write.option("compression", codec).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
+#: UTF-8 bytes of text that one vectorised step handles at a time (a longer text goes alone).
+BATCH_BYTES = 1 << 20
 
-def release(df: DataFrame) -> None:
-    """Delete what ``materialise`` wrote, once nothing will read it again."""
-    remove(df.sparkSession, df._scratch)
+#: Bytes of text that one fragment of a key space stands for, so that a fragment's pieces fit a worker at any size.
+FRAGMENT_BYTES = 8 << 20
 
 
-def fragments_for(spark: SparkSession) -> int:
-    """Hash ranges to cut a key space into: a few for every shuffle partition."""
-    return max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+def fragments_for(docs: DataFrame) -> int:
+    """Hash ranges to cut a key space into, by the bytes of the texts."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    return max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FRAGMENT_BYTES))
 
 
 def local_filesystem(path: str):
@@ -91,6 +46,14 @@ def documents_of(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = ("
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that a table does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of record batches holding about ``limit`` bytes of their ``text`` column, with these texts (null: empty)."""
     for batch in batches:
@@ -200,4 +163,6 @@ def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame
         current = following
         if not unsettled:
             break
-    return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(current.select("b", "b").distinct())
+    out = current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(current.select("b", "b").distinct())
+    out._scratch = current._scratch  # for release()
+    return out

@@ -5,7 +5,9 @@ end-of-document id closes every document; nothing says where documents start.
 The files are cut into blocks of a fixed number of ids that are scanned in any
 order by any task: a block reports the lengths of the documents that end in it
 (the first one only as far as it lies in the block) and the number of ids after
-its last separator.  A prefix scan over the blocks of a file then carries the
+its last separator.  The separator must not come from a text, so texts are encoded
+with special tokens as plain text (``<|endoftext|>`` in a text is several ids).
+A prefix scan over the blocks of a file then carries the
 open length into each first document, and a running count of separators gives
 every document its ordinal.
 
@@ -43,7 +45,7 @@ def write_flat(docs: DataFrame, tokenizer_path: str, separator: int, folder: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = bpe.encoder(tokenizer_path, "<u2")
+        enc = bpe.encoder(tokenizer_path, "<u2", verbatim=True)
         end = np.array([separator], dtype="<u2").tobytes()
         fs, root = local_filesystem(folder)
         sink, path, written = None, "", 0

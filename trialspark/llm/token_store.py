@@ -93,19 +93,20 @@ class ShardReader:
 
 
 def write_store(docs: DataFrame, tokenizer_path: str, folder: str, level: int = 1) -> DataFrame:
-    """Write the documents' ids below ``folder``; returns the manifest (path, first_id, n_docs, n_tokens).
+    """Write the documents' ids below ``folder``; returns the manifest (path, first_id, last_id, n_docs, n_tokens).
 
-    Documents are ranged by doc_id (equal ids by a hash of their texts, so that
-    ties spread over shards) and each task encodes its range and writes one shard
+    Documents are ranged by doc_id (rows of one id by a hash of their texts and a
+    row number, so that repeated rows spread over shards) and each task encodes its range and writes one shard
     under a name of its own.  The manifest holds the names of the tasks that
     succeeded, so a retried or speculative attempt leaves at most an unlisted file.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    ranged = docs.select("doc_id", "text").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_h"), F.col("_n")]
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_n"))
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, sink, name, first, count = None, None, "", None, 0
+        writer, sink, name, first, last, count = None, None, "", None, None, 0
         fs, root = local_filesystem(folder)
         compress = zstandard.ZstdCompressor(level=level).compress
         end = np.array([END_ID], dtype="<u4").tobytes()
@@ -120,16 +121,16 @@ def write_store(docs: DataFrame, tokenizer_path: str, folder: str, level: int =
             for doc, packed in zip(ids, enc.encode(texts), strict=True):
                 packed += end
                 writer.add(NULL_ID if doc is None else doc, compress(packed), len(packed) // 4, zlib.crc32(packed))
-            count += len(ids)
+            count, last = count + len(ids), ids[-1]
         if writer is not None:
             writer.close()
             sink.close()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([f"{folder}/{name}"]), pa.array([first], pa.int64()), pa.array([count], pa.int64()), pa.array([writer.tokens], pa.int64())],
-                names=["path", "first_id", "n_docs", "n_tokens"],
+                [pa.array([f"{folder}/{name}"]), pa.array([first], pa.int64()), pa.array([last], pa.int64()), pa.array([count], pa.int64()), pa.array([writer.tokens], pa.int64())],
+                names=["path", "first_id", "last_id", "n_docs", "n_tokens"],
             )
 
-    return materialise(ranged.mapInArrow(run, "path string, first_id bigint, n_docs bigint, n_tokens bigint"), "manifest")
+    return materialise(ranged.mapInArrow(run, "path string, first_id bigint, last_id bigint, n_docs bigint, n_tokens bigint"), "manifest")
 
 
 def read_store(manifest: DataFrame) -> DataFrame:
@@ -139,7 +140,7 @@ def read_store(manifest: DataFrame) -> DataFrame:
     has a row for each shard, so the running total over it stays small.
     """
     spark = manifest.sparkSession
-    order = Window.orderBy(F.col("first_id").asc_nulls_first(), "path")
+    order = Window.orderBy(F.col("first_id").asc_nulls_first(), F.col("last_id").asc_nulls_first(), "path")
     shards = manifest.select("path", F.coalesce(F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     shards = shards.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path")
 
