@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,6 +116,16 @@ def _packed(values: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
+def _unpacked(column: pa.ChunkedArray, rows: np.ndarray, kind: str, width: int) -> np.ndarray:
+    """Rows of a matrix from binaries of one length, without an object for each."""
+    array = column.combine_chunks()
+    array = array.chunk(0) if isinstance(array, pa.ChunkedArray) else array
+    offsets = np.frombuffer(array.buffers()[1], dtype=np.int32)[array.offset : array.offset + len(array) + 1]
+    data = np.frombuffer(array.buffers()[2], dtype=np.uint8)
+    size = width * np.dtype(kind).itemsize
+    return np.ascontiguousarray(data[offsets[rows].astype(np.int64)[:, None] + np.arange(size)]).view(kind)
+
+
 def _cut(width: str, ranges: int):
     """The pieces of every set in each range of the global order, empty ones too."""
     kind = np.dtype(width)
@@ -181,26 +192,22 @@ def _sum(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, 1):
-            cell = table.column(0).to_numpy()
-            rows, ids, sizes, partial = (table.column(k).to_pylist() for k in range(1, 5))
+            cell, rows = table.column(0).to_numpy(), table.column(1).to_numpy()
             head = _heads(cell)
             stop = np.append(head[1:], len(cell))
-            pair = np.array([len(x) == 4 and r < 0 for x, r in zip(partial, rows, strict=True)], dtype=bool)
+            pair = (rows < 0) & (pc.binary_length(table.column(4)).to_numpy() == 4)
             if pair.any():
-                of = np.flatnonzero(pair)
-                sums = np.bincount(np.searchsorted(head, of, side="right") - 1, weights=np.frombuffer(b"".join(partial[k] for k in of), "<u4"), minlength=len(head))
-                first = head[pair[head]]
-                ends, n = (np.frombuffer(b"".join(x[k] for k in first), "<i8").reshape(-1, 2) for x in (ids, sizes))
+                of, first = np.flatnonzero(pair), head[pair[head]]
+                sums = np.bincount(np.searchsorted(head, of, side="right") - 1, weights=_unpacked(table.column(4), of, "<u4", 1)[:, 0], minlength=len(head))
+                ends, n = (_unpacked(table.column(k), first, "<i8", 2) for k in (2, 3))
                 good = linked(sums[pair[head]], n[:, 0], n[:, 1])
                 if good.any():
                     yield pa.RecordBatch.from_arrays([pa.array(ends[good].max(1)), pa.array(ends[good].min(1))], names=["a", "b"])
-            for h, s in zip(head.tolist(), stop.tolist(), strict=True):
-                if pair[h]:
-                    continue
-                inter = np.frombuffer(partial[h], "<u4").astype(np.int64)
-                for k in range(h + 1, s):
-                    inter = inter + np.frombuffer(partial[k], "<u4")
-                uid, n = np.frombuffer(ids[h], "<i8"), np.frombuffer(sizes[h], "<i8")
+            for h, s in zip(head[~pair[head]].tolist(), stop[~pair[head]].tolist(), strict=True):
+                uid, n = (np.frombuffer(table.column(k)[h].as_py(), "<i8") for k in (2, 3))
+                inter = np.zeros(1, dtype=np.int64)
+                for k in range(h, s):
+                    inter = inter + np.frombuffer(table.column(4)[k].as_py(), "<u4")
                 if rows[h] < 0:
                     a, b = np.triu_indices(len(uid), 1)
                 else:
@@ -223,10 +230,11 @@ def link_cells(cells: DataFrame, percent: int, width: str, ranges: int) -> DataF
     else:
         rows = rows.select("cell", F.lit(0).cast("bigint").alias("part"), "side", "uid", "n", F.col("items").alias("piece"))
     dealt = rows.repartition(parts, "cell", "part").sortWithinPartitions("cell", "part", "side", "uid")
-    partial = dealt.mapInArrow(_count(width), "cell bigint, rows bigint, ids binary, sizes binary, partial binary")
-    if ranges > 1:
-        partial = partial.repartition(parts, "cell").sortWithinPartitions("cell")
-    return materialise(partial.mapInArrow(_sum(percent), EDGE), "links")
+    count, total = _count(width), _sum(percent)
+    if ranges == 1:  # a cell's only range holds its sums
+        return materialise(dealt.mapInArrow(lambda batches: total(count(batches)), EDGE), "links")
+    partial = dealt.mapInArrow(count, "cell bigint, rows bigint, ids binary, sizes binary, partial binary")
+    return materialise(partial.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(total, EDGE), "links")
 
 
 def link_clusters(members: DataFrame, percent: int, width: str = "<u8", ranges: int = RANGES) -> DataFrame:

@@ -7,8 +7,8 @@ distinct ones are looked up, and a worker keeps the ids of the pieces it has see
 in a bounded cache, so the tokenizer runs on unseen pieces alone.
 
 Pieces of up to ``EXACT_BYTES`` bytes are told apart by 64-bit hashes of their
-bytes and lengths: a cache of a million pieces holds two that agree by chance
-with a probability of about 3 in 10^8, and no bytes are compared.  Longer pieces
+bytes and lengths: a full cache holds two that agree by chance with a probability
+of about 1 in 10^8, and no bytes are compared.  Longer pieces
 are told apart by their bytes.
 
 By default special tokens in a text are what the library makes of them with
@@ -26,7 +26,7 @@ import numpy as np
 from trialspark.llm.hashing import mix64, piece_hashes
 
 #: Pieces remembered by a worker; beyond this number only those of the current batch stay.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 550_000
 #: Unseen pieces that are encoded as one line.
 PER_CALL = 200
 EXACT_BYTES = 64
@@ -73,40 +73,49 @@ class CachedEncoder:
 
     def _clear(self) -> None:
         self.long: dict[bytes, int] = {}  # long pieces: their names
-        self.slot: dict[int, int] = {}  # hash of a piece: its place below
-        self.start = np.zeros(1 << 10, dtype=np.int64)
-        self.count = np.zeros(1 << 10, dtype=np.int64)
+        # remembered pieces by ascending name, and where their ids stand in the pool
+        self.name, self.start, self.count = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self.pool = np.zeros(1 << 12, dtype=self.dtype)
         self.used = 0
 
-    def _remember(self, keys: list[int], ids: np.ndarray, counts: np.ndarray) -> None:
+    def _places(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of names among those remembered, and whether they are."""
+        if not len(self.name):
+            return np.zeros(len(names), dtype=np.int64), np.zeros(len(names), dtype=bool)
+        at = np.minimum(np.searchsorted(self.name, names), len(self.name) - 1)
+        return at, self.name[at] == names
+
+    def _remember(self, names: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
         """Add pieces whose ids stand one after the other in ``ids``."""
-        n = len(self.slot)
-        while n + len(keys) > len(self.start):
-            self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.count[n : n + len(keys)] = counts
-        self.start[n : n + len(keys)] = self.used + np.cumsum(counts) - counts
         self.pool[self.used : self.used + len(ids)] = ids
+        start = self.used + np.cumsum(counts) - counts
         self.used += len(ids)
-        self.slot.update(zip(keys, range(n, n + len(keys)), strict=True))
+        order = np.argsort(names)
+        at = np.searchsorted(self.name, names[order])
+        self.name, self.start, self.count = (np.insert(x, at, y[order]) for x, y in ((self.name, names), (self.start, start), (self.count, counts)))
 
-    def _learn(self, keys: list[int], pieces: list[str]) -> None:
+    def _learn(self, names: np.ndarray, pieces: list[str]) -> None:
         """Encode unseen pieces: those of a space and no more spaces in lines, cut where a token starts with a space."""
         plain = [k for k, p in enumerate(pieces) if p[:1] == " " and " " not in p[1:]]
         rest = [k for k, p in enumerate(pieces) if p[:1] != " " or " " in p[1:]]
         lines = [plain[at : at + PER_CALL] for at in range(0, len(plain), PER_CALL)]
+        order, ids, counts = [], [], []
         for some, e in zip(lines, self.tokenizer.encode_batch_fast(["".join([pieces[k] for k in some]) for some in lines], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, dtype=self.dtype)
-            cuts = np.flatnonzero(self.begins[ids])
+            found = np.array(e.ids, dtype=self.dtype)
+            cuts = np.flatnonzero(self.begins[found])
             if len(cuts) == len(some) and not cuts[0]:
-                self._remember([keys[k] for k in some], ids, np.diff(np.append(cuts, len(ids))))
+                order += some
+                ids.append(found)
+                counts.append(np.diff(np.append(cuts, len(found))))
             else:
                 rest += some
-        if rest:
-            found = [np.array(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch_fast([pieces[k] for k in rest], add_special_tokens=False)]
-            self._remember([keys[k] for k in rest], np.concatenate(found), np.array([len(f) for f in found]))
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[k] for k in rest], add_special_tokens=False), strict=True):
+            order.append(k)
+            ids.append(np.array(e.ids, dtype=self.dtype))
+            counts.append(np.array([len(e.ids)]))
+        self._remember(names[order], np.concatenate(ids), np.concatenate(counts))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of every text (UTF-8) as packed integers."""
@@ -126,15 +135,15 @@ class CachedEncoder:
                 self.long[piece] = int(mix64(np.array([self.named], dtype=np.uint64))[0])
             key[k] = self.long[piece]
         distinct, first, back = np.unique(key, return_index=True, return_inverse=True)
-        names = distinct.tolist()
-        if len(self.slot) + len(names) > CACHE_PIECES:
-            self._keep(names)
-        missing = [k for k, name in enumerate(names) if name not in self.slot]
-        if missing:
+        if len(self.name) + len(distinct) > CACHE_PIECES:
+            self._keep(distinct)
+        _, seen = self._places(distinct)
+        if not seen.all():
+            missing = np.flatnonzero(~seen)
             at = first[missing]
             raw = buf.tobytes()
-            self._learn([names[k] for k in missing], [raw[a:b].decode("utf-8") for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
-        slots = np.fromiter(map(self.slot.__getitem__, names), dtype=np.int64, count=len(names))[back]
+            self._learn(distinct[missing], [raw[a:b].decode("utf-8") for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+        slots = self._places(distinct)[0][back]
         counts = self.count[slots]
         stops = np.cumsum(counts)
         total = int(stops[-1]) if len(stops) else 0
@@ -142,16 +151,15 @@ class CachedEncoder:
         edges = np.append((stops - counts)[unit], total).tolist()
         return [ids[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]
 
-    def _keep(self, names: list[int]) -> None:
+    def _keep(self, names: np.ndarray) -> None:
         """Forget all pieces but the given ones."""
-        slot, start, count, pool = self.slot, self.start, self.count, self.pool
+        at, seen = self._places(names)
+        at, held = at[seen], names[seen]
+        start, counts, pool = self.start[at], self.count[at], self.pool
         self._clear()
-        held = [n for n in names if n in slot]
-        if held:
-            old = np.array([slot[n] for n in held])
-            counts = count[old]
+        if len(held):
             stops = np.cumsum(counts)
-            self._remember(held, pool[np.repeat(start[old] - (stops - counts), counts) + np.arange(int(stops[-1]))], counts)
+            self._remember(held, pool[np.repeat(start - (stops - counts), counts) + np.arange(int(stops[-1]))], counts)
 
 
 _encoders: dict[tuple[str, str, bool], CachedEncoder] = {}

@@ -45,7 +45,7 @@ from pyspark.sql import types as T
 
 from trialspark.llm.blocks import link_clusters
 from trialspark.llm.hashing import Words, combine, mix64
-from trialspark.llm.shared import column_of, connected_components, documents_of, fragments_for, materialise, release, text_batches
+from trialspark.llm.shared import column_of, connected_components, documents_of, fragments_for, free_name, materialise, release, text_batches
 
 PARAGRAPH_WORDS = 25
 ANCHOR_SPAN = 26
@@ -219,7 +219,9 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, place = np.concatenate([np.frombuffer(f, "<i8").reshape(2, -1) for f in found], axis=1)
             spot = np.unique(place)
             repeated = np.isin(spot, place[key == 0])
-            near = np.unique(np.stack([key, table[1][place]])[:, key > 0], axis=1)
+            near = np.stack([key, table[1][place]])[:, key > 0]
+            near = near[:, np.lexsort(near)]
+            near = near[:, np.concatenate([[True], (near[:, 1:] != near[:, :-1]).any(0)])] if near.size else near
             none = np.full(near.shape[1], -1)
             # a near content's row names the first document that has it, whose text gives its shingles
             order = np.lexsort((table[0][spot], table[1][spot]))
@@ -429,7 +431,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at_text else batch.column(k) for k in range(width)], names=schema.names)
 
     joined = docs.join(spans, docs["doc_id"].cast("bigint").eqNullSafe(spans["doc_id"]) & (F.xxhash64(docs["text"]) == spans["print"]), "left")
-    return joined.select(*[docs[c] for c in docs.columns], spans["_cuts"].alias("_cuts")).mapInArrow(run, schema)
+    return joined.select(*[docs[c] for c in docs.columns], spans["_cuts"].alias(free_name(docs, "_cuts"))).mapInArrow(run, schema)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
