@@ -21,6 +21,7 @@ are summed per pair, and only the sums are held against the threshold.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ ROUNDS = 2
 RANGES = 4
 
 EDGE = "a bigint, b bigint"
+#: Bytes of packed overlaps that go out together.
+_HELD = 4 << 20
 
 
 def overlaps(rows: list[np.ndarray], cols: list[np.ndarray] | None = None) -> np.ndarray:
@@ -110,6 +113,12 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
+@lru_cache(maxsize=CELL + 1)
+def _upper(m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of ``m`` items."""
+    return np.triu_indices(m, 1)
+
+
 def _packed(values: np.ndarray) -> pa.Array:
     """Rows of a matrix as binaries."""
     offsets = np.arange(len(values) + 1, dtype=np.int32) * (values.shape[1] * values.itemsize)
@@ -146,7 +155,7 @@ def _cut(width: str, ranges: int):
 
 def _count(width: str):
     """Partial overlaps of the pairs of every (cell, range), packed: of all pairs, or of rows (side 0) with columns (side 1)."""
-    names = ["cell", "rows", "ids", "sizes", "partial"]
+    names, kinds = ["cell", "rows", "ids", "sizes", "partial"], [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, 2):
@@ -166,20 +175,28 @@ def _count(width: str):
                 two, inter = two[inter > 0], inter[inter > 0]
                 pairs = two[:, None] + np.arange(2)
                 yield pa.RecordBatch.from_arrays([pa.array(cell[two]), pa.array(np.full(len(two), -1)), _packed(uid[pairs]), _packed(n[pairs]), _packed(inter[:, None])], names=names)
-            for h, m in zip(head.tolist(), size.tolist(), strict=True):
-                rows = int((side[h : h + m] == 0).sum())
-                if m < 2 or (side[h] == 2 and m == 2) or (side[h] != 2 and rows in (0, m)):
-                    continue
-                some = sets[h : h + m]
+            out: list[list] = [[] for _ in names]
+            held = 0
+            more = np.flatnonzero((size > 2) | ((size > 1) & (side[head] != 2)))
+            for h, m in zip(head[more].tolist(), size[more].tolist(), strict=True):
+                some, rows = sets[h : h + m], -1
                 if side[h] == 2:
-                    counts, rows = overlaps(some)[np.triu_indices(m, 1)], -1
+                    counts = overlaps(some)[_upper(m)]
                 else:
+                    rows = int((side[h : h + m] == 0).sum())
+                    if rows in (0, m):
+                        continue
                     counts = overlaps(some[:rows], some[rows:]).ravel()
                 if not counts.any():
                     continue
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([cell[h]]), pa.array([rows], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (uid[h : h + m], n[h : h + m], counts.astype("<u4")))], names=names
-                )
+                for column, x in zip(out, (cell[h], rows, uid[h : h + m].tobytes(), n[h : h + m].tobytes(), counts.astype("<u4").tobytes()), strict=True):
+                    column.append(x)
+                held += 4 * len(counts)
+                if held > _HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=names)
+                    out, held = [[] for _ in names], 0
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=names)
 
     return run
 
@@ -195,27 +212,28 @@ def _sum(percent: int):
             cell, rows = table.column(0).to_numpy(), table.column(1).to_numpy()
             head = _heads(cell)
             stop = np.append(head[1:], len(cell))
+            found: list[tuple[np.ndarray, np.ndarray]] = []
             pair = (rows < 0) & (pc.binary_length(table.column(4)).to_numpy() == 4)
             if pair.any():
                 of, first = np.flatnonzero(pair), head[pair[head]]
                 sums = np.bincount(np.searchsorted(head, of, side="right") - 1, weights=_unpacked(table.column(4), of, "<u4", 1)[:, 0], minlength=len(head))
                 ends, n = (_unpacked(table.column(k), first, "<i8", 2) for k in (2, 3))
                 good = linked(sums[pair[head]], n[:, 0], n[:, 1])
-                if good.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(ends[good].max(1)), pa.array(ends[good].min(1))], names=["a", "b"])
+                found.append((ends[good].max(1), ends[good].min(1)))
             for h, s in zip(head[~pair[head]].tolist(), stop[~pair[head]].tolist(), strict=True):
                 uid, n = (np.frombuffer(table.column(k)[h].as_py(), "<i8") for k in (2, 3))
                 inter = np.zeros(1, dtype=np.int64)
                 for k in range(h, s):
                     inter = inter + np.frombuffer(table.column(4)[k].as_py(), "<u4")
                 if rows[h] < 0:
-                    a, b = np.triu_indices(len(uid), 1)
+                    a, b = _upper(len(uid))
                 else:
                     a, b = (x.ravel() for x in np.meshgrid(np.arange(rows[h]), np.arange(rows[h], len(uid)), indexing="ij"))
                 good = linked(inter, n[a], n[b])
                 if good.any():
-                    nodes, roots = _spanning(uid, a[good], b[good])
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["a", "b"])
+                    found.append(_spanning(uid, a[good], b[good]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["a", "b"])
 
     return run
 
