@@ -1,32 +1,64 @@
-"""Resampling tests on kernel two-sample statistics.
-
-The statistic of every resample is a quadratic form in the kernel matrix.  Blocks
-of rows stream past: a block's kernel rows are multiplied with the matrix of
-signs or labels of all resamples, and only the products are summed.
+"""Resampling tests on kernel two-sample statistics (M8-M11, M13-M17), for samples of any size.
+
+The statistic of every resample is a quadratic or linear form in the kernel
+matrix.  Rows are packed into blocks that go to a grid of tasks; a pair of blocks
+makes its part of the kernel matrix, multiplies it with the resamples' values of
+its rows, and only the sums leave the task.  Neither rows nor the matrix nor the
+resamples come to the driver: a row's values follow from the seed and its number,
+and labels that are permuted from the seed, its block and how many of the block's
+rows each resample puts into the first sample.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from math import erf, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialspark.operators.twosample import distances
+from trialspark.operators.ranging import exact_quantiles, with_ordinal
+from trialspark.operators.twosample import block_pairs, distances
+from trialspark.storage import materialise, release
+
+#: Rows in a block; with B resamples a task holds a few matrices of BLOCK by B.
+BLOCK = 256
+#: Values between two histogram edges that are collected to tell ranks exactly.
+FINE = 100_000
+_BINS = 4096
+
 
-#: Rows of both samples together that a resampling test handles; more rows are an error, not a sample.
-MAX_ROWS = 8192
+def numbered(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """Rows numbered by their key: (_row, v)."""
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("_key"), F.transform(vector, lambda v: v.cast("double")).alias("v"))
+    return with_ordinal(rows, ["_key"]).select("_row", "v")
 
 
-def _collect(df: DataFrame, key: str, vector: str) -> np.ndarray:
-    """Vectors in the order of their key, bounded by MAX_ROWS."""
-    rows = df.select(F.col(key).alias("k"), F.transform(vector, lambda v: v.cast("double")).alias("v")).orderBy("k").limit(MAX_ROWS + 1).collect()
-    if len(rows) > MAX_ROWS:
-        raise ValueError(f"resampling tests take at most {MAX_ROWS} rows; draw a sample first (hash_ranked)")
-    return np.array([r["v"] for r in rows], dtype=float)
+def pooled(samples: list[DataFrame], key: str, vector: str, size: int = BLOCK) -> tuple[DataFrame, list[int]]:
+    """Blocks of several samples, (block, ids, x), written, and the samples' sizes.
+
+    An id is the row's number times the number of samples plus that of its sample;
+    rows of the same number are in one block.
+    """
+    n = len(samples)
+    rows = [numbered(d, key, vector).select((F.col("_row") * n + k).alias("id"), "v") for k, d in enumerate(samples)]
+    every = rows[0]
+    for more in rows[1:]:
+        every = every.unionByName(more)
+    every = materialise(every, "pooled")
+    sizes = {r["k"]: r["n"] for r in every.groupBy((F.col("id") % n).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def packed(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("id").to_numpy())
+        x = np.array(table.column("v").to_pylist(), dtype="<f8")[order]
+        return pa.table({"block": table.column("block").slice(0, 1), "ids": pa.array([table.column("id").to_numpy()[order].tolist()], pa.list_(pa.int64())), "x": pa.array([x.tobytes()], pa.binary())})
+
+    cells = every.select(F.floor(F.col("id") / (n * max(1, size // n))).alias("block"), "id", "v").groupBy("block").applyInArrow(packed, "block bigint, ids array<bigint>, x binary")
+    out = materialise(cells, "pooled-blocks")
+    release(every)
+    return out, [sizes.get(k, 0) for k in range(n)]
 
 
 def kernel_of(name: str, d: np.ndarray) -> np.ndarray:
@@ -37,21 +69,105 @@ def kernel_of(name: str, d: np.ndarray) -> np.ndarray:
         return 1 / np.sqrt(1 + d * d)
     if name == "laplace":
         return np.exp(-d)
-    order = float(name.removeprefix("matern_"))
+    order = float(name.removeprefix("matern_").removesuffix("_l1").removesuffix("_l2"))
     r = d if order == 0.5 else np.sqrt(2 * order) * d
     terms = {0.5: (1.0,), 1.5: (1.0, 1.0), 2.5: (1.0, 1.0, 1 / 3), 3.5: (1.0, 1.0, 2 / 5, 1 / 15), 4.5: (1.0, 1.0, 3 / 7, 2 / 21, 1 / 105)}[order]
     return sum(c * r**k for k, c in enumerate(terms)) * np.exp(-r)
 
 
 def _norm(name: str) -> str:
-    return "l1" if name == "laplace" else "l2"
-
-
-def bandwidth_grid(d: np.ndarray, number: int = 10) -> np.ndarray:
-    """Geometric grid from half the least to twice the greatest distance, with floors for tiny distances."""
-    d = np.sort(np.where(d == 0, np.median(d), d))
-    low = max(d[int(0.05 * len(d))], 0.1) if d[0] < 0.1 else d[0]
-    low, high = low / 2, max(d[-1], 0.3) * 2
+    return "l1" if name == "laplace" or name.endswith("_l1") else "l2"
+
+
+# Collections of kernels by name.
+_ORDERS = ("matern_0.5", "matern_1.5", "matern_2.5", "matern_3.5", "matern_4.5")
+COLLECTIONS = {
+    "laplace_gaussian": ("laplace", "gaussian"),
+    "gaussian_laplace": ("laplace", "gaussian"),
+    "all_matern_l1": tuple(f"{k}_l1" for k in _ORDERS),
+    "all_matern_l2": tuple(f"{k}_l2" for k in _ORDERS),
+    "all_matern_l1_l2": tuple(f"{k}_{n}" for n in ("l1", "l2") for k in _ORDERS),
+    "all": (*(f"{k}_{n}" for n in ("l1", "l2") for k in _ORDERS), "gaussian", "imq"),
+}
+
+
+class Distances:
+    """Order statistics of the distances between rows of blocks that a predicate on their ids admits, whatever their number."""
+
+    def __init__(self, blocks: DataFrame, admit: Callable[[np.ndarray, np.ndarray], np.ndarray], norm: str = "l2"):
+        self.blocks, self.admit, self.norm = blocks, admit, norm
+
+    def _each(self, reduce_values: Callable[[np.ndarray], dict], schema: str) -> DataFrame:
+        admit, norm = self.admit, self.norm
+
+        def pair(ids, a, ids2, b):
+            keep = np.broadcast_to(admit(ids[:, None], ids2[None, :]), (len(ids), len(ids2)))
+            if keep.any():
+                yield reduce_values(distances(a, b, norm)[keep])
+
+        return block_pairs(self.blocks, self.blocks, pair, schema)
+
+    def ends(self) -> tuple[int, int, float, float]:
+        """Number of distances, of zeros among them, and the least and greatest that is not zero."""
+
+        def reduce_values(d):
+            some = d[d != 0]
+            return {"n": [len(d)], "z": [len(d) - len(some)], "lo": [some.min() if len(some) else np.inf], "hi": [some.max() if len(some) else -np.inf]}
+
+        row = self._each(reduce_values, "n bigint, z bigint, lo double, hi double").agg(F.sum("n"), F.sum("z"), F.min("lo"), F.max("hi")).first()
+        return row[0] or 0, row[1] or 0, row[2], row[3]
+
+    def at(self, rank: int, low: float, high: float) -> float:
+        """The value of a rank (from 0) among the distances that are not zero, which lie from ``low`` to ``high``.
+
+        Histograms narrow the range until few values are left, which are then ranked.
+        """
+        while low < high:
+            edges = np.linspace(low, high, _BINS + 1)
+
+            def count(d, edges=edges):
+                inside = d[(d >= edges[0]) & (d <= edges[-1]) & (d != 0)]
+                at = np.minimum(np.searchsorted(edges, inside, side="right") - 1, _BINS - 1)
+                return {"bin": np.arange(_BINS), "n": np.bincount(at, minlength=_BINS)}
+
+            counts = np.zeros(_BINS, dtype=np.int64)
+            for r in self._each(count, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+                counts[r["bin"]] = r["n"]
+            k = int(np.searchsorted(np.cumsum(counts), rank, side="right"))
+            rank -= int(counts[:k].sum())
+            low, high, last = edges[k], edges[k + 1], k == _BINS - 1
+            if counts[k] <= FINE or not low < (low + high) / 2 < high:
+
+                def values(d, low=low, high=high, last=last):
+                    return {"d": d[(d >= low) & ((d < high) | (last & (d <= high))) & (d != 0)]}
+
+                found = sorted(r["d"] for r in self._each(values, "d double").collect())  # at most FINE, or all one value
+                return float(found[rank])
+            if not last:
+                high = float(np.nextafter(high, -np.inf))
+        return float(low)
+
+
+def bandwidth_grid(d: Distances, number: int = 10) -> np.ndarray:
+    """Geometric grid from half the least to twice the greatest distance, with floors for tiny distances; a distance of zero counts as the median."""
+    n, zeros, low, high = d.ends()
+    if n == zeros:
+        low = high = 0.0
+    else:
+        # the median of all distances, zeros among them, takes the zeros' place
+        ranks = ((n - 1) // 2, n // 2)
+        middle = np.mean([0.0 if r < zeros else d.at(r - zeros, low, high) for r in ranks]) if zeros else 0.0
+        least, greatest = (min(low, middle), max(high, middle)) if zeros else (low, high)
+        if least < 0.1:
+            rank = int(0.05 * n)
+            if zeros and middle > 0:  # order of the values once the zeros stand at the median
+                below = (n + 1) // 2 - zeros
+                rank, fixed = (rank, None) if rank < below else (0, middle) if rank < below + zeros else (rank - zeros, None)
+                least = max(fixed if fixed is not None else d.at(rank, low, high), 0.1)
+            else:
+                least = max(0.0 if rank < zeros else d.at(rank - zeros, low, high), 0.1)
+        low, high = least, greatest
+    low, high = (max(low, 0.1) if low < 0.1 else low) / 2, max(high, 0.3) * 2
     return low * (high / low) ** (np.arange(number) / (number - 1))
 
 
@@ -67,95 +183,194 @@ def weights(number: int, kind: str = "uniform") -> np.ndarray:
     return raw / raw.sum()
 
 
-def median_heuristic(z: np.ndarray) -> float:
-    """Root of half the median of the non-zero squared distances; 1 if there are none."""
-    d2 = distances(z, z)[np.triu_indices(len(z), 1)] ** 2
-    d2 = d2[d2 != 0]
-    return float(np.sqrt(np.median(d2) / 2)) if len(d2) else 1.0
-
-
-def _quadratic_forms(spark: SparkSession, z: np.ndarray, signs: np.ndarray, kernel: str, bandwidths: np.ndarray) -> np.ndarray:
-    """sum_ij s_i s_j k(z_i, z_j), i != j, for every column s of ``signs`` and every bandwidth; rows of the result are bandwidths."""
-    n, step = len(z), 512
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in batch.column(0).to_pylist():
-                d = distances(z[at : at + step], z, _norm(kernel))
-                rows = np.arange(len(d))
-                for b, width in enumerate(bandwidths):
-                    k = kernel_of(kernel, d / width)
-                    k[rows, at + rows] = 0
-                    value = (signs[at : at + step] * (k @ signs)).sum(0)
-                    yield pa.RecordBatch.from_pydict({"b": pa.array([b] * len(value), pa.int32()), "i": pa.array(np.arange(len(value)), pa.int32()), "value": value})
-
-    starts = spark.range(0, n, step, numPartitions=max(1, -(-n // step)))
-    sums = starts.mapInArrow(run, "b int, i int, value double").groupBy("b", "i").agg(F.sum("value").alias("value")).collect()
-    out = np.zeros((len(bandwidths), signs.shape[1]))
-    for r in sums:
-        out[r["b"], r["i"]] = r["value"]
-    return out
-
-
-def _signs(m: int, n: int, resamples: int, rng: np.random.Generator) -> np.ndarray:
-    """Weights of rows for the observed statistic (first column) and its resamples: permutations of 1/m and -1/n."""
-    base = np.concatenate([np.full(m, 1 / m), np.full(n, -1 / n)])
-    return np.column_stack([base, *(rng.permutation(base) for _ in range(resamples))])
-
-
-def permutation_test(real: DataFrame, synth: DataFrame, key: str, vector: str, bandwidth: float | None = None, resamples: int = 500, level: float = 0.05, seed: int = 0) -> dict[str, float]:
-    """MMD permutation test: statistic, threshold, p-value and decision."""
-    x, y = _collect(real, key, vector), _collect(synth, key, vector)
-    z = np.concatenate([x, y])
-    width = bandwidth or median_heuristic(z) * sqrt(2)
-    forms = _quadratic_forms(real.sparkSession, z, _signs(len(x), len(y), resamples, np.random.default_rng(seed)), "gaussian", np.array([width]))[0]
-    threshold = float(np.quantile(forms[1:], 1 - level))
-    p = float((1 + (forms[1:] >= forms[0]).sum()) / (1 + resamples))
-    return {"statistic": float(forms[0]), "threshold": threshold, "p_value": p, "reject": float(forms[0] > threshold)}
-
-
-def spectral_test(real: DataFrame, synth: DataFrame, key: str, vector: str, bandwidth: float | None = None, draws: int = 5000, level: float = 0.05, seed: int = 0) -> dict[str, float]:
-    """M9: MMD test whose null distribution comes from the eigenvalues of the centred kernel matrix; equal sizes only."""
-    x, y = _collect(real, key, vector), _collect(synth, key, vector)
-    if len(x) != len(y):
-        raise ValueError("the spectral test needs samples of equal size")
-    m, z = len(x), np.concatenate([x, y])
-    width = bandwidth or median_heuristic(z) * sqrt(2)
-    k = np.exp(-((distances(z, z) / width) ** 2))
-    centre = np.eye(2 * m) - 1 / (2 * m)
-    eigen = np.linalg.eigvalsh(centre @ k @ centre) / (2 * m)
-    eigen = eigen[eigen > 1e-12]
-    rng = np.random.default_rng(seed)
-    null = 2 * (eigen[:, None] * rng.standard_normal((len(eigen), draws)) ** 2).sum(0)
-    statistic = m * (k[:m, :m].mean() + k[m:, m:].mean() - 2 * k[:m, m:].mean())
+def median_heuristic(blocks: DataFrame) -> float:
+    """Root of half the median of the non-zero squared distances of all rows; 1 if there are none."""
+    d = Distances(blocks, lambda a, b: a < b)
+    n, zeros, low, high = d.ends()
+    n -= zeros
+    if not n:
+        return 1.0
+    return sqrt(np.mean([d.at(r, low, high) ** 2 for r in ((n - 1) // 2, n // 2)]) / 2)
+
+
+#: Makes the resamples' values of the rows of a block: (ids) -> rows by resamples.
+Design = Callable[[np.ndarray], np.ndarray]
+
+
+def wild(seed: int, draws: int) -> Design:
+    """Random signs, one for each pair of rows of the same number, negative on the second sample; the first column has no change of sign."""
+
+    def values(ids: np.ndarray) -> np.ndarray:
+        rows, back = np.unique(ids // 2, return_inverse=True)
+        signs = np.array([np.random.default_rng([seed, int(r)]).integers(0, 2, draws) * 2 - 1 for r in rows], dtype=float)
+        signs = np.concatenate([np.ones((len(rows), 1)), signs], axis=1)
+        return signs[back] * np.where(ids % 2 == 0, 1.0, -1.0)[:, None]
+
+    return values
+
+
+def gaussian(seed: int, draws: int) -> Design:
+    """Standard normal values, one for each row."""
+    return lambda ids: np.array([np.random.default_rng([seed, int(i)]).standard_normal(draws) for i in ids])
+
+
+def permuted(blocks: DataFrame, size: int, seed: int, draws: int, first: bool = True) -> Design:
+    """1 for the rows that a permutation puts into the first sample of ``size`` rows, else 0; the first column, if wanted, is the sample itself.
+
+    How many rows of each block that are is drawn here, a number for each block and
+    resample; which ones follows from the seed and the block.
+    """
+    sizes = {r["ids"]: r["n"] for r in blocks.select(F.element_at("ids", 1).alias("ids"), F.size("ids").alias("n")).orderBy("ids").collect()}
+    kept = np.random.default_rng(seed).multivariate_hypergeometric(list(sizes.values()), size, size=draws, method="marginals").T.astype("<i4")
+    shares = dict(zip(sizes, kept, strict=True))
+
+    def values(ids: np.ndarray) -> np.ndarray:
+        place = np.random.default_rng([seed, 1, int(ids[0])]).random((len(ids), draws)).argsort(0).argsort(0)
+        labels = (place < shares[int(ids[0])][None, :]).astype(float)
+        return np.concatenate([(ids % 2 == 0)[:, None].astype(float), labels], axis=1) if first else labels
+
+    return values
+
+
+def forms(blocks: DataFrame, kernel: str, widths: np.ndarray, design: Design, drop: str = "none", right: str = "ones") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every bandwidth and resample s: s'Ks, s'Kr and r'Kr, where r is one everywhere, or 1 on the first and -1 on the second sample.
+
+    ``drop``: pairs that count as zero: none, a row with itself ("own"), or rows of the same number in whichever sample ("paired").
+    """
+
+    def pair(ids, a, ids2, b):
+        s, s2 = design(ids), design(ids2)
+        r, r2 = (np.ones(len(x)) if right == "ones" else np.where(x % 2 == 0, 1.0, -1.0) for x in (ids, ids2))
+        d = distances(a, b, _norm(kernel))
+        gone = ids[:, None] == ids2[None, :] if drop == "own" else ids[:, None] // 2 == ids2[None, :] // 2 if drop == "paired" else None
+        for w, width in enumerate(widths):
+            k = kernel_of(kernel, d / width)
+            if gone is not None:
+                k[gone] = 0
+            both = (s * (k @ s2)).sum(0)
+            line = k @ r2
+            yield {"w": [w] * len(both), "i": np.arange(len(both)), "q": both, "l": s.T @ line, "c": [float(r @ line)] * len(both)}
+
+    sums = block_pairs(blocks, blocks, pair, "w bigint, i bigint, q double, l double, c double")
+    rows = sums.groupBy("w", "i").agg(F.sum("q").alias("q"), F.sum("l").alias("l"), F.sum("c").alias("c")).collect()  # a row for each resample
+    out = np.zeros((3, len(widths), max((r["i"] for r in rows), default=-1) + 1))
+    for r in rows:
+        out[:, r["w"], r["i"]] = r["q"], r["l"], r["c"]
+    return out[0], out[1], out[2]
+
+
+def elementwise_scale(real: DataFrame, synth: DataFrame, key: str, vector: str) -> float:
+    """Median of the absolute differences of all components of rows at the same place."""
+    a, b = numbered(real, key, vector), numbered(synth, key, vector).withColumnRenamed("v", "u")
+    each = a.join(b, "_row").select(F.explode(F.zip_with("v", "u", lambda x, y: F.abs(x - y))).alias("d"))
+    return (exact_quantiles(each, "d", [0.5]) or [0.0])[0] or 1.0
+
+
+def _equal(sizes: list[int], what: str) -> int:
+    if sizes[0] != sizes[1]:
+        raise ValueError(f"the {what} test needs samples of equal size")
+    return sizes[0]
+
+
+def permutation_test(real: DataFrame, synth: DataFrame, key: str, vector: str, scale: float | None = None, resamples: int = 5000, level: float = 0.05, seed: int = 0) -> dict[str, float]:
+    """Biased MMD under exp(-d^2 / (2 scale^2)) against permuted rows of the joint kernel matrix; equal sizes only.
+
+    A draw permutes the rows and leaves the columns, as the reference's does, so it
+    needs no more than every row's signed kernel sum: one pass over pairs, and another
+    over rows for all draws.  Such draws spread less than those of permuted samples
+    and the test rejects more often than its level; ``mmdagg`` holds its level.
+    """
+    blocks, sizes = pooled([real, synth], key, vector)
+    m = _equal(sizes, "permutation")
+    width = (scale or elementwise_scale(real, synth, key, vector)) * sqrt(2)
+
+    def pair(ids, a, ids2, b):
+        yield {"id": ids, "s": kernel_of("gaussian", distances(a, b) / width) @ np.where(ids2 % 2 == 0, 1.0, -1.0)}
+
+    sums = block_pairs(blocks, blocks, pair, "id bigint, s double").groupBy("id").agg(F.sum("s").alias("s"))
+    design = permuted(blocks, m, seed, resamples)
+
+    def total(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("id").to_numpy())
+        ids, s = table.column("id").to_numpy()[order], table.column("s").to_numpy()[order]
+        return pa.table({"i": np.arange(resamples + 1), "v": (2 * design(ids) - 1).T @ s})
+
+    by_block = blocks.select("block", F.explode("ids").alias("id")).join(sums, "id").groupBy("block").applyInArrow(total, "i bigint, v double")
+    draws = np.zeros(resamples + 1)
+    for r in by_block.groupBy("i").agg(F.sum("v").alias("v")).collect():
+        draws[r["i"]] = r["v"] / m**2
+    release(blocks)
+    threshold = float(np.quantile(draws[1:], 1 - level))
+    p = float((1 + (draws[1:] >= draws[0]).sum()) / (1 + resamples))
+    return {"statistic": float(draws[0]), "threshold": threshold, "p_value": p, "reject": float(draws[0] > threshold)}
+
+
+def spectral_test(real: DataFrame, synth: DataFrame, key: str, vector: str, scale: float | None = None, draws: int = 5000, level: float = 0.05, seed: int = 0) -> dict[str, float]:
+    """M9: MMD test whose null distribution is the weighted sum of squares that the spectrum of the centred kernel matrix gives; equal sizes only.
+
+    The matrix as a quadratic form of independent normal values has just that
+    distribution, in whichever basis, so no eigenvalue is computed.
+    """
+    blocks, sizes = pooled([real, synth], key, vector)
+    m = _equal(sizes, "spectral")
+    width = np.array([(scale or elementwise_scale(real, synth, key, vector)) * sqrt(2)])
+    design = gaussian(seed, draws)
+    q, line, every = (x[0] for x in forms(blocks, "gaussian", width, design))
+
+    def add(table: pa.Table) -> pa.Table:
+        return pa.table({"i": np.arange(draws), "v": design(np.array(table.column("ids")[0].as_py())).sum(0)})
+
+    mean = np.zeros(draws)
+    for r in blocks.groupBy("block").applyInArrow(add, "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        mean[r["i"]] = r["v"] / (2 * m)
+    null = 2 * (q - 2 * mean * line + mean**2 * every) / (2 * m)
+    statistic = float(forms(blocks, "gaussian", width, lambda ids: np.where(ids % 2 == 0, 1.0, -1.0)[:, None])[0][0, 0]) / m
+    release(blocks)
     threshold = float(np.quantile(null, 1 - level))
-    return {"statistic": float(statistic), "threshold": threshold, "p_value": float((null >= statistic).mean()), "reject": float(statistic > threshold)}
+    return {"statistic": statistic, "threshold": threshold, "p_value": float((null >= statistic).mean()), "reject": float(statistic > threshold)}
+
+
+def boot_test(real: DataFrame, synth: DataFrame, key: str, vector: str, scheme: str = "permutation", level: float = 0.5, **options) -> dict[str, float]:
+    """The test of a scheme, with the evaluator's level."""
+    tests = {"permutation": permutation_test, "spectral": spectral_test}
+    if scheme not in tests:
+        raise ValueError(f"unknown scheme {scheme!r}")
+    return tests[scheme](real, synth, key, vector, level=level, **options)
 
 
 def mmdagg(
-    real: DataFrame, synth: DataFrame, key: str, vector: str, kernels: tuple[str, ...] = ("laplace", "gaussian"), number: int = 10, kind: str = "uniform",
-    level: float = 0.05, b1: int = 500, b2: int = 500, b3: int = 50, seed: int = 42,
+    real: DataFrame, synth: DataFrame, key: str, vector: str, kernel: str = "laplace_gaussian", number: int = 10, kind: str = "uniform",
+    level: float = 0.05, b1: int = 2000, b2: int = 2000, b3: int = 50, seed: int = 42, permutations: bool = False,
 ) -> DataFrame:
-    """Aggregated MMD test over kernels and bandwidths.
-
-    Returns a row for each single test: kernel, bandwidth, statistic, p_value,
-    threshold, reject_single and reject (of the whole test).  The level of the
-    single tests is found by bisection so that the whole test has its level on a
-    second set of resamples.
+    """Aggregated MMD test over kernels and bandwidths.
+
+    Samples of equal size are resampled by a wild bootstrap (or, if asked for, by
+    permutations), others by permutations.  Bandwidths come from the distances of
+    real to synthetic rows.  Returns a row for each single test: kernel, bandwidth,
+    statistic, p_value, threshold, reject_single and reject (of the whole test).  The
+    level of the single tests is found by bisection so that the whole test has its
+    level on a second set of resamples.
     """
     spark = real.sparkSession
-    x, y = _collect(real, key, vector), _collect(synth, key, vector)
-    z, rng = np.concatenate([x, y]), np.random.default_rng(seed)
-    signs = _signs(len(x), len(y), b1 + b2, rng)
-    tests, forms = [], []
-    for kernel in kernels:
-        head = z[: min(len(z), 1000)]
-        grid = bandwidth_grid(distances(head, head, _norm(kernel))[np.triu_indices(len(head), 1)], number)
-        forms.append(_quadratic_forms(spark, z, signs, kernel, grid))
-        tests += [(kernel, float(b)) for b in grid]
-    forms = np.concatenate(forms)
+    blocks, (m, n) = pooled([real, synth], key, vector)
+    kernels = COLLECTIONS.get(kernel, (kernel,))
+    tests, values, grids = [], [], {}
+    bootstrap = m == n and not permutations
+    design = wild(seed, b1 + b2) if bootstrap else permuted(blocks, m, seed, b1 + b2)
+    for name in kernels:
+        norm = _norm(name)
+        if norm not in grids:
+            grids[norm] = bandwidth_grid(Distances(blocks, lambda a, b: (a % 2 == 0) & (b % 2 == 1), norm), number)
+        q, line, every = forms(blocks, name, grids[norm], design, "paired" if bootstrap else "own")
+        if bootstrap:
+            values.append(q / (m * (m - 1)))
+        else:  # unbiased statistics from the sums within the first sample, of it with all rows, and of all rows
+            values.append(q / (m * (m - 1)) + (every - 2 * line + q) / (n * (n - 1)) - 2 * (line - q) / (m * n))
+        tests += [(name, float(b)) for b in grids[norm]]
+    release(blocks)
+    out = np.concatenate(values)
     w = np.concatenate([weights(number, kind)] * len(kernels)) / len(kernels)
-    observed, first, second = forms[:, 0], np.sort(np.concatenate([forms[:, 1 : 1 + b1], forms[:, :1]], axis=1), axis=1), forms[:, 1 + b1 :]
+    observed, first, second = out[:, 0], np.sort(np.concatenate([out[:, 1 : 1 + b1], out[:, :1]], axis=1), axis=1), out[:, 1 + b1 :]
     place = lambda u: np.clip(np.ceil((1 - u * w) * first.shape[1]).astype(int) - 1, 0, first.shape[1] - 1)
     low, high = 0.0, float((1 / w).min())
     for _ in range(b3):
@@ -170,28 +385,40 @@ def mmdagg(
     return spark.createDataFrame(rows, "kernel string, bandwidth double, statistic double, p_value double, threshold double, reject_single boolean, reject boolean")
 
 
-def three_sample_test(x: np.ndarray, y: np.ndarray, z: np.ndarray, sigma: float | None = None) -> dict[str, float]:
-    """Whether ``y`` or ``z`` is closer to ``x``; a p-value below the level says that ``y`` is not closer.
+def mmdagg_evaluation(train: DataFrame, validation: DataFrame, synth: DataFrame, key: str, vector: str, **options) -> DataFrame:
+    """Whether training and validation rows are told from synthetic ones, and the single tests' mean p-value: (metric, value)."""
+    options.setdefault("kernel", "gaussian")
+    parts = []
+    for name, real in (("train", train), ("validation", validation)):
+        row = mmdagg(real, synth, key, vector, **options).agg(F.avg("p_value"), F.max(F.col("reject").cast("double"))).first()
+        parts += [(f"mmdagg_p_value_{name}", row[0]), (f"mmdagg_reject_{name}", row[1])]
+    return synth.sparkSession.createDataFrame(parts, "metric string, value double")
+
+
+def relative_test(real: DataFrame, first: DataFrame, second: DataFrame, key: str, vector: str, sigma: float | None = None) -> dict[str, float]:
+    """Whether ``first`` or ``second`` is closer to ``real``; a p-value below the level says that ``first`` is not closer.
 
     Bounliphone et al. 2016: difference of two unbiased MMDs with a variance from
-    the first-order terms of its U-statistic.
+    the first-order terms of its U-statistic, from every row's kernel sums.
     """
-    sigma = sigma or median_heuristic(np.concatenate([x, y, z]))
-    gram = lambda a, b: np.exp(-distances(a, b) ** 2 / (2 * sigma**2))
-    kyy, kzz, kxy, kxz = gram(y, y), gram(z, z), gram(x, y), gram(x, z)
-    np.fill_diagonal(kyy, 0)
-    np.fill_diagonal(kzz, 0)
-    m, n, r = len(x), len(y), len(z)
-    t = kyy.sum() / (n * (n - 1)) - 2 * kxy.mean() - kzz.sum() / (r * (r - 1)) + 2 * kxz.mean()
+    blocks, sizes = pooled([real, first, second], key, vector)
+    sigma = sigma or median_heuristic(blocks)
+
+    def pair(ids, a, ids2, b):
+        k = np.exp(-(distances(a, b) ** 2) / (2 * sigma**2))
+        k[ids[:, None] == ids2[None, :]] = 0
+        out = {"id": ids}
+        for s in range(3):
+            out[f"s{s}"] = k[:, ids2 % 3 == s].sum(1)
+        yield out
+
+    sums = block_pairs(blocks, blocks, pair, "id bigint, s0 double, s1 double, s2 double").groupBy("id").agg(*[F.sum(f"s{s}").alias(f"s{s}") for s in range(3)])
+    m, n, r = sizes
     # first-order projections of the statistic onto one row of each sample
-    hx = kxz.mean(1) - kxy.mean(1)
-    hy = kyy.sum(1) / (n - 1) - kxy.mean(0)
-    hz = kxz.mean(0) - kzz.sum(1) / (r - 1)
-    variance = 4 * (hx.var() / m + hy.var() / n + hz.var() / r)
+    h = F.when(F.col("id") % 3 == 0, F.col("s2") / r - F.col("s1") / n).when(F.col("id") % 3 == 1, F.col("s1") / (n - 1) - F.col("s0") / m).otherwise(F.col("s0") / m - F.col("s2") / (r - 1))
+    rows = {x["k"]: x for x in sums.groupBy((F.col("id") % 3).alias("k")).agg(F.var_pop(h).alias("v"), *[F.sum(f"s{s}").alias(f"t{s}") for s in range(3)]).collect()}
+    release(blocks)
+    t = rows[1]["t1"] / (n * (n - 1)) - 2 * rows[0]["t1"] / (m * n) - rows[2]["t2"] / (r * (r - 1)) + 2 * rows[0]["t2"] / (m * r)
+    variance = 4 * (rows[0]["v"] / m + rows[1]["v"] / n + rows[2]["v"] / r)
     score = t / sqrt(max(variance, 1e-300))
     return {"statistic": float(score), "p_value": 0.5 * (1 + erf(-score / sqrt(2))), "sigma": sigma}
-
-
-def relative_test(real: DataFrame, first: DataFrame, second: DataFrame, key: str, vector: str) -> dict[str, float]:
-    """M16 on DataFrames."""
-    return three_sample_test(*(_collect(d, key, vector) for d in (real, first, second)))

@@ -1,22 +1,25 @@
-"""Nearest-neighbour, kernel and density statistics of two samples.
+"""Nearest-neighbour, kernel and density statistics of two samples.
 
 These need all pairs of rows.  Rows are packed into blocks of a fixed number of
 vectors; a pair of blocks is one unit of work in which numpy computes the
 distances and reduces them at once (a few numbers for each row, or sums).  The
 matrix is never stored, no side is broadcast, and a unit's memory is bounded;
-the cost is that of the statistic's own definition, one distance per pair.
+the cost is that of the statistic's own definition, one distance per pair: time
+grows with n^2, the bytes that move with n times the side of the grid of tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialspark.operators.ranging import with_running_totals
+from trialspark.functions.expressions import EPSILON
+from trialspark.operators.ranging import exact_quantiles, with_ordinal, with_running_totals
 
 #: Vectors in a block.
 BLOCK = 1024
@@ -36,24 +39,47 @@ def blocks(df: DataFrame, key: str, vector: str, size: int = BLOCK) -> DataFrame
     return rows.groupBy("block").applyInArrow(packed, "block bigint, ids array<bigint>, x binary")
 
 
-def block_pairs(left: DataFrame, right: DataFrame, reduce_pair: Callable, schema: str) -> DataFrame:
+#: Blocks on a side of a grid cell, which one task holds.
+SIDE = 16
+
+
+def block_pairs(left: DataFrame, right: DataFrame, reduce_pair: Callable, schema: str, extra: str | None = None) -> DataFrame:
     """Apply ``reduce_pair(left ids, left vectors, right ids, right vectors)`` to every pair of blocks.
 
-    It yields dictionaries of columns.  Pairs are dealt evenly to the tasks.
+    It yields dictionaries of columns; with ``extra``, a column of right blocks
+    holding a number for each row, it gets these too.  Blocks are dealt to a grid of
+    bounded cells: each goes to one row or column of it, so what moves is the blocks
+    times the grid's side, not the pairs, and a task holds ``SIDE`` blocks of each side.
     """
-    pairs = left.crossJoin(right.select(F.col("block").alias("block2"), F.col("ids").alias("ids2"), F.col("x").alias("x2")))
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = left.agg(F.count(F.lit(1))).first()[0], right.agg(F.count(F.lit(1))).first()[0]
+    rows, cols = (max(1, -(-n // SIDE), min(n, ceil(sqrt(tasks)))) for n in counts)
     columns = [f.split()[0] for f in schema.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, x, ids2, x2 in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                a = np.frombuffer(x, "<f8").reshape(len(ids), -1)
-                b = np.frombuffer(x2, "<f8").reshape(len(ids2), -1)
-                for out in reduce_pair(np.array(ids), a, np.array(ids2), b):
+    value = F.lit(None).cast("array<double>")
+    line = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = left.select((F.xxhash64("block") % rows).alias("i"), line(cols).alias("j"), F.lit(0).alias("side"), "ids", "x", value.alias("r")).withColumn("i", F.abs("i"))
+    b = right.select(F.abs(F.xxhash64("block", F.lit(1)) % cols).alias("j"), line(rows).alias("i"), F.lit(1).alias("side"), "ids", "x", (F.col(extra) if extra else value).alias("r"))
+
+    def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        sides = [[], []]
+        for side, ids, x, r in zip(*(table.column(c).to_pylist() for c in ("side", "ids", "x", "r")), strict=True):
+            sides[side].append((np.array(ids), np.frombuffer(x, "<f8").reshape(len(ids), -1), r))
+        for ids, x, _ in sides[0]:
+            for ids2, x2, r in sides[1]:
+                for out in reduce_pair(ids, x, ids2, x2, *([np.array(r)] if extra else [])):
                     yield pa.RecordBatch.from_pydict({c: out[c] for c in columns})
 
-    return pairs.repartition(tasks, "block", "block2").select("ids", "x", "ids2", "x2").mapInArrow(run, schema)
+    fields = ["i", "j", "side", "ids", "x", "r"]
+
+    def cells(table: pa.Table) -> pa.Table:
+        out = list(run(table))
+        return pa.Table.from_batches(out) if out else empty
+
+    empty = pa.table({c: pa.array([], _ARROW[f.split(maxsplit=1)[1]]) for c, f in zip(columns, schema.split(", "), strict=True)})
+    return a.select(*fields).unionByName(b.select(*fields)).groupBy("i", "j").applyInArrow(cells, schema)
+
+
+_ARROW = {"bigint": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
 
 
 def distances(a: np.ndarray, b: np.ndarray, norm: str = "l2") -> np.ndarray:
@@ -112,19 +138,12 @@ def _with_radii(centres: DataFrame, radii: DataFrame) -> DataFrame:
 
 def within_radii(points: DataFrame, centres: DataFrame, radii: DataFrame, closed: bool) -> DataFrame:
     """For every point, how many balls of the centres' radii hold it, and its least distance: (id, inside, nearest)."""
-    sized = _with_radii(centres, radii)
-    pairs = points.crossJoin(sized.select(F.col("block").alias("block2"), F.col("ids").alias("ids2"), F.col("x").alias("x2"), "r"))
-    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, x, ids2, x2, r in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                d = distances(np.frombuffer(x, "<f8").reshape(len(ids), -1), np.frombuffer(x2, "<f8").reshape(len(ids2), -1))
-                r = np.array(r)
-                inside = (d <= r[None, :]) if closed else (d < r[None, :])
-                yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "inside": pa.array(inside.sum(1), pa.int64()), "nearest": d.min(1)})
+    def pair(ids, a, ids2, b, r):
+        d = distances(a, b)
+        inside = (d <= r[None, :]) if closed else (d < r[None, :])
+        yield {"id": ids, "inside": inside.sum(1).astype(np.int64), "nearest": d.min(1)}
 
-    parts = pairs.repartition(tasks, "block", "block2").select("ids", "x", "ids2", "x2", "r").mapInArrow(run, "id bigint, inside bigint, nearest double")
+    parts = block_pairs(points, _with_radii(centres, radii), pair, "id bigint, inside bigint, nearest double", "r")
     return parts.groupBy("id").agg(F.sum("inside").alias("inside"), F.min("nearest").alias("nearest"))
 
 
@@ -161,18 +180,48 @@ def kernel_sums(left: DataFrame, right: DataFrame, gamma: float) -> DataFrame:
     return block_pairs(left, right, pair, "total double, own double, n bigint").agg(F.sum("total").alias("total"), F.sum("own").alias("own"), F.sum("n").alias("n"))
 
 
-def mmd(real: DataFrame, synth: DataFrame, gamma: float = 1.0) -> DataFrame:
-    """M6, M7: biased and unbiased squared MMD under exp(-gamma d^2): (biased, unbiased)."""
+def mmd(real: DataFrame, synth: DataFrame, gamma: float = 1.0, paired: DataFrame | None = None) -> DataFrame:
+    """M6, M7: biased and unbiased squared MMD under exp(-gamma d^2): (biased, unbiased).
+
+    With samples of equal size the unbiased one leaves out the pairs of rows at the
+    same place; ``paired`` has these pairs' squared distances as d2.
+    """
     x, y, xy = (kernel_sums(a, b, gamma).toDF(f"t{s}", f"o{s}", f"n{s}") for s, a, b in (("x", real, real), ("y", synth, synth), ("c", real, synth)))
     out = lambda s: (F.col(f"t{s}") - F.col(f"o{s}")) / (F.col(f"n{s}") - F.sqrt(F.col(f"n{s}").cast("double")))
     cross = F.col("tc") / F.col("nc")
-    return x.crossJoin(y).crossJoin(xy).select(
-        (F.col("tx") / F.col("nx") + F.col("ty") / F.col("ny") - 2 * cross).alias("biased"), (out("x") + out("y") - 2 * cross).alias("unbiased")
-    )
+    both = x.crossJoin(y).crossJoin(xy)  # a row each
+    if paired is None:
+        unbiased = out("x") + out("y") - 2 * cross
+    else:
+        both = both.crossJoin(paired.agg(F.sum(F.exp(-F.lit(float(gamma)) * F.col("d2"))).alias("same")))
+        unbiased = out("x") + out("y") - 2 * (F.col("tc") - F.col("same")) / (F.col("nc") - F.sqrt(F.col("nc").cast("double")))
+    return both.select((F.col("tx") / F.col("nx") + F.col("ty") / F.col("ny") - 2 * cross).alias("biased"), unbiased.alias("unbiased"))
+
+
+def paired_distances(real: DataFrame, synth: DataFrame, key: str, vector: str) -> DataFrame | None:
+    """Squared distances of rows at the same place in the order of a key: (d2); None for tables of different size."""
+    if real.count() != synth.count():
+        return None
+    a, b = (with_ordinal(d.select(key, F.col(vector).alias(n)), [key]).select("_row", n) for d, n in ((real, "a"), (synth, "b")))
+    return a.join(b, "_row").select(F.aggregate(F.zip_with("a", "b", lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, v: s + v).alias("d2"))
+
+
+def entropy_weights(df: DataFrame, vector: str) -> DataFrame:
+    """Weight of every component, the inverse of the entropy of its values: (i, w); a constant component's entropy counts as the machine epsilon."""
+    counts = df.select(F.posexplode(vector).alias("i", "v")).groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy("i").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.ln(F.col("n").cast("double"))).alias("s"))
+    entropy = F.ln(F.col("t").cast("double")) - F.col("s") / F.col("t")
+    return totals.select("i", (1 / F.when(entropy > EPSILON, entropy).otherwise(F.lit(EPSILON))).alias("w"))
+
 
+def weighted(df: DataFrame, vector: str, weights: dict[int, float]) -> DataFrame:
+    """Vectors with every component times its weight."""
+    by_place = F.array(*[F.lit(weights[i]) for i in sorted(weights)])
+    return df.withColumn(vector, F.zip_with(F.transform(vector, lambda v: v.cast("double")), by_place, lambda v, w: v * w))
 
-def identifiability(real: DataFrame, synth: DataFrame, real_rows: DataFrame) -> DataFrame:
-    """Share of real rows whose nearest synthetic row is closer than their nearest other real row."""
+
+def identifiability(real: DataFrame, synth: DataFrame) -> DataFrame:
+    """Share of real rows whose nearest synthetic row is closer than their nearest other real row, on ``weighted`` vectors' blocks."""
     other = k_smallest(real, real, 1, True).select("id", F.element_at("d", 1).alias("other"))
     close = k_smallest(real, synth, 1, False).select("id", F.element_at("d", 1).alias("close"))
     return other.join(close, "id").agg(F.avg((F.col("close") < F.col("other")).cast("double")).alias("score"))
@@ -216,8 +265,27 @@ def membership_inference(synth: DataFrame, members: DataFrame, others: DataFrame
     return parts[0].unionByName(parts[1])
 
 
-class NeuralDensity:
-    """Densities by a normalising flow need a deep-learning library and are not part of this engine."""
+def attack_quality(scores: DataFrame) -> DataFrame:
+    """(accuracy, auc) of attack scores (score, member): a row above the median score is called a member."""
+    middle = exact_quantiles(scores, "score", [0.5])
+    called = F.col("score") > F.lit(middle[0] if middle else None).cast("double")
+    accuracy = scores.agg(F.avg((called == (F.col("member") == 1)).cast("double")).alias("accuracy"))
+    return accuracy.crossJoin(auc(scores, "score", "member"))  # a row each
+
+
+def normal_log_density(queries: DataFrame, fitted: DataFrame, key: str, vector: str) -> DataFrame:
+    """Log density of queries under one normal distribution with the mean and covariance of ``fitted``: (id, log_density)."""
+    from trialspark.operators.stats import _moments
+
+    mean, cov = _moments(fitted, vector)
+    root = np.linalg.inv(np.linalg.cholesky(cov + 1e-9 * np.eye(len(mean))))
+    constant = float(np.log(np.diag(root)).sum() - 0.5 * len(mean) * np.log(2 * np.pi))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                z = (np.array(batch.column(1).to_pylist(), dtype=float) - mean) @ root.T
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(constant - 0.5 * (z * z).sum(1))], names=["id", "log_density"])
 
-    def __init__(self, *_, **__):
-        raise NotImplementedError("neural densities are out of scope; use kde_log_density")
+    rows = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.transform(vector, lambda v: v.cast("double")).alias("v"))
+    return rows.mapInArrow(run, "id bigint, log_density double")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,17 +104,15 @@ d AS (SELECT a.id, b.id AS id2, a.side, b.side AS side2, list_distance(a.v, b.v)
 RADII = "r AS (SELECT id, side, d AS r FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d) AS k FROM d WHERE side = side2 AND id <> id2) WHERE k = {k})"
 
 
-@query("pairwise_dist", f"WITH {PAIRS} SELECT id, id2, round(d, 6) AS d FROM d WHERE side = 0 AND side2 = 1 AND id < 100 AND id2 < 100")
+@query("pairwise_dist", f"WITH {PAIRS} SELECT id, id2, round(d, 6) AS d FROM d WHERE side = 0 AND side2 = 1")
 def pairwise_dist(spark: SparkSession, sf: str) -> DataFrame:
-    """The result of a distance matrix is a row for each pair, so this one is asked for the first hundred ids."""
-    head = table(spark, sf, "embeddings").where("vec_id < 100")
-    a, b = (twosample.blocks(head.where(F.col("vec_id") % 2 == k), "vec_id", "embedding") for k in (0, 1))
-    return twosample.pairwise(a, b).withColumn("d", F.round("d", 6))
+    """A row for each pair of a real and a synthetic vector, by definition."""
+    return twosample.pairwise(_blocks(spark, sf, 0), _blocks(spark, sf, 1)).withColumn("d", F.round("d", 6))
 
 
-@query("kernel_matrix", f"WITH {PAIRS} SELECT id, id2, round(1 / (1 + d), 9) AS k FROM d WHERE side = 0 AND side2 = 0 AND id < 60 AND id2 < 60")
+@query("kernel_matrix", f"WITH {PAIRS} SELECT id, id2, round(1 / (1 + d), 9) AS k FROM d WHERE side = 0 AND side2 = 0")
 def kernel_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    b = twosample.blocks(table(spark, sf, "embeddings").where("vec_id < 60 and vec_id % 2 = 0"), "vec_id", "embedding")
+    b = _blocks(spark, sf, 0)
     return twosample.kernel_matrix(b, b, lambda d: 1 / (1 + d)).withColumn("k", F.round("k", 9))
 
 
@@ -163,15 +160,36 @@ def mmd_biased(spark: SparkSession, sf: str) -> DataFrame:
     return twosample.mmd(_blocks(spark, sf, 0), _blocks(spark, sf, 1)).select(F.round("biased", 8).alias("mmd"))
 
 
-@query("mmd_unbiased", f"{_mmd_sql('1.0::DOUBLE')} SELECT round(ux + uy - 2 * c, 8) AS mmd FROM s")
+@query(
+    "mmd_unbiased",
+    f"""{_mmd_sql('1.0::DOUBLE')}, o AS (SELECT id, v, side, row_number() OVER (PARTITION BY side ORDER BY id) AS r FROM p), z AS (SELECT count(*) FILTER (WHERE side = 0) AS m, count(*) FILTER (WHERE side = 1) AS n FROM p),
+    same AS (SELECT sum(exp(-1 * pow(list_distance(a.v, b.v), 2))) AS t FROM o a JOIN o b ON a.side = 0 AND b.side = 1 AND a.r = b.r)
+    SELECT round(CASE WHEN m = n THEN ux + uy - 2 * (c * m * n - t) / (m * (m - 1)) ELSE ux + uy - 2 * c END, 8) AS mmd FROM s, z, same""",
+)
 def mmd_unbiased(spark: SparkSession, sf: str) -> DataFrame:
-    return twosample.mmd(_blocks(spark, sf, 0), _blocks(spark, sf, 1)).select(F.round("unbiased", 8).alias("mmd"))
+    paired = twosample.paired_distances(*_sides(spark, sf), "vec_id", "embedding")
+    return twosample.mmd(_blocks(spark, sf, 0), _blocks(spark, sf, 1), paired=paired).select(F.round("unbiased", 8).alias("mmd"))
+
+
+def _traits(spark: SparkSession, sf: str, parity: int) -> DataFrame:
+    v = F.array(*[x.cast("double") for x in (F.col("c_nationkey"), F.col("c_acctbal") / 500, F.length("c_mktsegment"))])
+    return _half(spark, sf, "customer", "c_custkey", parity).select("c_custkey", v.alias("v"))
 
 
-@query("identifiability", f"WITH {PAIRS}, n AS (SELECT id, min(d) FILTER (WHERE side2 = 0 AND id <> id2) AS other, min(d) FILTER (WHERE side2 = 1) AS synth FROM d WHERE side = 0 GROUP BY id) SELECT round(avg((synth < other)::INTEGER), 6) AS score FROM n")
+@query(
+    "identifiability",
+    """WITH p AS (SELECT c_custkey AS id, c_custkey % 2 AS side, [c_nationkey, c_acctbal / 500, length(c_mktsegment)]::DOUBLE[] AS v FROM customer),
+    long AS (SELECT unnest(range(0, 3)) AS i, unnest(v) AS x FROM p WHERE side = 0), c AS (SELECT i, x, count(*) AS n FROM long GROUP BY ALL),
+    w AS (SELECT list(w ORDER BY i) AS w FROM (SELECT i, 1 / greatest(ln(sum(n)) - sum(n * ln(n)) / sum(n), 2.220446049250313e-16) AS w FROM c GROUP BY i)),
+    q AS (SELECT id, side, [v[1] * w[1], v[2] * w[2], v[3] * w[3]] AS v FROM p, w),
+    d AS (SELECT a.id, min(list_distance(a.v, b.v)) FILTER (WHERE b.side = 0 AND a.id <> b.id) AS other, min(list_distance(a.v, b.v)) FILTER (WHERE b.side = 1) AS synth FROM q a, q b WHERE a.side = 0 GROUP BY a.id)
+    SELECT round(avg((synth < other)::INTEGER), 6) AS score FROM d""",
+)
 def identifiability(spark: SparkSession, sf: str) -> DataFrame:
-    real = _blocks(spark, sf, 0)
-    return twosample.identifiability(real, _blocks(spark, sf, 1), real).select(F.round("score", 6).alias("score"))
+    real, synth = _traits(spark, sf, 0), _traits(spark, sf, 1)
+    weights = {r["i"]: r["w"] for r in twosample.entropy_weights(real, "v").collect()}  # a number for each component
+    a, b = (twosample.blocks(twosample.weighted(d, "v", weights), "c_custkey", "v") for d in (real, synth))
+    return twosample.identifiability(a, b).select(F.round("score", 6).alias("score"))
 
 
 @query("kde_logdensity", f"WITH {PAIRS} SELECT id, round(ln(avg(exp(-d * d / (2 * 0.25::DOUBLE)))) - 64 * (ln(0.5::DOUBLE) + 0.5::DOUBLE * ln(2 * pi())), 6) AS log_density FROM d WHERE side = 0 AND side2 = 1 GROUP BY id")
@@ -189,7 +207,19 @@ def auc_rank(spark: SparkSession, sf: str) -> DataFrame:
 def membership_inference(spark: SparkSession, sf: str) -> DataFrame:
     parts = [twosample.blocks(table(spark, sf, "embeddings").where(F.col("vec_id") % 4 == k), "vec_id", "embedding") for k in range(4)]
     scores = twosample.membership_inference(*parts, 64)
-    return twosample.auc(scores, "score", "member")
+    return twosample.attack_quality(scores)
+
+
+@query("membership_prior")
+def membership_prior(spark: SparkSession, sf: str) -> DataFrame:
+    """The attack with a normal distribution fitted to the real rows as reference."""
+    synth, members, others = (table(spark, sf, "embeddings").where(F.col("vec_id") % 3 == k) for k in range(3))
+    parts = []
+    for label, rows in ((1, members), (0, others)):
+        g = twosample.kde_log_density(twosample.blocks(rows, "vec_id", "embedding"), twosample.blocks(synth, "vec_id", "embedding"), 0.5, 64).withColumnRenamed("log_density", "g")
+        r = twosample.normal_log_density(rows, members.union(others), "vec_id", "embedding").withColumnRenamed("log_density", "r")
+        parts.append(g.join(r, "id").select("id", F.lit(label).alias("member"), (F.col("g") - F.col("r")).alias("score")))
+    return twosample.attack_quality(parts[0].unionByName(parts[1]))
 
 
 COUNTS = "(SELECT o_orderpriority AS v, count(*) FILTER (WHERE o_orderkey % 2 = 0) / (SELECT count(*) FROM orders WHERE o_orderkey % 2 = 0)::DOUBLE AS p, count(*) FILTER (WHERE o_orderkey % 2 = 1) / (SELECT count(*) FROM orders WHERE o_orderkey % 2 = 1)::DOUBLE AS q FROM orders GROUP BY 1)"
@@ -239,8 +269,8 @@ def kernel_values(spark: SparkSession, sf: str) -> DataFrame:
     SELECT i, round(lo * pow(hi / lo, i / 9.0::DOUBLE), 6) AS bandwidth FROM lo, range(0, 10) r(i)""",
 )
 def bandwidth_grid(spark: SparkSession, sf: str) -> DataFrame:
-    z = tests._collect(table(spark, sf, "embeddings"), "vec_id", "embedding")
-    grid = tests.bandwidth_grid(twosample.distances(z, z)[np.triu_indices(len(z), 1)])
+    blocks, _ = tests.pooled([table(spark, sf, "embeddings")], "vec_id", "embedding")
+    grid = tests.bandwidth_grid(tests.Distances(blocks, lambda a, b: a < b))
     return spark.createDataFrame([(i, round(float(b), 6)) for i, b in enumerate(grid)], "i bigint, bandwidth double")
 
 
@@ -257,8 +287,8 @@ def mmdagg_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("median_heuristic", f"WITH {PAIRS} SELECT round(sqrt(median(d * d) / 2), 6) AS sigma FROM d WHERE id < id2 AND d <> 0")
 def median_heuristic(spark: SparkSession, sf: str) -> DataFrame:
-    z = tests._collect(table(spark, sf, "embeddings"), "vec_id", "embedding")
-    return spark.createDataFrame([(round(tests.median_heuristic(z), 6),)], "sigma double")
+    blocks, _ = tests.pooled([table(spark, sf, "embeddings")], "vec_id", "embedding")
+    return spark.createDataFrame([(round(tests.median_heuristic(blocks), 6),)], "sigma double")
 
 
 def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
