@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialspark.llm.shared import Forest, connected_components, materialise, release
+from trialspark.llm.shared import Forest, connected_components, materialise, release, trim
 
 #: Items on a side of a cell.
 CELL = 384
@@ -111,6 +111,8 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Ta
             held = [batch.slice(last)]
     if held:
         yield pa.Table.from_batches(held)
+    held.clear()
+    trim()
 
 
 @lru_cache(maxsize=CELL + 1)

@@ -45,7 +45,7 @@ from pyspark.sql import types as T
 
 from trialspark.llm.blocks import link_clusters
 from trialspark.llm.hashing import Words, combine, mix64
-from trialspark.llm.shared import column_of, connected_components, documents_of, fragments_for, free_name, materialise, release, text_batches
+from trialspark.llm.shared import column_of, connected_components, documents_of, fragments_for, free_name, materialise, release, text_batches, trim
 
 PARAGRAPH_WORDS = 25
 ANCHOR_SPAN = 26
@@ -339,6 +339,8 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = [batch.slice(done)]
     if held:
         yield grown(pa.Table.from_batches(held))
+    held.clear()
+    trim()
 
 
 def repeats(docs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ written to machine-local folders.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,6 +55,15 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def trim() -> None:
+    """Give memory that nothing holds back to the system; workers live on after a task and would keep its peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of record batches holding about ``limit`` bytes of their ``text`` column, with these texts (null: empty)."""
     for batch in batches:
@@ -67,6 +77,7 @@ def text_batches(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES) ->
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at), [t or b"" for t in column.slice(at, to - at).to_pylist()]
             at = to
+    trim()
 
 
 def column_of(batch: pa.RecordBatch, name: str) -> np.ndarray:
