@@ -258,6 +258,55 @@ def test_kernel_forms_against_whole_matrices(spark, monkeypatch):
         mmd.boot_test(a, b, "k", "v", "other")
 
 
+def _sample(spark, x, first=0):
+    return spark.createDataFrame([(first + i, v.tolist()) for i, v in enumerate(x)], "k int, v array<double>")
+
+
+def _all_distances(a, b):
+    return np.sqrt(((a[:, None] - b[None, :]) ** 2).sum(2))
+
+
+def test_distances_by_matrix_product_are_exact_where_it_cancels():
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=(70, 9)) + 1e6
+    b = np.concatenate([a[:30], a[30:50] + 1e-7, rng.normal(size=(20, 9))])
+    plain = _all_distances(a, b)
+    assert twosample.distances(a, b) == pytest.approx(plain, rel=1e-11, abs=0)
+    assert (twosample.distances(a, b)[np.arange(30), np.arange(30)] == 0).all()
+    assert twosample.distances(a, b, "l1") == pytest.approx(np.abs(a[:, None] - b[None, :]).sum(2), rel=1e-11, abs=0)
+    a[3, 1] = np.inf
+    got = twosample.distances(a, b)
+    assert np.isinf(got[3]).all() and np.isfinite(np.delete(got, 3, 0)[:, 4:]).all()
+    assert twosample.unpack(twosample.pack(b), 70).tolist() == b.tolist() and len(twosample.pack(np.float32(b).astype(float))) == 70 * 9 * 4 + 1
+
+
+def test_no_matrix_of_differences(monkeypatch):
+    # a query's distances come from a product of matrices: few pairs are measured one by one
+    counted = []
+    whole = twosample.exact_pairs
+    monkeypatch.setattr(twosample, "exact_pairs", lambda a, b, i, j: counted.append(len(i)) or whole(a, b, i, j))
+    x = np.random.default_rng(3).normal(size=(400, 16))
+    assert twosample.squares(x, x) == pytest.approx(_all_distances(x, x) ** 2, rel=1e-10, abs=0) and sum(counted) < 1000
+
+
+def test_neighbours_and_balls_with_copies(spark):
+    # radii and distances tie between copies that lie in different blocks
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 12))
+    real, synth = np.concatenate([x[:40], x[:8], x[:8]]), np.concatenate([x[20:60], x[:5], x[20:24] + 1e-9])
+    a, b = twosample.blocks(_sample(spark, real), "k", "v", 16), twosample.blocks(_sample(spark, synth, 1000), "k", "v", 16)
+    own, other, cross = _all_distances(real, real), _all_distances(synth, synth), _all_distances(real, synth)
+    radius = lambda d, k: np.sort(np.where(np.eye(len(d)) == 1, np.inf, d), 1)[:, k - 1]
+    for k in (1, 3):
+        r, s = radius(own, k), radius(other, k)
+        got = twosample.prdc(a, b, k).first()
+        inside = cross < r[:, None]
+        assert tuple(got) == pytest.approx((inside.any(0).mean(), (cross < s[None, :]).any(1).mean(), inside.sum(0).mean() / k, (cross.min(1) < r).mean()), abs=1e-6)
+        assert tuple(twosample.precision_recall(a, b, k).first()) == pytest.approx(((cross <= r[:, None]).any(0).mean(), (cross <= s[None, :]).any(1).mean()))
+    near = {r["id"]: r["d"] for r in twosample.k_smallest(a, a, 3, True).collect()}
+    assert [near[i] for i in range(len(real))] == [pytest.approx(v.tolist()) for v in np.sort(np.where(np.eye(len(real)) == 1, np.inf, own), 1)[:, :3]]
+
+
 def test_trust_index_grows_with_real_rows(spark, sf_dir):
     from trialspark.plans.audit_queries import registry
 
