@@ -307,6 +307,25 @@ def test_neighbours_and_balls_with_copies(spark):
     assert [near[i] for i in range(len(real))] == [pytest.approx(v.tolist()) for v in np.sort(np.where(np.eye(len(real)) == 1, np.inf, own), 1)[:, :3]]
 
 
+@pytest.mark.parametrize("dimensions", [3, 9])
+def test_identifiability_searches_boxes(spark, monkeypatch, dimensions):
+    rng = np.random.default_rng(dimensions)
+    monkeypatch.setattr(twosample, "BOX", 12)
+    real = rng.normal(size=(150, dimensions)).round(1)
+    synth = np.concatenate([rng.normal(size=(60, dimensions)).round(1) + 2, real[:20], real[:20]])
+    real = np.concatenate([real, real[10:30]])
+    if dimensions == 3:  # no grid of all pairs
+        monkeypatch.setattr(twosample, "block_cells", None)
+    other = np.where(np.eye(len(real)) == 1, np.inf, _all_distances(real, real)).min(1)
+    want = (_all_distances(real, synth).min(1) < other).mean()
+    a, b = _sample(spark, real), _sample(spark, synth)
+    assert twosample.identifiability(a, b, "v").first()["score"] == pytest.approx(want)
+    far = twosample.identifiability(a, _sample(spark, synth[:3] + 50), "v")
+    assert far.first()["score"] == 0
+    assert twosample.identifiability(a.where("k < 1"), b, "v").first()["score"] is None
+    assert twosample.identifiability(a, b.where("k < 0"), "v").first()["score"] is None
+
+
 def test_trust_index_grows_with_real_rows(spark, sf_dir):
     from trialspark.plans.audit_queries import registry
 
