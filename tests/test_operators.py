@@ -289,6 +289,21 @@ def test_no_matrix_of_differences(monkeypatch):
     assert twosample.squares(x, x) == pytest.approx(_all_distances(x, x) ** 2, rel=1e-10, abs=0) and sum(counted) < 1000
 
 
+def test_order_statistics_share_their_passes(spark, monkeypatch):
+    x = np.random.default_rng(6).normal(size=(41, 3))
+    x[7] = x[9]
+    blocks, _ = mmd.pooled([_sample(spark, x)], "k", "v", 16)
+    passes, each = [], mmd.Distances._each
+    monkeypatch.setattr(mmd.Distances, "_each", lambda self, *a: passes.append(1) or each(self, *a))
+    d = np.sort(_all_distances(x, x)[np.triu_indices(41, 1)])
+    assert mmd.median_heuristic(blocks) == pytest.approx(np.sqrt(np.median(d[d > 0] ** 2) / 2)) and len(passes) == 3
+    passes.clear()
+    grid = mmd.bandwidth_grid(mmd.Distances(blocks, lambda a, b: a < b))
+    filled = np.where(d == 0, np.median(d), d)
+    low = filled.min() if filled.min() >= 0.1 else max(np.sort(filled)[int(0.05 * len(d))], 0.1)
+    assert (grid[0], grid[-1]) == (pytest.approx(low / 2), pytest.approx(d.max() * 2)) and len(passes) == 3
+
+
 def test_neighbours_and_balls_with_copies(spark):
     # radii and distances tie between copies that lie in different blocks
     rng = np.random.default_rng(4)
