@@ -341,6 +341,33 @@ def test_identifiability_searches_boxes(spark, monkeypatch, dimensions):
     assert twosample.identifiability(a, b.where("k < 0"), "v").first()["score"] is None
 
 
+@pytest.mark.parametrize("drop", ["none", "own", "paired"])
+def test_forms_meet_every_two_blocks_once(spark, monkeypatch, drop):
+    calls, whole = spark.sparkContext.accumulator(0), mmd.distances
+
+    def counted(a, b, norm):
+        calls.add(len(a) * len(b))
+        return whole(a, b, norm)
+
+    monkeypatch.setattr(mmd, "distances", counted)
+    monkeypatch.setattr(mmd, "_WIDE", 14)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2, 55, 3))
+    blocks, _ = mmd.pooled([_sample(spark, x[0]), _sample(spark, x[1])], "k", "v", 10)
+    ids, z = np.arange(110), x.transpose(1, 0, 2).reshape(110, 3)
+    d = _all_distances(z, z)
+    for design in (mmd.wild(3, 6), mmd.gaussian(3, 6)):
+        before = calls.value
+        q, line, every = mmd.forms(blocks, "gaussian", np.array([1.0, 2.0]), design, drop, "signs")
+        assert calls.value - before < 0.6 * 110**2
+        s, r = design(ids), np.where(ids % 2 == 0, 1, -1)
+        for w, width in enumerate((1.0, 2.0)):
+            k = np.exp(-((d / width) ** 2))
+            if drop != "none":
+                k[(ids[:, None] == ids[None, :]) if drop == "own" else (ids[:, None] // 2 == ids[None, :] // 2)] = 0
+            assert q[w] == pytest.approx((s * (k @ s)).sum(0)) and line[w] == pytest.approx(s.T @ (k @ r)) and every[w] == pytest.approx([r @ k @ r] * s.shape[1])
+
+
 def test_trust_index_grows_with_real_rows(spark, sf_dir):
     from trialspark.plans.audit_queries import registry
 
