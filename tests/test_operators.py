@@ -368,6 +368,20 @@ def test_forms_meet_every_two_blocks_once(spark, monkeypatch, drop):
             assert q[w] == pytest.approx((s * (k @ s)).sum(0)) and line[w] == pytest.approx(s.T @ (k @ r)) and every[w] == pytest.approx([r @ k @ r] * s.shape[1])
 
 
+def test_pairs_leave_a_cell_block_by_block(spark, monkeypatch):
+    # a task hands on a pair of blocks at a time, and what is dealt out is in single precision where that is exact
+    sizes, whole = spark.sparkContext.accumulator(0), twosample.unpack
+    monkeypatch.setattr(twosample, "unpack", lambda data, rows: sizes.add(len(data)) or whole(data, rows))
+    x = np.random.default_rng(9).normal(size=(64, 8)).astype("f4").astype(float)
+    a = twosample.blocks(_sample(spark, x), "k", "v", 16)
+    got = {(r["id"], r["id2"]): r["d"] for r in twosample.pairwise(a, a).collect()}
+    d = _all_distances(x, x)
+    assert len(got) == 64**2 and [got[i, j] for i in range(64) for j in range(64)] == pytest.approx(d.ravel().tolist())
+    kernel = {(r["id"], r["id2"]): r["k"] for r in twosample.kernel_matrix(a, a, lambda v: 1 / (1 + v)).collect()}
+    assert [kernel[i, j] for i in range(64) for j in range(64)] == pytest.approx((1 / (1 + d)).ravel().tolist())
+    assert 0 < sizes.value < 2 * 2 * 4 * 64 * 8 * 5
+
+
 def test_trust_index_grows_with_real_rows(spark, sf_dir):
     from trialspark.plans.audit_queries import registry
 
