@@ -304,6 +304,19 @@ def test_order_statistics_share_their_passes(spark, monkeypatch):
     assert (grid[0], grid[-1]) == (pytest.approx(low / 2), pytest.approx(d.max() * 2)) and len(passes) == 3
 
 
+def test_attack_scores_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def score(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    scores = spark.range(50).selectExpr("cast(id as double) as score", "cast(id % 2 as int) as member").mapInArrow(score, "score double, member int")
+    assert tuple(twosample.attack_quality(scores).first()) == pytest.approx((0.52, 0.52))
+    assert made.value == 50
+
+
 def test_neighbours_and_balls_with_copies(spark):
     # radii and distances tie between copies that lie in different blocks
     rng = np.random.default_rng(4)

@@ -47,7 +47,7 @@ def vectors(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def blocks(df: DataFrame, key: str, vector: str, size: int = BLOCK) -> DataFrame:
-    """Rows packed into blocks: (block, ids, x) with x the packed vectors."""
+    """Rows packed into blocks, written: (block, ids, x) with x the packed vectors."""
     n = df.count()
     parts = max(1, -(-n // size))
 
@@ -56,7 +56,7 @@ def blocks(df: DataFrame, key: str, vector: str, size: int = BLOCK) -> DataFrame
         return pa.table({"block": table.column(0).slice(0, 1), "ids": pa.array([ids.to_pylist()], pa.list_(pa.int64())), "x": pa.array([pack(vectors(table.column(2)))], pa.binary())})
 
     rows = df.where(F.col(vector).isNotNull()).select(F.pmod(F.xxhash64(key), F.lit(parts)).cast("bigint").alias("block"), F.col(key).cast("bigint").alias("id"), F.transform(vector, lambda v: v.cast("double")).alias("v"))
-    return rows.groupBy("block").applyInArrow(packed, "block bigint, ids array<bigint>, x binary")
+    return materialise(rows.groupBy("block").applyInArrow(packed, "block bigint, ids array<bigint>, x binary"), "blocks")
 
 
 #: Blocks on a side of a grid cell, which one task holds.
@@ -136,14 +136,16 @@ def quick_squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     with np.errstate(all="ignore"):
         p, q = a - middle, b - middle
         x, y = (p * p).sum(1), (q * q).sum(1)
-        d = p @ q.T
-        d *= -2
-        d += x[:, None]
-        d += y[None, :]
-        if not np.isfinite(d.max() + d.min()):
-            i, j = np.divmod(np.arange(d.size), d.shape[1])
-            return exact_pairs(a, b, i, j).reshape(d.shape), np.zeros(len(a)), 0.0
-    return d, x, float(y.max())
+        if not np.isfinite(4 * (x.max() + y.max())):
+            i, j = np.divmod(np.arange(len(a) * len(b)), len(b))
+            return exact_pairs(a, b, i, j).reshape(len(a), len(b)), np.zeros(len(a)), 0.0
+    return _extended(p, x) @ _extended(q, y, True).T, x, float(y.max())
+
+
+def _extended(p: np.ndarray, x: np.ndarray, right: bool = False) -> np.ndarray:
+    """Rows with their squared lengths, so that products of left and right ones are squared distances."""
+    one = np.ones((len(p), 1))
+    return np.concatenate([p, one, x[:, None]] if right else [p * -2, x[:, None], one], axis=1)
 
 
 def slack(a: np.ndarray, x: np.ndarray, y: float) -> np.ndarray:
@@ -156,16 +158,48 @@ def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     d, x, y = quick_squares(a, b)
     if not d.min() >= CLOSE * (x.max() + y):
         i, j = np.nonzero(d < CLOSE * (x[:, None] + y))
-        if len(i) > len(a) + len(b):  # equal rows need no difference
-            codes: dict[bytes, int] = {}
-            left, right = (np.array([codes.setdefault(row.tobytes(), len(codes)) for row in m]) for m in (a, b))
-            alike = left[i] == right[j]
-            d[i[alike], j[alike]] = 0
-            i, j = i[~alike], j[~alike]
-        d[i, j] = exact_pairs(a, b, i, j)
+        d[i, j] = near_pairs(a, b, i, j)
     return d
 
 
+def near_pairs(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``exact_pairs``; where they are many, equal rows need no difference."""
+    if len(i) <= 8 * (len(a) + len(b)):
+        return exact_pairs(a, b, i, j)
+    codes: dict[bytes, int] = {}
+    left, right = (np.array([codes.setdefault(row.tobytes(), len(codes)) for row in m]) for m in (a, b))
+    out, apart = np.zeros(len(i)), left[i] != right[j]
+    finite = np.isfinite(a).all(1)
+    apart |= ~finite[i]
+    out[apart] = exact_pairs(a, b, i[apart], j[apart])
+    return out
+
+
+class Single:
+    """Rows that others are measured from in single precision, with a bound of the error of their squared distances."""
+
+    def __init__(self, b: np.ndarray):
+        self.b = b
+        with np.errstate(all="ignore"):
+            self.middle = b.mean(0)
+            q = b - self.middle
+            y = (q * q).sum(1)
+            self.most, self.matrix = float(y.max()), np.ascontiguousarray(_extended(q, y, True).T, dtype="f4")
+
+    def tiles(self, a: np.ndarray, first: int = 0) -> Iterator[tuple]:
+        """(rows of a, of b, squared distances, bound of their error) of all rows of ``a`` with those of ``b`` from ``first`` on; without a finite product there are no distances."""
+        for k in range(0, len(a), _ROWS):
+            part = a[k : k + _ROWS]
+            with np.errstate(all="ignore"):
+                p = part - self.middle
+                x = (p * p).sum(1)
+                left, size = _extended(p, x).astype("f4"), float(x.max()) + self.most
+            known = size < np.finfo("f4").max / 8
+            for low in range(first, len(self.b), BLOCK):
+                d = left @ self.matrix[:, low : low + BLOCK] if known else None
+                yield part, self.b[low : low + BLOCK], d, (2 * a.shape[1] + 16) * 2.0**-23 * size + 1e-36
+
+
 def distances(a: np.ndarray, b: np.ndarray, norm: str = "l2") -> np.ndarray:
     """Distances of all rows of ``a`` and ``b``; equal rows are at 0."""
     if norm != "l1":
@@ -529,15 +563,18 @@ def kde_log_density(queries: DataFrame, reference: DataFrame, bandwidth: float,
         for ids, a in _slices(lefts):
             top, s = np.full(len(ids), -np.inf), np.zeros(len(ids))
             for _, b, _ in rights:
-                e = squares(a, b) / (-2 * bandwidth**2)
+                e = squares(a, b)
+                e /= -2 * bandwidth**2
                 most = np.maximum(top, e.max(1))
-                s = s * np.exp(top - most) + np.exp(e - most[:, None]).sum(1)
+                e -= most[:, None]
+                s = s * np.exp(top - most) + np.exp(e, out=e).sum(1)
                 top = most
             yield {"id": ids, "top": top, "s": s, "n": np.full(len(ids), sum(len(b) for b, _, _ in rights))}
 
     parts = block_cells(queries, reference, cell, "id bigint, top double, s double, n bigint")
-    best = parts.groupBy("id").agg(F.max("top").alias("best"), F.sum("n").alias("total"))
-    total = parts.join(best, "id").groupBy("id", "best", "total").agg(F.sum(F.col("s") * F.exp(F.col("top") - F.col("best"))).alias("s"))
+    # a number for each column of the grid, in one pass over the pairs
+    best = parts.groupBy("id").agg(F.max("top").alias("best"), F.sum("n").alias("total"), F.collect_list(F.struct("top", "s")).alias("each"))
+    total = best.withColumn("s", F.aggregate("each", F.lit(0.0), lambda s, e: s + e["s"] * F.exp(e["top"] - F.col("best"))))
     constant = dimensions * (np.log(bandwidth) + 0.5 * np.log(2 * np.pi))
     return total.select("id", (F.col("best") + F.ln("s") - F.ln(F.col("total").cast("double")) - F.lit(float(constant))).alias("log_density"))
 
@@ -567,6 +604,7 @@ def membership_inference(synth: DataFrame, members: DataFrame, others: DataFrame
 
 def attack_quality(scores: DataFrame) -> DataFrame:
     """(accuracy, auc) of attack scores (score, member): a row above the median score is called a member."""
+    scores = materialise(scores.select("score", "member"), "scores")  # else every figure below measures all pairs again
     middle = exact_quantiles(scores, "score", [0.5])
     called = F.col("score") > F.lit(middle[0] if middle else None).cast("double")
     accuracy = scores.agg(F.avg((called == (F.col("member") == 1)).cast("double")).alias("accuracy"))
