@@ -304,6 +304,25 @@ def test_order_statistics_share_their_passes(spark, monkeypatch):
     assert (grid[0], grid[-1]) == (pytest.approx(low / 2), pytest.approx(d.max() * 2)) and len(passes) == 3
 
 
+def test_order_statistics_in_single_precision_are_exact(spark, monkeypatch):
+    # far from the origin, with copies, near copies and many ties; ranks beyond what the guess covers
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=(50, 4)), rng.integers(0, 2, (40, 4)), np.full((12, 4), 0.5)]) + 1000.0
+    x[3] = x[4] + 1e-7
+    blocks, _ = mmd.pooled([_sample(spark, x)], "k", "v", 16)
+    d = np.sort(_all_distances(x, x)[np.triu_indices(len(x), 1)])
+    some = d[d > 0]
+    for fine, guesses in ((1_000_000, 1 << 20), (5, 40)):
+        monkeypatch.setattr(mmd, "FINE", fine)
+        monkeypatch.setattr(mmd, "GUESSES", guesses)
+        each = mmd.Distances(blocks)
+        n, zeros, low, high = each.ends()
+        assert (n, zeros, low, high) == (len(d), len(d) - len(some), pytest.approx(some[0]), pytest.approx(some[-1]))
+        ranks = [0, 1, len(some) // 20, len(some) // 2, len(some) - 1]
+        assert each.ranked(ranks, low, high) == pytest.approx(some[ranks].tolist(), rel=1e-9)
+    assert mmd.median_heuristic(blocks) == pytest.approx(np.sqrt(np.median(some**2) / 2), rel=1e-9)
+
+
 def test_attack_scores_are_made_once(spark):
     made = spark.sparkContext.accumulator(0)
 

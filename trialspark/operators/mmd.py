@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialspark.operators.ranging import exact_quantiles, with_ordinal
-from trialspark.operators.twosample import block_cells, distances, pack, squares, vectors
+from trialspark.operators.twosample import Single, block_cells, distances, near_pairs, pack, squares, vectors
 from trialspark.storage import materialise, release
 
 #: Rows in a block; with B resamples a task holds a few matrices of BLOCK by B.
@@ -29,6 +29,8 @@ BLOCK = 256
 #: Values between two histogram edges that are collected to tell ranks exactly.
 FINE = 1_000_000
 _BINS = 1 << 16
+#: Distances that tell where a rank may lie, and the share of all on either side of it that is looked at first.
+GUESSES, _MARGIN = 1 << 20, 0.002
 #: Columns of a part of the kernel matrix that is multiplied at once; even.
 _WIDE = 2048
 
@@ -95,14 +97,57 @@ COLLECTIONS = {
 
 
 class Distances:
-    """Order statistics of the distances between rows of blocks that a predicate on their ids admits, whatever their number."""
+    """Order statistics of the distances between rows of blocks, whatever their number: of every two rows, or of those that a predicate on their ids admits.
 
-    def __init__(self, blocks: DataFrame, admit: Callable[[np.ndarray, np.ndarray], np.ndarray], norm: str = "l2"):
+    Euclidean distances are first taken in single precision, as squares with a bound
+    of their error; those that it leaves open are measured from differences.
+    """
+
+    def __init__(self, blocks: DataFrame, admit: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, norm: str = "l2"):
         self.blocks, self.admit, self.norm = blocks, admit, norm
+        self.known: tuple | None = None
+        self.guesses = np.empty(0)
+
+    def _tiled(self, reduce_tiles: Callable[[Iterator[tuple]], dict]) -> Callable:
+        """For a cell of the grid, ``reduce_tiles`` of (rows, rows, squared distances, bound of their error, None), or of (rows, rows, None, 0, the pairs meant)."""
+        admit = self.admit
+
+        def strips(rights: Single, a, first=0):
+            for x, y, d, off in rights.tiles(a, first):
+                yield (x, y, d, off, None) if d is not None else (x, y, None, 0.0, np.divmod(np.arange(len(x) * len(y)), len(y)))
+
+        def tiles(lefts, rights, same):
+            if admit is None:
+                rights = sorted(rights, key=lambda b: b[0][0])
+                starts, firsts = np.cumsum([0] + [len(b[0]) for b in rights]), [b[0][0] for b in rights]
+                whole = Single(np.concatenate([b[1] for b in rights]))
+                for ids, x, _ in lefts:
+                    if same and len(x) > 1:
+                        yield x, x, None, 0.0, np.triu_indices(len(x), 1)
+                    yield from strips(whole, x, int(starts[np.searchsorted(firsts, ids[0]) + 1]) if same else 0)
+                return
+            for ids, a, _ in lefts:
+                for ids2, b, _ in rights:
+                    keep = np.broadcast_to(admit(ids[:, None], ids2[None, :]), (len(ids), len(ids2)))
+                    i, j = np.flatnonzero(keep.any(1)), np.flatnonzero(keep.any(0))
+                    if len(i):
+                        keep = keep[np.ix_(i, j)]
+                        if keep.all():
+                            yield from strips(Single(b[j]), a[i])
+                        else:
+                            yield a[i], b[j], None, 0.0, np.nonzero(keep)
 
-    def _each(self, reduce_values: Callable[[Iterator[np.ndarray]], dict], schema: str) -> DataFrame:
+        def cell(lefts, rights, same):
+            yield reduce_tiles(tiles(lefts, rights, same))
+
+        return cell
+
+    def _each(self, reduce_values: Callable, schema: str) -> DataFrame:
         """``reduce_values`` of the distances of a cell of the grid, which come in pieces."""
         admit, norm = self.admit, self.norm
+        if norm != "l1":
+            return block_cells(self.blocks, self.blocks, self._tiled(reduce_values), schema, half=admit is None)
+        admit = admit or np.less
 
         def values(lefts, rights):
             for ids, a, _ in lefts:
@@ -121,6 +166,8 @@ class Distances:
 
     def ends(self) -> tuple[int, int, float, float]:
         """Number of distances, of zeros among them, and the least and greatest that is not zero."""
+        if self.norm != "l1":
+            return self._square_ends()
 
         def reduce_values(pieces):
             n, zeros, low, high = 0, 0, np.inf, -np.inf
@@ -137,6 +184,136 @@ class Distances:
         row = self._each(reduce_values, "n bigint, z bigint, lo double, hi double").agg(F.sum("n"), F.sum("z"), F.min("lo"), F.max("hi")).first()
         return row[0] or 0, row[1] or 0, row[2], row[3]
 
+    def _square_ends(self) -> tuple[int, int, float, float]:
+        rows = self.blocks.agg(F.sum(F.size("ids"))).first()[0] or 0
+        stride = max(1, rows * rows // (2 * GUESSES))
+
+        def reduce_tiles(tiles):
+            n, zeros, low, high, some, ahead = 0, 0, np.inf, -np.inf, [], 0
+            for a, b, d, off, pairs in tiles:
+                if d is None:
+                    got = near_pairs(a, b, *pairs)
+                    every = got
+                else:
+                    least, most, every = d.min(), d.max(), d.ravel()
+                    if least <= off:
+                        least = d[d > off].min(initial=np.inf)
+                    if least <= low + off or most >= high - off or d.min() <= off:
+                        i, j = np.nonzero((d <= max(off, min(low + off, least + 2 * off))) | (d >= max(high - off, most - 2 * off)))
+                        got = near_pairs(a, b, i, j)
+                    else:
+                        got = np.empty(0)
+                some.append(every[ahead::stride].astype(float))
+                ahead = (ahead - every.size) % stride
+                n += every.size
+                zeros += np.count_nonzero(got == 0)
+                got = got[got > 0]
+                if len(got):
+                    low, high = min(low, got.min()), max(high, got.max())
+            return {"n": [n], "z": [zeros], "lo": [low], "hi": [high], "some": [np.concatenate([np.empty(0), *some]).tolist()]}
+
+        got = self._each(reduce_tiles, "n bigint, z bigint, lo double, hi double, some array<double>").toArrow().to_pylist()  # a row for each cell
+        self.guesses = np.sort(np.concatenate([np.empty(0), *(r["some"] for r in got)]))
+        n, zeros = sum(r["n"] for r in got), sum(r["z"] for r in got)
+        low, high = min((r["lo"] for r in got), default=np.inf), max((r["hi"] for r in got), default=-np.inf)
+        self.known = n, zeros, low, high
+        return n, zeros, float(np.sqrt(low)), float(np.sqrt(max(high, 0))) if n > zeros else high
+
+    def _square_ranked(self, ranks: list[int]) -> dict[int, float]:
+        """``ranked`` of Euclidean distances: a guess tells where the ranks lie; what is less is counted, what lies there is measured."""
+        n, zeros, low, high = self.known
+
+        def around(rank):
+            share = (rank + zeros) / n
+            ends = int((share - _MARGIN) * len(self.guesses)) - 1, int((share + _MARGIN) * len(self.guesses)) + 1
+            return float(np.clip(self.guesses[ends[0]] if ends[0] >= 0 else low, low, high)), float(np.clip(self.guesses[ends[1]] if ends[1] < len(self.guesses) else high, low, high))
+
+        groups: list[list] = []
+        for rank in sorted(set(ranks)):
+            lo, hi = around(rank)
+            if groups and lo <= groups[-1][2]:
+                groups[-1][0].append(rank)
+                groups[-1][2] = max(hi, groups[-1][2])
+            else:
+                groups.append([[rank], lo, hi])
+        found: dict[int, float] = {}
+        for some, lo, hi in groups:
+            found |= self._between(some, lo, hi)
+        return {r: sqrt(v) for r, v in found.items()}
+
+    def _between(self, ranks: list[int], lo: float, hi: float) -> dict[int, float]:
+        """Squares of the distances of these ranks, if they lie from ``lo`` to ``hi``; what does not is sought in the rest."""
+        _, zeros, low, high = self.known
+        fine = lo < hi and np.isfinite(_BINS / (hi - lo)) and lo + (hi - lo) / _BINS > lo
+
+        def inside(tiles, start, end, below):
+            for a, b, d, off, pairs in tiles:
+                if d is None:
+                    got = near_pairs(a, b, *pairs)
+                else:
+                    surely, maybe = d < start - off, d <= end + off
+                    below[0] += np.count_nonzero(surely)
+                    at = np.flatnonzero(surely ^ maybe)
+                    if not len(at):
+                        continue
+                    got = near_pairs(a, b, *np.divmod(at, d.shape[1]))
+                below[0] += np.count_nonzero(got < start)
+                got = got[(got >= start) & (got <= end)]
+                if len(got):
+                    yield got
+
+        def count(tiles):
+            n, below = np.zeros(_BINS, dtype=np.int64), [0]
+            for d in inside(tiles, lo, hi, below):
+                n += np.bincount(_bin(d, lo, hi), minlength=_BINS)
+            some = np.flatnonzero(n)
+            return {"v": [-1, *some.tolist()], "n": [below[0], *n[some].tolist()]}
+
+        def values(start, end, bins, tiles):
+            v, n, below = np.empty(0), np.empty(0), [0]
+            for d in inside(tiles, start, end, below):
+                d = d[np.isin(_bin(d, lo, hi), bins)] if len(bins) else d
+                v, back = np.unique(np.concatenate([v, d]), return_inverse=True)
+                n = np.bincount(back, weights=np.concatenate([n, np.ones(len(d))]), minlength=len(v))
+            return {"v": [-1.0, *v.tolist()], "n": [below[0], *n.astype(np.int64).tolist()]}
+
+        def totals(reduce_tiles, kind):
+            got = self._each(reduce_tiles, f"v {kind}, n bigint").groupBy("v").agg(F.sum("n").alias("n")).toArrow()
+            v, n = (got.column(c).to_numpy() for c in ("v", "n"))
+            order = np.argsort(v)
+            return v[order][1:], n[order][1:], int(n[order][:1].sum()) - zeros
+
+        v, n, below = totals(count, "bigint") if fine else totals(partial(values, lo, hi, ()), "double")
+        upto = below + np.cumsum(n)
+        last = int(upto[-1]) if len(upto) else below
+        found: dict[int, float] = {}
+        less, more = [r for r in ranks if r < below], [r for r in ranks if r >= last]
+        if less:
+            found |= self._between(less, low, lo) if lo > low else dict.fromkeys(less, low)
+        if more:
+            found |= self._between(more, hi, high) if hi < high else dict.fromkeys(more, high)
+        ranks = [r for r in ranks if below <= r < last]
+        if not ranks:
+            return found
+        place = np.searchsorted(upto, ranks, side="right")
+        if not fine:
+            return found | dict(zip(ranks, v[place].tolist(), strict=True))
+        width, edge = (hi - lo) / _BINS, 1e-9 * (hi - lo) / _BINS + 1e-15 * hi
+        ends = lambda k: (max(lo, lo + width * v[k] - edge), min(hi, lo + width * (v[k] + 1) + edge))
+        few = [k for k in sorted(set(place.tolist())) if n[k] <= FINE]
+        if few:  # the values of all these bins in one pass
+            got, m, _ = totals(partial(values, ends(few[0])[0], ends(few[-1])[1], v[few]), "double")
+            sums = np.cumsum(m)
+            start = dict(zip(few, np.cumsum([0] + [n[k] for k in few]).tolist(), strict=False))
+        for k in sorted(set(place.tolist())):
+            wanted = [r for r, p in zip(ranks, place, strict=True) if p == k]
+            if k in few:
+                local = [start[k] + r - int(upto[k] - n[k]) for r in wanted]
+                found |= dict(zip(wanted, got[np.minimum(np.searchsorted(sums, local, side="right"), len(got) - 1)].tolist(), strict=True))
+            else:
+                found |= self._between(wanted, *ends(k))
+        return found
+
     def at(self, rank: int, low: float, high: float) -> float:
         """The value of a rank (from 0) among the distances that are not zero, which lie from ``low`` to ``high``."""
         return self.ranked([rank], low, high)[0]
@@ -149,6 +326,11 @@ class Distances:
         """
         if not low < high:
             return [float(low)] * len(ranks)
+        if self.norm != "l1":
+            if self.known is None:
+                self.ends()
+            found = self._square_ranked(ranks)
+            return [found[r] for r in ranks]
         fine = np.isfinite(_BINS / (high - low)) and low + (high - low) / _BINS > low
 
         def inside(pieces, bins):

@@ -270,7 +270,7 @@ def kernel_values(spark: SparkSession, sf: str) -> DataFrame:
 )
 def bandwidth_grid(spark: SparkSession, sf: str) -> DataFrame:
     blocks, _ = tests.pooled([table(spark, sf, "embeddings")], "vec_id", "embedding")
-    grid = tests.bandwidth_grid(tests.Distances(blocks, lambda a, b: a < b))
+    grid = tests.bandwidth_grid(tests.Distances(blocks))
     return spark.createDataFrame([(i, round(float(b), 6)) for i, b in enumerate(grid)], "i bigint, bandwidth double")
 
 
