@@ -323,6 +323,22 @@ def test_order_statistics_in_single_precision_are_exact(spark, monkeypatch):
     assert mmd.median_heuristic(blocks) == pytest.approx(np.sqrt(np.median(some**2) / 2), rel=1e-9)
 
 
+def test_three_samples_meet_every_two_blocks_once(spark, monkeypatch):
+    calls, whole = spark.sparkContext.accumulator(0), mmd.squares
+    monkeypatch.setattr(mmd, "squares", lambda a, b: calls.add(len(a) * len(b)) or whole(a, b))
+    monkeypatch.setattr(mmd.pooled, "__defaults__", (12,))
+    x = np.random.default_rng(12).normal(size=(3, 40, 3))
+    x[2] += 0.5
+    got = mmd.relative_test(*(_sample(spark, p) for p in x), "k", "v", 1.5)
+    assert 0 < calls.value < 0.6 * 120**2
+    k = [[np.exp(-(_all_distances(p, q) ** 2) / 4.5) for q in x] for p in x]
+    for s in range(3):
+        np.fill_diagonal(k[s][s], 0)
+    h = (k[0][2].mean(1) - k[0][1].mean(1), k[1][1].sum(1) / 39 - k[1][0].mean(1), k[2][0].mean(1) - k[2][2].sum(1) / 39)
+    t = k[1][1].sum() / (40 * 39) - 2 * k[0][1].mean() - k[2][2].sum() / (40 * 39) + 2 * k[0][2].mean()
+    assert got["statistic"] == pytest.approx(t / np.sqrt(4 * sum(v.var() / 40 for v in h)))
+
+
 def test_attack_scores_are_made_once(spark):
     made = spark.sparkContext.accumulator(0)
 
