@@ -323,6 +323,18 @@ def test_order_statistics_in_single_precision_are_exact(spark, monkeypatch):
     assert mmd.median_heuristic(blocks) == pytest.approx(np.sqrt(np.median(some**2) / 2), rel=1e-9)
 
 
+def test_spectral_multiplies_what_is_not_zero(spark):
+    # a kernel so narrow that only near copies have a value: the draws are those of the whole matrix
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(2, 60, 6)) * 10
+    x[1, :5] = x[0, 20:25] + 0.01
+    blocks, _ = mmd.pooled([_sample(spark, x[0]), _sample(spark, x[1])], "k", "v", 24)
+    whole = mmd.forms(blocks, "gaussian", np.array([0.5]), mmd.gaussian(3, 40))
+    few = mmd.forms(blocks, "gaussian", np.array([0.5]), mmd.gaussian(3, 40), least=1e-16 / 120)
+    for a, b in zip(whole, few, strict=True):
+        assert b == pytest.approx(a, rel=1e-12)
+
+
 def test_three_samples_meet_every_two_blocks_once(spark, monkeypatch):
     calls, whole = spark.sparkContext.accumulator(0), mmd.squares
     monkeypatch.setattr(mmd, "squares", lambda a, b: calls.add(len(a) * len(b)) or whole(a, b))
