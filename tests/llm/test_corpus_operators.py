@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import canonical
-from trialspark.llm import blocks, hashing, neighbours, ngram_join, packing, passages, quality, secret_scan
+from trialspark.llm import blocks, hashing, neighbours, ngram_join, packing, passages, quality, secret_scan, shared
 from trialspark.llm.queries import ORACLE_SQL, QUERIES
 from trialspark.llm.shared import connected_components, scratch
 
@@ -85,6 +85,18 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_components_of_small_graphs_take_no_rounds(spark, monkeypatch):
+    path = [(k, k + 1) for k in range(500)]
+    edges = spark.createDataFrame([path[k * 193 % 500] for k in range(500)], "a bigint, b bigint").repartition(8)
+    written = []
+    monkeypatch.setattr(shared, "materialise", lambda df, tag, f=shared.materialise: written.append(tag) or f(df, tag))
+    assert {tuple(r) for r in connected_components(edges).collect()} == {(k, 0) for k in range(501)}
+    assert len(written) == 2
+    monkeypatch.setattr(shared, "_WHOLE", 0)  # a larger graph goes through the rounds
+    assert {tuple(r) for r in connected_components(edges).collect()} == {(k, 0) for k in range(501)}
+    assert len(written) > 4
+
+
 def test_ngram_join_against_brute_force(spark, sf_dir):
     docs = documents(spark, sf_dir).where("doc_id < 200")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
@@ -121,6 +133,17 @@ def test_large_clusters_are_compared_whole(spark, monkeypatch):
     assert got == linked(rows, 2, 85)
 
 
+def test_small_clusters_and_random_cells_go_in_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "CELL", 8)
+    passes = []
+    monkeypatch.setattr(blocks, "link_cells", lambda *a, f=blocks.link_cells: passes.append(1) or f(*a))
+    items = np.arange(40, dtype="<u8").tobytes()
+    rows = [(0, k, items) for k in range(30)] + [(1, 100, items), (1, 101, items)]
+    links = blocks.link_clusters(spark.createDataFrame(rows, "cluster bigint, uid bigint, items binary"), 85)
+    assert {tuple(r) for r in connected_components(links).collect()} == {(k, 0) for k in range(30)} | {(100, 100), (101, 100)}
+    assert len(passes) == 2
+
+
 def test_overlaps_by_fragment(monkeypatch):
     monkeypatch.setattr(blocks, "FRAGMENT", 3)
     rng = np.random.default_rng(0)

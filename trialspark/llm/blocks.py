@@ -5,7 +5,7 @@ bounded size and a cell reports only a spanning forest of the links in it, so a
 group of copies costs as many rows as it has members.
 
 * Clusters of at most ``CELL`` items are one cell each.
-* Larger clusters first go through rounds of random cells.  Items that are linked
+* Larger clusters first go through random cells of several deals.  Items that are linked
   by then need no comparison among themselves; every item outside the cluster's
   largest component so far is compared with all items of the cluster, in cells of
   ``CELL`` by ``CELL`` items.  Nothing is dropped: a pair is left out only where
@@ -35,7 +35,7 @@ from trialspark.llm.shared import Forest, connected_components, materialise, rel
 CELL = 384
 #: Distinct tokens that one matrix product takes.
 FRAGMENT = 8192
-#: Rounds of random cells for larger clusters.
+#: Deals of random cells for larger clusters.
 ROUNDS = 2
 #: Ranges of the global order of 64-bit tokens.
 RANGES = 4
@@ -271,16 +271,13 @@ def link_clusters(members: DataFrame, percent: int, width: str = "<u8", ranges:
     if not large_sizes.limit(1).count():
         release(large_sizes)
         return link_cells(as_cells(members), percent, width, ranges)
-    links = [link_cells(as_cells(members.join(large_sizes.select("cluster"), "cluster", "left_anti")), percent, width, ranges)]
     large = materialise(members.join(large_sizes, "cluster").select("cluster", "uid", "items", "size"), "large-members")
     chunks = F.ceil(F.col("size") / CELL)
-    for r in range(ROUNDS):
-        cells = large.withColumn("cell", F.xxhash64("cluster", F.pmod(F.xxhash64("uid", F.lit(r)), chunks))).withColumn("side", F.lit(2))
-        links.append(link_cells(cells, percent, width, ranges))
-    known = links[1]
-    for more in links[2:]:
-        known = known.union(more)
-    labels = connected_components(known)
+    cells = as_cells(members.join(large_sizes.select("cluster"), "cluster", "left_anti")).select("cell", "side", "uid", "items")
+    for r in range(ROUNDS):  # cells that know nothing of one another go in one pass
+        cells = cells.union(large.select(F.xxhash64("cluster", F.lit(r), F.pmod(F.xxhash64("uid", F.lit(r)), chunks)), F.lit(2), "uid", "items"))
+    links = [link_cells(cells, percent, width, ranges)]
+    labels = connected_components(links[0])
     labelled = large.join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("component", "uid"))
     labelled = materialise(labelled.select("cluster", "uid", "items", "size", "label"), "labelled")
     release(large, labels)

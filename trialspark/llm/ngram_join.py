@@ -224,7 +224,7 @@ def similarity_components(docs: DataFrame, size: int = 4, percent: int = 85) ->
     # a star for every n-gram: the smallest class that has it among its first
     centre = prefix.groupBy("token").agg(F.min("uid").alias("centre"), F.max("uid").alias("other")).where("centre <> other")
     centre = materialise(centre.select("token", "centre"), "ngram-centres")  # so that the join can split a common n-gram
-    clusters = connected_components(prefix.join(centre, "token").where("uid <> centre").select("uid", "centre").distinct())
+    clusters = connected_components(prefix.join(centre, "token").where("uid <> centre").select("uid", "centre"))
     release(stay, prefix, centre)
     whole = sets.where("fragment < 0").select("uid", "items").dropDuplicates(["uid"])
     members = materialise(clusters.select(F.col("component").alias("cluster"), F.col("node").alias("uid")).join(whole, "uid"), "ngram-members")

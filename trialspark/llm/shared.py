@@ -111,6 +111,8 @@ class Forest:
 
 #: Edges that one task contracts in memory at a time.
 _EDGES_PER_STEP = 1 << 20
+#: Fewer edges than this are contracted by one task to the end, in bounded memory.
+_WHOLE = 1 << 19
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +126,10 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(roots[keep])], names=["a", "b"])
 
     for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        edges = np.stack([batch.column(k).to_numpy() for k in range(2)], 1)
+        order = np.lexsort(edges.T)
+        edges = edges[order][np.append(True, (np.diff(edges[order], axis=0) != 0).any(1))[: len(edges)]]
+        for a, b in edges.tolist():
             forest.union(a, b)
         seen += batch.num_rows
         if seen >= _EDGES_PER_STEP:
@@ -137,18 +142,25 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """Components of an undirected graph: (node, component), component = smallest node reachable.
 
-    ``edges`` has two bigint columns.  Every round first contracts the edges that
-    share a task, then links every node to the smallest neighbour of its
-    neighbours (large star, small star); all state stays in tables in the shared
-    folder.  Rounds grow with the logarithm of the longest path.  Nodes without
-    an edge do not appear.  A hub's edges are aggregated before the shuffle and
-    joined with a join that splits skewed keys.
+    ``edges`` has two bigint columns.  The edges that share a task are contracted
+    first.  What is left of a small graph is contracted by one task.  Else every
+    round links every node to the smallest neighbour of its neighbours (large star,
+    small star); all state stays in tables in the shared folder.  Rounds grow with
+    the logarithm of the longest path.  Nodes without an edge do not appear.  A hub's
+    edges are aggregated before the shuffle and joined with a join that splits skewed
+    keys.
     """
     a, b = edges.columns
     edges = edges.select(F.col(a).cast("bigint").alias("a"), F.col(b).cast("bigint").alias("b"))
     edges = edges.where("a is not null and b is not null and a <> b")
-    current = materialise(edges.mapInArrow(_contract, "a bigint, b bigint").distinct(), tag)
-    while True:
+    current = materialise(edges.mapInArrow(_contract, "a bigint, b bigint"), tag)
+    unsettled = True
+    while unsettled:
+        if current.count() < _WHOLE:
+            following = materialise(current.coalesce(1).mapInArrow(_contract, "a bigint, b bigint"), tag)
+            release(current)
+            current = following
+            break
         # large star: every neighbour u > v of v, and v, goes to the smallest neighbour of v
         both = current.union(current.select("b", "a"))
         smallest = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("m"))
@@ -172,8 +184,6 @@ def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame
         )
         release(current)
         current = following
-        if not unsettled:
-            break
     out = current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(current.select("b", "b").distinct())
     out._scratch = current._scratch  # for release()
     return out
