@@ -382,6 +382,50 @@ def test_neighbours_and_balls_with_copies(spark):
     assert [near[i] for i in range(len(real))] == [pytest.approx(v.tolist()) for v in np.sort(np.where(np.eye(len(real)) == 1, np.inf, own), 1)[:, :3]]
 
 
+def test_neighbours_are_found_in_single_precision(spark, monkeypatch):
+    """A double product is taken only where a single one is not finite; results are those of differences in either case."""
+    rng = np.random.default_rng(6)
+    real, synth = rng.normal(size=(300, 6)), rng.normal(size=(280, 6)) + 0.3
+    real[:40], synth[:30] = real[40:80] + 1e-12, real[:30]
+    real[290:], synth[270:] = 1e3 + rng.normal(size=(10, 6)) * 1e-4, 1e3 + rng.normal(size=(10, 6)) * 1e-4
+    with monkeypatch.context() as m:  # in this process, one cell's work
+        m.setattr(twosample, "_bounded", None)
+        whole = twosample.Single(synth)
+        for at, b, d, off in twosample._bounded_tiles(whole, real[:100]):
+            assert d.dtype == np.float32 and np.array_equal(b, synth[at])
+            assert (np.abs(d - _all_distances(real[:100], b) ** 2) <= off[:, None]).all()
+    mask = rng.random((7, 24)) < 0.1
+    assert all(np.array_equal(x, y) for m in (mask, mask[:, :5]) for x, y in zip(twosample._places(m), np.nonzero(m), strict=True))
+    for scale in (1.0, 2.0**83):  # the second is beyond single precision's squares
+        own, cross = _all_distances(real, real), _all_distances(real, synth)
+        a, b = (twosample.blocks(_sample(spark, v * scale, f), "k", "v", 64) for v, f in ((real, 0), (synth, 1000)))
+        near = {r["id"]: r["d"] for r in twosample.k_smallest(a, a, 3, True).collect()}
+        assert np.allclose([near[i] for i in range(300)], scale * np.sort(np.where(np.eye(300) == 1, np.inf, own), 1)[:, :3], rtol=1e-9)
+        radii = spark.createDataFrame([(i, near[i][-1]) for i in range(300)], "id bigint, r double")
+        got = {r["id"]: (r["inside"], r["nearest"]) for r in twosample.within_radii(b, a, radii, True).collect()}
+        r = np.array([near[i][-1] for i in range(300)]) / scale
+        assert [got[1000 + j][0] for j in range(280)] == (cross <= r[:, None]).sum(0).tolist()
+        assert np.allclose([got[1000 + j][1] for j in range(280)], scale * cross.min(0), rtol=1e-9)
+
+
+def test_radii_are_measured_once(spark, monkeypatch):
+    passes = spark.sparkContext.accumulator(0)
+    a = twosample.blocks(_sample(spark, np.random.default_rng(7).normal(size=(60, 4))), "k", "v", 16)
+
+    def counted(left, right, cell, schema, *more, f=twosample.block_cells):
+        def each(*sides):
+            passes.add(1)
+            yield from cell(*sides)
+
+        return f(left, right, each, schema, *more)
+
+    monkeypatch.setattr(twosample, "block_cells", counted)
+    twosample.block_pairs(a, a, lambda ids, x, ids2, y: [{"n": [len(ids)]}], "n bigint").collect()
+    once, passes.value = passes.value, 0
+    assert tuple(twosample.precision_recall(a, a).first()) == (1.0, 1.0)
+    assert passes.value == 4 * once  # radii and balls of two sides
+
+
 @pytest.mark.parametrize("dimensions", [3, 9])
 def test_identifiability_searches_boxes(spark, monkeypatch, dimensions):
     rng = np.random.default_rng(dimensions)

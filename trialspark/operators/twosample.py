@@ -184,7 +184,7 @@ class Single:
             self.middle = b.mean(0)
             q = b - self.middle
             y = (q * q).sum(1)
-            self.most, self.matrix = float(y.max()), np.ascontiguousarray(_extended(q, y, True).T, dtype="f4")
+            self.most, self.rows = float(y.max()), _extended(q, y, True).astype("f4")
 
     def tiles(self, a: np.ndarray, first: int = 0) -> Iterator[tuple]:
         """(rows of a, of b, squared distances, bound of their error) of all rows of ``a`` with those of ``b`` from ``first`` on; without a finite product there are no distances."""
@@ -194,9 +194,9 @@ class Single:
                 p = part - self.middle
                 x = (p * p).sum(1)
                 left, size = _extended(p, x).astype("f4"), float(x.max()) + self.most
-            known = size < np.finfo("f4").max / 8
+            known = size < float(np.finfo("f4").max) / 8
             for low in range(first, len(self.b), BLOCK):
-                d = left @ self.matrix[:, low : low + BLOCK] if known else None
+                d = left @ self.rows[low : low + BLOCK].T if known else None
                 yield part, self.b[low : low + BLOCK], d, (2 * a.shape[1] + 16) * 2.0**-23 * size + 1e-36
 
 
@@ -225,17 +225,18 @@ def k_smallest(left: DataFrame, right: DataFrame, k: int, same: bool) -> DataFra
     """
 
     def cell(lefts, rights, _):
+        whole, ids2 = Single(np.concatenate([b[1] for b in rights])), np.concatenate([b[0] for b in rights])
         for ids, a in _slices(lefts):
             row, near, bound = np.empty(0, dtype=np.int64), np.empty(0), np.full(len(ids), np.inf)
-            for ids2, b, _ in rights:
-                d, off = _bounded(a, b)
-                if same and np.isin(ids, ids2).any():
-                    d[ids[:, None] == ids2[None, :]] = np.inf
+            own = same and np.isin(ids, ids2).any()
+            for at, b, d, off in _bounded_tiles(whole, a):
+                if own:
+                    d[ids[:, None] == ids2[None, at]] = np.inf
                 reach = bound + off
                 if not np.isfinite(reach).all():
                     m = min(k, d.shape[1])
                     reach = np.minimum(np.partition(d, m - 1, axis=1)[:, m - 1] + 2 * off, reach)
-                i, j = np.nonzero(d <= np.minimum(reach, _MOST)[:, None])
+                i, j = _places(d <= _above(np.minimum(reach, _MOST), d)[:, None])
                 if not len(i):
                     continue
                 row, near = np.concatenate([row, i]), np.concatenate([near, exact_pairs(a, b, i, j)])
@@ -250,7 +251,7 @@ def k_smallest(left: DataFrame, right: DataFrame, k: int, same: bool) -> DataFra
 
 
 #: Rows of the left side that are compared at once, so that their distances stay in a core's cache.
-_ROWS = 128
+_ROWS = 256
 _MOST = float(np.finfo(float).max)
 
 
@@ -268,6 +269,34 @@ def _bounded(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return d, slack(a, x, y)
 
 
+def _bounded_tiles(whole: Single, a: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """(place among the other rows, these rows, ``_bounded`` of ``a`` and them), in single precision where that is finite; ``a`` has at most ``_ROWS`` rows."""
+    low = 0
+    for _, b, d, off in whole.tiles(a):
+        d, off = _bounded(a, b) if d is None else (d, np.full(len(a), off))
+        yield slice(low, low + len(b)), b, d, off
+        low += len(b)
+
+
+def _above(limits: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Limits in the precision of ``d``, not smaller; finite ones stay finite."""
+    if d.dtype != np.float32:
+        return limits
+    most = np.finfo("f4").max
+    with np.errstate(invalid="ignore"):
+        return np.where(np.isfinite(limits), np.nextafter(np.clip(limits, -most, most).astype("f4"), most), limits).astype("f4")
+
+
+def _places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns where a matrix is true; quick where few are."""
+    flat = np.ascontiguousarray(mask).ravel()
+    if flat.size % 8:
+        return np.divmod(np.flatnonzero(flat), mask.shape[1])
+    words = np.flatnonzero(flat.view(np.uint64))  # eight at a time
+    k = np.flatnonzero(flat.reshape(-1, 8)[words])
+    return np.divmod(words[k >> 3] * 8 + (k & 7), mask.shape[1])
+
+
 def _smallest(row: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``k`` smallest finite values of every row, by row and value."""
     finite = np.isfinite(value)
@@ -311,22 +340,25 @@ def within_radii(points: DataFrame, centres: DataFrame, radii: DataFrame, closed
     """
 
     def cell(lefts, rights, _):
+        whole, r = Single(np.concatenate([b[1] for b in rights])), np.concatenate([b[2] for b in rights])
         for ids, a in _slices(lefts):
             inside, nearest = np.zeros(len(ids), dtype=np.int64), np.full(len(ids), np.inf)
-            for ids2, b, r in rights:
-                d, off = _bounded(a, b)
-                reach = np.minimum(np.minimum(d.min(1), nearest) + 2 * off, _MOST)
-                some = np.flatnonzero(d.min(1) <= reach)
-                i, j = np.nonzero(d[some] <= reach[some, None])
-                np.minimum.at(nearest, some[i], exact_pairs(a, b, some[i], j))
-                edge = off.max() + 8 * _EPS * r * r
-                within, about = d < (r * r - edge)[None, :], d <= (r * r + edge)[None, :]
-                n = np.count_nonzero(within, axis=1)
-                inside += n
-                if n.sum() < np.count_nonzero(about):
-                    i, j = np.nonzero(about & ~within)
-                    at = np.sqrt(exact_pairs(a, b, i, j))
-                    inside += np.bincount(i[at <= r[j] if closed else at < r[j]], minlength=len(ids))
+            for at, b, d, off in _bounded_tiles(whole, a):
+                least = d.min(1)
+                reach = np.minimum(np.minimum(least, nearest) + 2 * off, _MOST)
+                some = np.flatnonzero(least <= reach)
+                if len(some):
+                    i, j = _places(d[some] <= _above(reach[some], d)[:, None])
+                    np.minimum.at(nearest, some[i], exact_pairs(a, b, some[i], j))
+                ball = r[at]
+                edge = off.max() + 8 * _EPS * ball * ball
+                i, j = _places(d <= _above(ball * ball + edge, d)[None, :])
+                if len(i):
+                    surely = d[i, j] < -_above(edge - ball * ball, d)[j]
+                    inside += np.bincount(i[surely], minlength=len(ids))
+                    i, j = i[~surely], j[~surely]
+                    far = np.sqrt(exact_pairs(a, b, i, j))
+                    inside += np.bincount(i[far <= ball[j] if closed else far < ball[j]], minlength=len(ids))
             yield {"id": ids, "inside": inside, "nearest": np.sqrt(nearest)}
 
     parts = block_cells(points, _with_radii(centres, radii), cell, "id bigint, inside bigint, nearest double", "r")
@@ -334,7 +366,8 @@ def within_radii(points: DataFrame, centres: DataFrame, radii: DataFrame, closed
 
 
 def _radius(table: DataFrame, k: int) -> DataFrame:
-    return k_smallest(table, table, k, True).select("id", F.element_at("d", -1).alias("r"))
+    """Distance of every row to its ``k``-th neighbour, (id, r), written: more than one job reads it."""
+    return materialise(k_smallest(table, table, k, True).select("id", F.element_at("d", -1).alias("r")), "radii")
 
 
 def precision_recall(real: DataFrame, synth: DataFrame, k: int = 3) -> DataFrame:
