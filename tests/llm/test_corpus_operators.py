@@ -97,6 +97,27 @@ def test_components_of_small_graphs_take_no_rounds(spark, monkeypatch):
     assert len(written) > 4
 
 
+def test_leaves_of_larger_graphs_take_no_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    edges = [(40 + k, int(c)) for k in range(3000) for c in rng.choice(40, 1 + k % 50 // 49, replace=False)]
+    df = spark.createDataFrame(edges, "a bigint, b bigint").repartition(8)
+    written = []
+    monkeypatch.setattr(shared, "materialise", lambda df, tag, f=shared.materialise: written.append(tag) or f(df, tag))
+    monkeypatch.setattr(shared, "_WHOLE", 1000)
+    assert {r["node"]: r["component"] for r in connected_components(df).collect()} == components({x for e in edges for x in e}, edges)
+    assert len(written) == 5  # contracted, neighbours, without leaves, to the end, with the leaves
+
+
+def test_components_of_larger_graphs_with_long_paths(spark, monkeypatch):
+    monkeypatch.setattr(shared, "_WHOLE", 0)
+    rng = np.random.default_rng(6)
+    names = rng.permutation(700)
+    edges = [(int(names[k]), int(names[k + 1])) for k in range(300)] + [(k, k + 3) for k in range(1000, 1200)] + [(int(a), int(b)) for a, b in rng.integers(2000, 2300, (140, 2)) if a != b]
+    got = connected_components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(8)).collect()
+    want = components({x for e in edges for x in e}, edges)
+    assert len(got) == len(want) and {r["node"]: r["component"] for r in got} == want
+
+
 def test_ngram_join_against_brute_force(spark, sf_dir):
     docs = documents(spark, sf_dir).where("doc_id < 200")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
@@ -144,6 +165,18 @@ def test_small_clusters_and_random_cells_go_in_one_pass(spark, monkeypatch):
     assert len(passes) == 2
 
 
+def test_links_of_small_clusters_stay_out_of_the_search_within_large_ones(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "CELL", 8)
+    searched = []
+    monkeypatch.setattr(blocks, "connected_components", lambda e, f=blocks.connected_components: searched.append({r["a"] for r in e.collect()}) or f(e))
+    items = np.arange(40, dtype="<u8").tobytes()
+    rows = [(0, k, items) for k in range(30)] + [(c, 100 * c + k, items) for c in range(1, 9) for k in range(4)] + [(9, 5, items), (9, 901, items)]
+    links = blocks.link_clusters(spark.createDataFrame(rows, "cluster bigint, uid bigint, items binary"), 85)
+    want = {(k, 0) for k in range(30)} | {(100 * c + k, 100 * c) for c in range(1, 9) for k in range(4)} | {(901, 0)}
+    assert {tuple(r) for r in connected_components(links).collect()} == want
+    assert len(searched) == 1 and searched[0] <= set(range(30))
+
+
 def test_overlaps_by_fragment(monkeypatch):
     monkeypatch.setattr(blocks, "FRAGMENT", 3)
     rng = np.random.default_rng(0)

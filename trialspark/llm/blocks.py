@@ -277,7 +277,8 @@ def link_clusters(members: DataFrame, percent: int, width: str = "<u8", ranges:
     for r in range(ROUNDS):  # cells that know nothing of one another go in one pass
         cells = cells.union(large.select(F.xxhash64("cluster", F.lit(r), F.pmod(F.xxhash64("uid", F.lit(r)), chunks)), F.lit(2), "uid", "items"))
     links = [link_cells(cells, percent, width, ranges)]
-    labels = connected_components(links[0])
+    # only members of large clusters need to be known as linked already
+    labels = connected_components(links[0].join(large.select(F.col("uid").alias("a")).distinct(), "a", "left_semi").select("a", "b"))
     labelled = large.join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("component", "uid"))
     labelled = materialise(labelled.select("cluster", "uid", "items", "size", "label"), "labelled")
     release(large, labels)

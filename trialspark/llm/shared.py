@@ -139,28 +139,54 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _neighbours(edges: DataFrame, tag: str) -> DataFrame:
+    """Nodes that have smaller neighbours: (a, up, inner) with these neighbours, at most one from each task that contracted, and whether the node has greater ones too."""
+    ends = edges.union(edges.select("b", F.lit(None).cast("bigint")))
+    nodes = ends.groupBy("a").agg(F.collect_set("b").alias("up"), F.max(F.col("b").isNull()).alias("inner"))
+    return materialise(nodes.where(F.size("up") > 0), tag)
+
+
+def _without_leaves(nodes: DataFrame) -> DataFrame:
+    """Edges (a, b), a > b, between the nodes that are no leaves: those of inner nodes, and from a leaf's smallest neighbour to its others."""
+    least = F.array_min("up")
+    each = nodes.select("a", "inner", least.alias("m"), F.explode(F.when(F.col("inner"), F.col("up")).otherwise(F.filter("up", lambda x: x > least))).alias("x"))
+    return each.select(F.when(F.col("inner"), F.col("a")).otherwise(F.col("x")).alias("a"), F.when(F.col("inner"), F.col("x")).otherwise(F.col("m")).alias("b"))
+
+
 def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """Components of an undirected graph: (node, component), component = smallest node reachable.
 
     ``edges`` has two bigint columns.  The edges that share a task are contracted
-    first.  What is left of a small graph is contracted by one task.  Else every
-    round links every node to the smallest neighbour of its neighbours (large star,
-    small star); all state stays in tables in the shared folder.  Rounds grow with
-    the logarithm of the longest path.  Nodes without an edge do not appear.  A hub's
-    edges are aggregated before the shuffle and joined with a join that splits skewed
-    keys.
+    first.  What is left of a small graph is contracted by one task.  Of a larger one
+    the leaves, nodes that are the smaller end of no edge, are set aside, each with the
+    smallest of its neighbours, to which its other neighbours are linked instead; the
+    rest is contracted again.  Where that leaves more than half of the edges, a round
+    links every node to the smallest neighbour of its neighbours (large star, small
+    star).  At last the leaves get the components of what they hang on.  All state stays
+    in tables in the shared folder.  Rounds grow with the logarithm of the longest path.
+    Nodes without an edge do not appear.  A hub's edges are aggregated before the
+    shuffle and joined with a join that splits skewed keys.
     """
     a, b = edges.columns
     edges = edges.select(F.col(a).cast("bigint").alias("a"), F.col(b).cast("bigint").alias("b"))
     edges = edges.where("a is not null and b is not null and a <> b")
     current = materialise(edges.mapInArrow(_contract, "a bigint, b bigint"), tag)
+    hung: list[DataFrame] = []
     unsettled = True
     while unsettled:
-        if current.count() < _WHOLE:
+        n = current.count()
+        if n < _WHOLE:
             following = materialise(current.coalesce(1).mapInArrow(_contract, "a bigint, b bigint"), tag)
             release(current)
             current = following
             break
+        nodes = _neighbours(current, tag)
+        hung.append(nodes)
+        following = materialise(_without_leaves(nodes).mapInArrow(_contract, "a bigint, b bigint"), tag)
+        release(current)
+        current = following
+        if 2 * current.count() < n:
+            continue
         # large star: every neighbour u > v of v, and v, goes to the smallest neighbour of v
         both = current.union(current.select("b", "a"))
         smallest = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("m"))
@@ -184,6 +210,12 @@ def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame
         )
         release(current)
         current = following
+    for nodes in reversed(hung):
+        leaves = nodes.where("not inner").select("a", F.array_min("up").alias("m"))
+        found = leaves.join(current.select(F.col("a").alias("m"), "b"), "m", "left").select("a", F.coalesce("b", "m").alias("b"))
+        following = materialise(found.union(current), tag)
+        release(current, nodes)
+        current = following
     out = current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(current.select("b", "b").distinct())
     out._scratch = current._scratch  # for release()
     return out
