@@ -99,7 +99,8 @@ def test_components_of_small_graphs_take_no_rounds(spark, monkeypatch):
 
 def test_leaves_of_larger_graphs_take_no_rounds(spark, monkeypatch):
     rng = np.random.default_rng(3)
-    edges = [(40 + k, int(c)) for k in range(3000) for c in rng.choice(40, 1 + k % 50 // 49, replace=False)]
+    centre = rng.permutation(400)  # a long path of centres, two of which share a leaf
+    edges = [(400 + k, int(centre[k % 400])) for k in range(3000)] + [(400 + k, int(centre[k + 1])) for k in range(399)]
     df = spark.createDataFrame(edges, "a bigint, b bigint").repartition(8)
     written = []
     monkeypatch.setattr(shared, "materialise", lambda df, tag, f=shared.materialise: written.append(tag) or f(df, tag))
