@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from trialspark import schema
-from trialspark.operators import audit, merge, mmd, models, prep, privacy, ranging, sequences, stats, subjects, twosample
+from trialspark.operators import audit, merge, mmd, models, prep, privacy, ranging, resampled, sequences, stats, subjects, twosample
 from trialspark.sources import files
 
 
@@ -258,6 +258,57 @@ def test_kernel_forms_against_whole_matrices(spark, monkeypatch):
         mmd.boot_test(a, b, "k", "v", "other")
 
 
+def test_wild_bootstrap_takes_only_open_ranks_in_double_precision(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(150, 6)), rng.normal(size=(150, 6)) * 1.1
+    a, b = (spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(z)], "k int, v array<double>") for z in (x, y))
+    options = dict(number=5, b1=300, b2=300, b3=30, level=0.2)
+    plain, taken = mmd.forms, []
+    exact = resampled.exact_values
+    monkeypatch.setattr(mmd, "forms", lambda *args, **kwargs: pytest.fail("all values in double precision"))
+    monkeypatch.setattr(resampled, "exact_values", lambda *args: taken.append(args[4]) or exact(*args))
+    got = mmd.mmdagg(a, b, "k", "v", **options).collect()
+    assert taken and sum(w.sum() for w in taken) < 0.2 * 10 * 601
+    ids, z = np.concatenate([2 * np.arange(150), 2 * np.arange(150) + 1]), np.concatenate([x, y])
+    s, out = mmd.wild(42, 600)(ids), []
+    for r in got:
+        d = np.abs(z[:, None] - z[None, :]).sum(2) if r["kernel"] == "laplace" else np.sqrt(((z[:, None] - z[None, :]) ** 2).sum(2))
+        k = mmd.kernel_of(r["kernel"], d / r["bandwidth"])
+        k[ids[:, None] // 2 == ids[None, :] // 2] = 0
+        out.append((s * (k @ s)).sum(0) / (150 * 149))
+    out = np.array(out)
+    first, second = np.sort(out[:, :301], axis=1), out[:, 301:]
+    low, high = 0.0, 10.0
+    for _ in range(30):
+        u = (low + high) / 2
+        place = lambda u: min(max(int(np.ceil((1 - u / 10) * 301)) - 1, 0), 300)
+        low, high = (u, high) if (second > first[:, place(u), None]).any(0).mean() <= 0.2 else (low, u)
+    assert [r["statistic"] for r in got] == pytest.approx(out[:, 0].tolist(), rel=1e-9)
+    assert [r["p_value"] for r in got] == (first >= out[:, :1]).mean(1).tolist()
+    assert [r["threshold"] for r in got] == pytest.approx(first[:, place(low)].tolist(), rel=1e-9)
+    # bounds that exact values do not bear out count for nothing
+    monkeypatch.setattr(mmd, "forms", plain)
+    monkeypatch.setattr(resampled, "_TRUST", 0.0)
+    for r, other in zip(got, mmd.mmdagg(a, b, "k", "v", **options).collect(), strict=True):
+        assert (r["kernel"], r["p_value"], r["reject"]) == (other["kernel"], other["p_value"], other["reject"])
+        assert (r["statistic"], r["threshold"]) == (pytest.approx(other["statistic"], rel=1e-9), pytest.approx(other["threshold"], rel=1e-9))
+
+
+def test_bounds_name_the_statistics_that_a_rank_needs():
+    rng = np.random.default_rng(2)
+    out, w = rng.normal(size=(3, 81)), np.full(3, 1 / 3)
+    (p, cut), need = resampled.settled(out, out, w, 40, 20, 0.3)
+    assert not need.any()
+    low, high = out - rng.random((3, 81)) * 0.1, out + rng.random((3, 81)) * 0.1
+    for _ in range(20):
+        found, need = resampled.settled(low, high, w, 40, 20, 0.3)
+        if found:
+            break
+        assert need.any() and (low < high)[need].all()
+        low[need] = high[need] = out[need]
+    assert found[0].tolist() == p.tolist() and found[1].tolist() == cut.tolist() and (low < high).mean() > 0.3
+
+
 def _sample(spark, x, first=0):
     return spark.createDataFrame([(first + i, v.tolist()) for i, v in enumerate(x)], "k int, v array<double>")
 
